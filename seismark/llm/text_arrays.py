@@ -18,6 +18,7 @@ import pyarrow as pa
 BASE = 0x9E3779B97F4A7C15
 BASE_INVERSE = pow(BASE, -1, 1 << 64)
 BLOCK_BYTES = 2 << 20
+BLOCK_TEXTS = 4096
 
 _powers = {BASE: np.ones(1, np.uint64), BASE_INVERSE: np.ones(1, np.uint64)}
 
@@ -104,12 +105,12 @@ class Words:
 
 
 def split(texts: pa.Array, table: np.ndarray, fold: np.ndarray = LOWER) -> Iterator[Words]:
-    """The words of whole texts, in blocks of about BLOCK_BYTES; a longer text is a block of its own."""
+    """The words of whole texts, in blocks of about BLOCK_BYTES and BLOCK_TEXTS at most; a longer text is a block of its own."""
     data, offsets = buffers(texts)
     first, n = 0, len(offsets) - 1
     while first < n:
         last = int(np.searchsorted(offsets, offsets[first] + BLOCK_BYTES, "right")) - 1
-        last = min(n, max(last, first + 1))
+        last = min(n, first + BLOCK_TEXTS, max(last, first + 1))
         yield _block(first, fold[data[offsets[first] : offsets[last]]], offsets[first : last + 1] - offsets[first], table)
         first = last
 
