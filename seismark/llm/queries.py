@@ -10,6 +10,18 @@ from seismark.llm.decontaminate import contamination, report
 from seismark.llm.exact_dedup import exact_dedup
 from seismark.llm.ngram_join import ngram_join
 from seismark.llm.shared import table
+from seismark.llm.token_counts import token_counts
+
+
+def model_path() -> str:
+    """The SentencePiece model of the queries; the same place on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts(table(spark, sf_dir, "documents"), model_path())
 
 
 def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,6 +38,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op4_token_counts": op4_token_counts,
         "op5_ngram_join": op5_ngram_join,
         "op7_exact_dedup": op7_exact_dedup,
         "op10_decontamination": op10_decontamination,
