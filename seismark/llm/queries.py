@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from seismark.llm.decontaminate import contamination, report
 from seismark.llm.exact_dedup import exact_dedup
 from seismark.llm.ngram_join import ngram_join
+from seismark.llm.sentencepiece_lattice import decode, encode
 from seismark.llm.shared import table
 from seismark.llm.token_counts import token_counts
 
@@ -32,6 +34,13 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of every text, and whether they decode to it (U+2581 is a space to the model)."""
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
+    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
+    return decode(docs, model_path()).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -41,6 +50,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_token_counts": op4_token_counts,
         "op5_ngram_join": op5_ngram_join,
         "op7_exact_dedup": op7_exact_dedup,
+        "op9_sentencepiece": op9_sentencepiece,
         "op10_decontamination": op10_decontamination,
     }
 
