@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 from seismark.llm.decontaminate import contamination, report
 from seismark.llm.exact_dedup import exact_dedup
 from seismark.llm.ngram_join import ngram_join
+from seismark.llm.quality_nbsvm import quality_scores
 from seismark.llm.sentencepiece_lattice import decode, encode
 from seismark.llm.shared import table
 from seismark.llm.token_counts import token_counts
+from seismark.llm.toxicity import toxicity_scores
 
 
 def model_path() -> str:
@@ -22,6 +24,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path())
 
@@ -30,6 +36,10 @@ def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join(table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
@@ -47,8 +57,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op2_quality_nbsvm": op2_quality_nbsvm,
         "op4_token_counts": op4_token_counts,
         "op5_ngram_join": op5_ngram_join,
+        "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_decontamination": op10_decontamination,
