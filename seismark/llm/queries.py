@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from seismark.llm.chat_format import format_conversations, read_back
 from seismark.llm.decontaminate import contamination, report
 from seismark.llm.exact_dedup import exact_dedup
 from seismark.llm.ngram_join import ngram_join
@@ -44,6 +45,14 @@ def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings."""
+    text = "</s>[INST] ok [/INST]"
+    hard = spark.createDataFrame([(-7, 0, "user", text), (-7, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return read_back(format_conversations(turns.unionByName(hard)))
+
+
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether they decode to it (U+2581 is a space to the model)."""
     docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
@@ -62,13 +71,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_ngram_join": op5_ngram_join,
         "op6_toxicity": op6_toxicity,
         "op7_exact_dedup": op7_exact_dedup,
+        "op8_chat_format": op8_chat_format,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_decontamination": op10_decontamination,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": OP5, "op7_exact_dedup": OP7, "op10_decontamination": OP10}
+    return {"op5_ngram_join": OP5, "op7_exact_dedup": OP7, "op8_chat_format": OP8, "op10_decontamination": OP10}
 
 
 OP5 = r"""
@@ -97,6 +107,22 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS keep_id, count(*) OVER (PART
 FROM n
 """
 
+#: formatted_chars: 24 characters of marks a turn, and one for each control string inside a text.
+OP8 = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), e AS (
+  SELECT *, len(regexp_extract_all(text, '<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*/?s>|\[\\*/?INST\]|<\\*</?SYS>>')) AS escapes FROM t
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN len(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+       sum(24 + len(role) + len(text) + escapes)::BIGINT AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
 #: translate() lower-cases A-Z alone.
 OP10 = r"""
 WITH d AS (
