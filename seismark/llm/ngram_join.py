@@ -3,15 +3,16 @@
 1. Shingles that stand in a noticeable share of the documents are found, to be put last in the order
    of all shingles (any order gives the same links; this one keeps common passages out of prefixes).
 2. Each document gets its set size, a 128-bit hash of its set, four min-hash keys, its prefix (the
-   first shingles in that order, of which two linked sets share at least one) and a 512-bit parity
-   bitmap of its set.
+   first shingles in that order, of which two linked sets share at least one) and two parity bitmaps
+   of its set, one of 512 bits and one whose width follows the size of the set.
 3. Identical sets, and sets with an equal min-hash key, are compared with the smallest id of their
    group only.  That finds most links of large groups of near copies with one comparison a document.
 4. Prefix shingles that stand in one component only are dropped.  The rest form tiles by shingle,
    size band and, if the shingle is in very many documents, block of documents.  Inside a tile, pairs
-   of different components pass if their sizes fit and the bits in which their bitmaps differ (at
-   most the elements in which the sets differ) leave room for the overlap that a link needs.
-5. What passes is compared exactly: the sorted arrays of both sets are intersected.
+   of different components pass if their sizes and the places of the shingle in both orders fit, and
+   the bits in which their bitmaps differ (at most the elements in which the sets differ) leave room
+   for the overlap that a link needs.  The wide bitmaps of the pairs that pass are compared likewise.
+5. What is left is compared exactly: the sorted arrays of both sets are intersected.
 6. Links make components.
 """
 
@@ -29,9 +30,11 @@ from seismark.llm.components import components
 from seismark.llm.shared import small, written
 from seismark.llm.text_arrays import BASE, NOT_SPACE, Words, mix, split, window_hashes
 
-#: A shingle in this share of the documents is put last in the order, at most HOT_SHINGLES of them.
-HOT_SHARE = 0.005
-HOT_SHINGLES = 100_000
+#: A shingle in this share of the documents is put last in the order, at most HOT_SHINGLES of them (8 MB).
+HOT_SHARE = 0.0005
+HOT_SHINGLES = 1_000_000
+#: Shingles are counted in chunks of so many before they are sent.
+CHUNK = 2_000_000
 #: A shingle in more live rows than this is split into blocks of documents.
 TILE_ROWS = 20_000
 BANDS, ROWS = 4, 3
@@ -65,14 +68,23 @@ def _distinct(text: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def _common(k: int):
+    def often(keys: list[np.ndarray]) -> pa.RecordBatch:
+        tokens, n = np.unique(np.concatenate(keys), return_counts=True)
+        tokens, n = tokens[n > 2], n[n > 2]
+        return pa.RecordBatch.from_arrays([pa.array(tokens.astype(np.int64)), pa.array(n, pa.int64())], ["token", "n"])
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, size = [], 0
         for batch in batches:
             for words in split(batch.column(0), NOT_SPACE):
                 key, text = shingles(words, k)
-                _, key = _distinct(text, key)
-                tokens, n = np.unique(key, return_counts=True)
-                often = n >= max(2, math.ceil(words.n_texts * HOT_SHARE))
-                yield pa.RecordBatch.from_arrays([pa.array(tokens[often].astype(np.int64)), pa.array(n[often], pa.int64())], ["token", "n"])
+                keys.append(_distinct(text, key)[1])
+                size += len(keys[-1])
+                if size >= CHUNK:
+                    yield often(keys)
+                    keys, size = [], 0
+        if keys:
+            yield often(keys)
 
     return count
 
@@ -82,11 +94,11 @@ class Order:
 
     def __init__(self, hot: np.ndarray):
         self.hot = np.sort(hot.astype(np.uint64))
-        self.table = np.zeros(1 << 20, bool)
-        self.table[self.hot & np.uint64((1 << 20) - 1)] = True
+        self.table = np.zeros(1 << 24, bool)
+        self.table[self.hot & np.uint64((1 << 24) - 1)] = True
 
     def keys(self, g: np.ndarray) -> np.ndarray:
-        at = np.flatnonzero(self.table[g & np.uint64((1 << 20) - 1)])
+        at = np.flatnonzero(self.table[g & np.uint64((1 << 24) - 1)])
         if len(at):
             near = np.searchsorted(self.hot, g[at])
             near[near == len(self.hot)] = 0
@@ -127,18 +139,23 @@ def _index(k: int, percent: int, hot):
                     bit = (g * _ODD[1]) >> np.uint64(64 - 9)
                     parity = np.bincount(text * BITMAP_BITS + bit.astype(np.int64), minlength=m * BITMAP_BITS) & 1
                     bitmap = np.packbits(parity.astype(np.uint8).reshape(m, BITMAP_BITS), axis=1)
+                # Twice the differences that a link allows fit in the wide bitmap's half that random sets fill.
+                bits = np.maximum(BITMAP_BITS, 1 << np.ceil(np.log2(np.maximum(1, n) * (4 * (100 - percent) / (100 + percent) * 2))).astype(np.int64))
+                base = np.concatenate([[0], np.cumsum(bits)])
+                bit = base[text] + ((g * _ODD[2]) >> np.uint64(20)).astype(np.int64) % bits[text]
+                wide = np.packbits((np.bincount(bit, minlength=base[-1]) & 1).astype(np.uint8))
                 width = np.where(n > 0, n - least_overlap(n, percent) + 1, 0)
                 head = np.arange(len(g)) - first[text] < width[text]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), pa.array(g[head].astype(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).slice(words.first, m), pa.array(n, pa.int64()), *[pa.array(c.view(np.int64)) for c in columns], lists, pa.array([r.tobytes() for r in bitmap], pa.binary())],
-                    ["id", "n", "set1", "set2", *[f"key{b}" for b in range(BANDS)], "prefix", "bitmap"],
+                    [batch.column(0).slice(words.first, m), pa.array(n, pa.int64()), *[pa.array(c.view(np.int64)) for c in columns], lists, pa.array([r.tobytes() for r in bitmap], pa.binary()), pa.array([wide[a // 8 : b // 8].tobytes() for a, b in zip(base[:-1], base[1:])], pa.binary())],
+                    ["id", "n", "set1", "set2", *[f"key{b}" for b in range(BANDS)], "prefix", "bitmap", "wide"],
                 )
 
     return index
 
 
-_INDEX = "id long, n long, set1 long, set2 long, " + ", ".join(f"key{b} long" for b in range(BANDS)) + ", prefix array<long>, bitmap binary"
+_INDEX = "id long, n long, set1 long, set2 long, " + ", ".join(f"key{b} long" for b in range(BANDS)) + ", prefix array<long>, bitmap binary, wide binary"
 
 
 def _sets(k: int):
@@ -179,10 +196,26 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFr
     return pairs.join(left, "a").join(right, "b").select("a", "b", "of_a", "of_b").mapInArrow(_linked(percent), "a long, b long")
 
 
+def _roomy(percent: int):
+    """Pairs whose wide bitmaps leave room for a link; the wider one is folded to the other's width."""
+
+    def roomy(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for n, x, y in zip(batch.column(2).to_numpy(), batch.column(3), batch.column(4)):
+                x, y = np.frombuffer(x.as_buffer(), np.uint8), np.frombuffer(y.as_buffer(), np.uint8)
+                width = min(len(x), len(y))
+                x, y = (np.bitwise_xor.reduce(v.reshape(-1, width), axis=0) for v in (x, y))
+                keep.append((100 + percent) * (n - int(np.bitwise_count(x ^ y).sum())) >= 2 * percent * n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return roomy
+
+
 def _tiles(percent: int):
     """Pairs of a tile that may be linked.  Rows come sorted by tile and size."""
 
-    def pairs_of(tile: np.ndarray, n, comp, ids, guest, block, lo, hi, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    def pairs_of(tile: np.ndarray, n, pos, comp, ids, guest, block, lo, hi, bits) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         at, d = np.arange(len(ids)), 0
         while len(at):
             d += 1
@@ -193,6 +226,9 @@ def _tiles(percent: int):
             at, other = at[fit], other[fit]
             want = (comp[at] != comp[other]) & ~(guest[at] & guest[other]) & ((lo[at] == hi[at]) | (block[at] != block[other]))
             x, y = at[want], other[want]
+            # At their first common shingle, what stands before it isn't shared.
+            want = (100 + percent) * np.minimum(n[x] - pos[x], n[y] - pos[y]) >= percent * (n[x] + n[y])
+            x, y = x[want], y[want]
             if len(x):
                 apart = np.bitwise_count(bits[x] ^ bits[y]).sum(axis=1, dtype=np.int64)
                 # overlap <= (n + m - apart) / 2, and a link needs (100 + percent) * overlap >= percent * (n + m)
@@ -200,7 +236,7 @@ def _tiles(percent: int):
                 yield ids[x[room]], ids[y[room]]
 
     def tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["token", "band", "lo", "hi", "n", "comp", "id", "guest", "block"]
+        names = ["token", "band", "lo", "hi", "n", "pos", "comp", "id", "guest", "block"]
         kept = None
         for batch in _with_end(batches):
             if batch is not None:
@@ -216,7 +252,7 @@ def _tiles(percent: int):
             end = len(tile) if batch is None else int(np.searchsorted(tile, tile[-1]))
             done = {c: v[:end] for c, v in kept.items()}
             kept = {c: v[end:] for c, v in kept.items()}
-            found = [np.stack(p) for p in pairs_of(tile[:end], *(done[c] for c in ("n", "comp", "id", "guest", "block", "lo", "hi", "bits")))]
+            found = [np.stack(p) for p in pairs_of(tile[:end], *(done[c] for c in ("n", "pos", "comp", "id", "guest", "block", "lo", "hi", "bits")))]
             if found:
                 a, b = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
@@ -242,6 +278,8 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     as one node.  A row with a null id is linked with nothing and has a null component_id.  An empty
     table gives an empty result.  Shingles are compared by 63-bit hashes.
     """
+    if not 0 < percent < 100 or words < 1:
+        raise ValueError("percent is between 0 and 100, words at least 1")
     spark = docs.sparkSession
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
@@ -268,12 +306,14 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     live = written(live.select("token", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks")))
     # The width is a little over 100 / percent, so that rounding puts no two linked sizes more than one band apart.
     band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(100 / percent))).cast("int")
-    rows = sets.select("id", "comp", "n", "bitmap", band.alias("own"), F.explode("prefix").alias("token")).join(small(live), "token")
+    rows = sets.select("id", "comp", "n", "bitmap", band.alias("own"), F.posexplode("prefix").alias("pos", "token")).join(small(live), "token")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True))))
-    rows = rows.select("token", (F.col("own") + F.col("guest").cast("int")).alias("band"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "n", "comp", "id", "guest", "block", "bitmap")
+    rows = rows.select("token", (F.col("own") + F.col("guest").cast("int")).alias("band"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "n", F.col("pos").cast("long").alias("pos"), "comp", "id", "guest", "block", "bitmap")
     tile = ["token", "band", "lo", "hi"]
     maybe = rows.repartition(*tile).sortWithinPartitions(*tile, "n").mapInArrow(_tiles(percent), "a long, b long").distinct()
+    wide = [nodes.select(F.col("id").alias(x), F.col("n").alias(f"n_{x}"), F.col("wide").alias(f"wide_{x}")) for x in "ab"]
+    maybe = written(maybe).join(wide[0], "a").join(wide[1], "b").select("a", "b", F.expr("n_a + n_b"), "wide_a", "wide_b").mapInArrow(_roomy(percent), "a long, b long")
     more = verified(written(maybe), texts, words, percent)
     found = small(written(components(links.unionByName(more))))
     return index.select("id", "n").join(found, "id", "left").select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id"))

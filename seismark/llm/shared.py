@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A side is broadcast only when it has at most this many rows of a few fixed-width columns.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 250_000
 
 _own_folder: str | None = None
 
