@@ -11,6 +11,7 @@ from seismark.llm.chat_format import format_conversations, read_back
 from seismark.llm.decontaminate import contamination, report
 from seismark.llm.exact_dedup import exact_dedup
 from seismark.llm.ngram_join import ngram_join
+from seismark.llm.pii_surrogates import with_surrogates
 from seismark.llm.quality_nbsvm import quality_scores
 from seismark.llm.sentencepiece_lattice import decode, encode
 from seismark.llm.shared import table
@@ -29,6 +30,10 @@ def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_surrogates(table(spark, sf_dir, "documents").select("doc_id", "text"), "a key of the owner")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(spark, sf_dir, "documents"), model_path())
 
@@ -67,6 +72,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_nbsvm": op2_quality_nbsvm,
+        "op3_pii_surrogates": op3_pii_surrogates,
         "op4_token_counts": op4_token_counts,
         "op5_ngram_join": op5_ngram_join,
         "op6_toxicity": op6_toxicity,
