@@ -13,6 +13,7 @@ from seismark.llm.exact_dedup import exact_dedup
 from seismark.llm.ngram_join import ngram_join
 from seismark.llm.pii_surrogates import with_surrogates
 from seismark.llm.quality_nbsvm import quality_scores
+from seismark.llm.secret_scan import scan
 from seismark.llm.sentencepiece_lattice import decode, encode
 from seismark.llm.shared import table
 from seismark.llm.token_counts import token_counts
@@ -26,6 +27,10 @@ def model_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents"))
+
+
 def op2_quality_nbsvm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -71,6 +76,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_secret_scan": op1_secret_scan,
         "op2_quality_nbsvm": op2_quality_nbsvm,
         "op3_pii_surrogates": op3_pii_surrogates,
         "op4_token_counts": op4_token_counts,
