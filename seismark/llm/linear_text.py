@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from seismark.llm.shared import small, written
+from seismark.llm.shared import bounded_batches, small, written
 from seismark.llm.text_arrays import BASE, LOWER, NOT_SPACE, WORD_CHARS, Words, mix, split, window_hashes
 
 BUCKET_BITS = 20
@@ -155,8 +155,26 @@ class LinearScore:
         return sigmoid(self.slope * margins + self.intercept)
 
 
+def under(docs: DataFrame, model: LinearScore, features: Features, *, text_col: str = "text", threshold: float) -> DataFrame:
+    """The rows of docs whose whole text scores under threshold."""
+    bounded_batches(docs.sparkSession)
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        for batch in batches:
+            low = np.zeros(batch.num_rows, bool)
+            for first, n, text, bucket in features(batch.column(at)):
+                sums = np.bincount(text, weights=model.weights[bucket], minlength=n)
+                low[first : first + n] = model.probability(model.margins(sums, np.bincount(text, minlength=n))) < threshold
+            yield batch.filter(pa.array(low))
+
+    return docs.mapInArrow(keep, docs.schema)
+
+
 def scored(docs: DataFrame, model: LinearScore, features: Features, *, id_col: str = "doc_id", text_col: str = "text", threshold: float) -> DataFrame:
     """docs's ids with held_out, score and predicted; every whole text, null as empty."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -74,6 +74,12 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -86,6 +92,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_decontamination": op10_decontamination,
+        "pipeline": pipeline,
     }
 
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from seismark.llm.linear_text import BUCKETS, LinearScore, Sample, labelled_sample, platt, scored, sigmoid, word_features
+from seismark.llm.linear_text import BUCKETS, LinearScore, Sample, labelled_sample, platt, scored, sigmoid, under, word_features
 
 SAMPLE_ROWS = 12_000
 
@@ -111,3 +111,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id
     """
     model = fit(labelled_sample(docs, labels, word_features, label_col=label_col, limit=limit, id_col=id_col, text_col=text_col), terms=terms)
     return scored(docs, model, word_features, id_col=id_col, text_col=text_col, threshold=threshold)
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", threshold: float = 0.3, limit: int = SAMPLE_ROWS, terms: dict[str, list[str]] | None = None) -> DataFrame:
+    """The rows of docs that score under threshold, with the columns of docs; otherwise as toxicity_scores."""
+    model = fit(labelled_sample(docs, labels, word_features, label_col=label_col, limit=limit, id_col=id_col, text_col=text_col), terms=terms)
+    return under(docs, model, word_features, text_col=text_col, threshold=threshold)
