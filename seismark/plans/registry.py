@@ -24,9 +24,15 @@ def query(name: str, sql: str | None = None):
     return register
 
 
+def _load() -> None:
+    from seismark.plans import event_queries, model_queries  # noqa: F401  they register themselves
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    _load()
     return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _load()
     return dict(ORACLES)
