@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seismark.llm.shared import written
+from seismark.llm.shared import bounded_batches, written
 from seismark.llm.text_arrays import WORD_CHARS, Words, split, window_hashes
 
 #: Windows in one broadcast block: 8 bytes of hash and about 100 bytes of words each.
@@ -130,6 +130,7 @@ def contamination(
     are left out.  Repeated rows give repeated results.  Without benchmark items nothing is hit.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
     items = benchmark.select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{item_text_col}`")).dropna().toLocalIterator()
     scans = []
@@ -188,6 +189,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "docum
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
     spark, names = docs.sparkSession, docs.columns
+    bounded_batches(spark)
     items = benchmark.select(F.col(f"`{options.pop('item_col', 'item_id')}`").cast("string"), F.col(f"`{options.pop('item_text_col', 'text')}`")).dropna().toLocalIterator()
     at, schema = names.index(text_col), docs.schema
     window, limit = options.pop("window", 10), options.pop("block_windows", BLOCK_WINDOWS)

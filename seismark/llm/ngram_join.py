@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seismark.llm.components import components
-from seismark.llm.shared import small, written
+from seismark.llm.shared import bounded_batches, small, written
 from seismark.llm.text_arrays import BASE, NOT_SPACE, Words, mix, split, window_hashes
 
 #: A shingle in this share of the documents is put last in the order, at most HOT_SHINGLES of them (8 MB).
@@ -281,6 +281,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     if not 0 < percent < 100 or words < 1:
         raise ValueError("percent is between 0 and 100, words at least 1")
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     common = texts.select("text").mapInArrow(_common(words), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))

@@ -40,6 +40,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     return F.broadcast(df) if df.count() <= rows else df
 
 
+def bounded_batches(spark: SparkSession, size: str = "16m") -> None:
+    """Texts reach Python in batches of that size at most, unless the session asks for another."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key) == "67108864b":  # the default
+        spark.conf.set(key, size)
+
+
 def free_name(df: DataFrame, name: str) -> str:
     """name, with underscores before it until no column of df is called so (in any case)."""
     taken = {c.lower() for c in df.columns}

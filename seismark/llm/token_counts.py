@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seismark.llm.piece_model import load, pretokens, slices
-from seismark.llm.shared import written
+from seismark.llm.shared import bounded_batches, written
 
 #: Frequent pre-tokens at most, and their longest length in bytes: the broadcast has 70 MB at most.
 HEAD = 1 << 20
@@ -76,6 +76,7 @@ def token_counts(docs: DataFrame, model: str, *, id_col: str = "doc_id", text_co
         raise ValueError("model is a SentencePiece .model file")
     load(model)  # checks that pre-tokens can be counted by themselves
     spark = docs.sparkSession
+    bounded_batches(spark)
     texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
