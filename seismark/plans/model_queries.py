@@ -1 +1,358 @@
-"""Queries of travel times, location, association and signals."""
+"""Queries of travel times, location, association and signals, and of checks and reports."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from seismark.functions.tables import materialised, ranked
+from seismark.operators import association, geometry, intervals, iterative, joins, location, picks, reports, signal, stats, tiers
+from seismark.plans import adapters as A
+from seismark.plans.adapters import T0, T1, with_tables
+from seismark.plans.event_queries import GAPS, PAIRS, SELECTED, TIERED, _gaps, _pairs, _selected, _tiered, rounded
+from seismark.plans.registry import query
+
+LAYERS = location.Layers((2000.0, 1500.0, 800.0, -500.0), (2500.0, 3500.0, 4800.0, 5800.0), (1400.0, 2000.0, 2800.0, 3350.0))
+SPEED = 5000.0
+
+
+def _nodes(spark):
+    i = F.col("id")
+    return spark.range(50).select(i.alias("node"), (F.pmod(i, F.lit(5)) * 5000.0 - 10000).alias("x"), (F.pmod(F.floor(i / 5), F.lit(5)) * 5000.0 - 10000).alias("y"), (F.floor(i / 25) * -2000.0).alias("z"))
+
+
+def _arrivals(spark, d):
+    s = F.broadcast(A.stations(spark, d).select("stationId", "e", "n", "elevM"))  # a network's stations
+    return _selected(spark, d).join(s, "stationId").select("eventId", "stationId", "phase", "id", "prob", (F.col("t") - F.col("eventId") * 3600).alias("t"), "w", "e", "n", "elevM")
+
+
+def _misfits(spark, d):
+    tt = F.sqrt((F.col("e") - F.col("x")) * (F.col("e") - F.col("x")) + (F.col("n") - F.col("y")) * (F.col("n") - F.col("y")) + (F.col("elevM") - F.col("z")) * (F.col("elevM") - F.col("z"))) / SPEED
+    return location.grid_misfits(_arrivals(spark, d), _nodes(spark), tt)
+
+
+MISFITS = SELECTED + """, nodes AS (SELECT i AS node, (i % 5) * 5000.0::DOUBLE - 10000 AS x, ((i // 5) % 5) * 5000.0::DOUBLE - 10000 AS y, (i // 25) * -2000.0::DOUBLE AS z FROM range(50) r(i)),
+dd AS (SELECT p.eventId, node, p.stationId, phase, w, (t - p.eventId * 3600) - sqrt((e - x) * (e - x) + (n - y) * (n - y) + (elevM - z) * (elevM - z)) / 5000 AS d FROM sel p JOIN stations s ON s.stationId = p.stationId, nodes),
+rr AS (SELECT *, sum(w) OVER (PARTITION BY eventId, node ORDER BY d, stationId, phase ROWS UNBOUNDED PRECEDING) AS run, sum(w) OVER (PARTITION BY eventId, node) AS tot FROM dd),
+t0 AS (SELECT eventId, node, min(d) AS t0 FROM rr WHERE 2 * run >= tot GROUP BY 1, 2),
+mis AS (SELECT eventId, node, any_value(t0) AS t0, sum(w * abs(d - t0)) AS misfit FROM dd JOIN t0 USING (eventId, node) GROUP BY 1, 2)"""
+
+
+@query("q50_grid_locate_l1", with_tables(MISFITS + ", r AS (SELECT *, row_number() OVER (PARTITION BY eventId ORDER BY round(misfit, 4), node) AS k FROM mis) SELECT eventId, node, round(t0, 5) AS t0, round(misfit, 3) AS misfit FROM r WHERE k = 1"))
+def q50(spark, d):
+    return rounded(rounded(location.best_node(_misfits(spark, d)), "t0", places=5), "misfit", places=3)
+
+
+@query("q51_pdf_moments", with_tables(MISFITS + """, m AS (SELECT eventId, node, exp(-0.0001 * (misfit - min(misfit) OVER (PARTITION BY eventId))) AS m FROM mis),
+s AS (SELECT eventId, sum(m) AS s, sum(m * x) / sum(m) AS x, sum(m * y) / sum(m) AS y, sum(m * z) / sum(m) AS z, sum(m * x * x) / sum(m) AS xx, sum(m * y * y) / sum(m) AS yy, sum(m * z * z) / sum(m) AS zz, sum(m * x * y) / sum(m) AS xy FROM m JOIN nodes USING (node) GROUP BY 1),
+c AS (SELECT *, greatest(xx - x * x, 5000.0 * 5000 / 12) AS vx, greatest(yy - y * y, 5000.0 * 5000 / 12) AS vy, greatest(zz - z * z, 5000.0 * 5000 / 12) AS vz, xy - x * y AS cxy FROM s)
+SELECT eventId, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z, round(sqrt(-2 * ln(1 - 0.9::DOUBLE) * ((vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + cxy * cxy))), 2) AS hErrM, round(sqrt(-2 * ln(1 - 0.9::DOUBLE) * vz), 2) AS vErrM FROM c"""))
+def q51(spark, d):
+    m = location.pdf_moments(_misfits(spark, d), _nodes(spark), 0.0001, 5000.0, 0.9)
+    return rounded(m, "x", "y", "z", "hErrM", "vErrM", places=2)
+
+
+@query("q52_straight_ray", with_tables(""", l AS (SELECT * FROM (VALUES (2000.0::DOUBLE, 1500.0::DOUBLE, 2500.0::DOUBLE), (1500, 800, 3500), (800, -500, 4800), (-500, -1e9, 5800)) v(t, b, v)),
+p AS (SELECT stationId, sqrt(e * e + n * n) AS r, elevM AS hi, -1000.0::DOUBLE AS lo FROM stations)
+SELECT stationId, round(sum(greatest(0, least(hi, t) - greatest(lo, b)) / v) * any_value(sqrt(r * r + (hi - lo) * (hi - lo)) / (hi - lo)), 6) AS seconds FROM p, l GROUP BY 1"""))
+def q52(spark, d):
+    s = A.stations(spark, d)
+    return s.select("stationId", F.round(location.straight_ray(LAYERS, "P", F.hypot("e", "n"), F.lit(-1000.0), F.col("elevM")), 6).alias("seconds"))
+
+
+@query("q53_first_arrivals")
+def q53(spark, d):
+    """P and S times from a common source to each pick's station, and what is left of the pick."""
+    a = _arrivals(spark, d)
+    r, src = F.hypot("e", "n"), F.lit(-1000.0)
+    t = F.when(F.col("phase") == "P", location.travel_time(LAYERS, "P")(r, src, "elevM")).otherwise(location.travel_time(LAYERS, "S")(r, src, "elevM"))
+    return a.select("id", "eventId", "phase", F.round(t, 6).alias("seconds"), F.round(F.col("t") - t, 6).alias("residual"))
+
+
+def _times(spark, d):
+    s = A.stations(spark, d).where("usedInRun").select("stationId", "e", "n", "elevM")
+    grid = s.join(F.broadcast(_nodes(spark))).withColumn("phase", F.explode(F.array(F.lit("P"), F.lit("S"))))  # 50 nodes
+    dist = F.sqrt(F.pow(F.col("e") - F.col("x"), 2) + F.pow(F.col("n") - F.col("y"), 2) + F.pow(F.col("elevM") - F.col("z"), 2))
+    return grid.select("node", "stationId", "phase", (dist / F.when(F.col("phase") == "P", 5000.0).otherwise(2900.0)).alias("seconds"))
+
+
+@query("q54_associate")
+def q54(spark, d):
+    p = _selected(spark, d).drop("eventId")
+    rows = association.associate(p, _times(spark, d), width=300.0, apart=3600.0, tolerance=300.0, minimums={"nPicks": 4, "nStations": 3}, within=600.0, share=0.5)
+    return rounded(rows, "eventT", "residual")
+
+
+@query("q55_locate_events")
+def q55(spark, d):
+    v = location.Volume((-10000.0, 10000.0), (-10000.0, 10000.0), (-3000.0, 1000.0), (5000.0, 1000.0), least_picks=6)
+    return rounded(location.locate_events(_arrivals(spark, d), LAYERS, v), "t", "rmsS", "meanPickProb")
+
+
+@query("q56_type_ledger", """SELECT event_type AS type, count(*) AS n, event_type IN ('click', 'view', 'signup') AS kept FROM events GROUP BY 1""")
+def q56(spark, d):
+    from seismark.functions.tables import table
+
+    return reports.type_ledger(table(spark, d, "events"), "event_type", ["click", "view", "signup"])
+
+
+@query("q57_run_reasons", with_tables(f""" SELECT coalesce(CASE WHEN NOT (t >= {T0 + 86400} AND t < {T1 - 86400}) THEN 'window' WHEN NOT e BETWEEN -8000 AND 8000 THEN 'east' WHEN NOT n BETWEEN -8000 AND 8000 THEN 'north' END, 'kept') AS reason, count(*) AS n FROM catalog GROUP BY 1"""))
+def q57(spark, d):
+    why = reports.run_reason(F.col("t"), F.col("e"), F.col("n"), T0 + 86400, T1 - 86400, (-8000.0, 8000.0, -8000.0, 8000.0))
+    return A.catalog(spark, d).groupBy(F.coalesce(why, F.lit("kept")).alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q58_magnitude_scales", with_tables(" SELECT magType, magType = 'ml' AS kept, count(*) AS n, round(min(mag), 6) AS low, round(max(mag), 6) AS high FROM catalog GROUP BY 1"))
+def q58(spark, d):
+    return rounded(A.catalog(spark, d).groupBy("magType").agg(F.count(F.lit(1)).alias("n"), F.min("mag").alias("low"), F.max("mag").alias("high")).withColumn("kept", F.col("magType") == "ml"), "low", "high")
+
+
+@query("q59_pick_holders", with_tables(SELECTED + ", a AS (SELECT id AS pickId, eventId + k AS eventId FROM sel CROSS JOIN (VALUES (0), (1)) v(k) WHERE prob > 0.5 OR k = 0) SELECT pickId, string_agg(DISTINCT eventId::VARCHAR, ',' ORDER BY eventId::VARCHAR) AS events FROM a GROUP BY 1"))
+def q59(spark, d):
+    s = _selected(spark, d).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where("prob > 0.5 OR k = 0")
+    h = joins.holders(s.select(F.col("id").alias("pickId"), (F.col("eventId") + F.col("k")).alias("eventId")))
+    return h.select("pickId", F.array_join(F.array_sort(F.transform("events", lambda x: x.cast("string"))), ",").alias("events"))
+
+
+@query("q60_densified_arrivals", with_tables(SELECTED + """, ev AS (SELECT DISTINCT eventId FROM sel), first AS (SELECT eventId, stationId, phase, min(t) AS tObs FROM sel GROUP BY 1, 2, 3)
+SELECT ev.eventId, count(*) AS cells, count(tObs) AS observed FROM ev CROSS JOIN (SELECT stationId FROM stations WHERE usedInRun) s CROSS JOIN (VALUES ('P'), ('S')) p(phase) LEFT JOIN first f ON f.eventId = ev.eventId AND f.stationId = s.stationId AND f.phase = p.phase GROUP BY 1"""))
+def q60(spark, d):
+    s = _selected(spark, d)
+    first = s.groupBy("eventId", "stationId", "phase").agg(F.min("t").alias("tObs"))
+    return joins.densified(s.select("eventId").distinct(), A.stations(spark, d), first).groupBy("eventId").agg(F.count(F.lit(1)).alias("cells"), F.count("tObs").alias("observed"))
+
+
+@query("q61_amplitude_anchors", with_tables(SELECTED + """, a AS (SELECT eventId, stationId, phase, min(CASE WHEN prob > 0.5 THEN t END) AS o, eventId * 3600 + 30.0::DOUBLE AS p FROM sel GROUP BY 1, 2, 3)
+SELECT eventId, stationId, round(max(coalesce(o, p)) FILTER (phase = 'P'), 6) AS tP, max(CASE WHEN o IS NULL THEN 'predicted' ELSE 'observed' END) FILTER (phase = 'P') AS pAnchor, round(max(coalesce(o, p)) FILTER (phase = 'S'), 6) AS tS, max(CASE WHEN o IS NULL THEN 'predicted' ELSE 'observed' END) FILTER (phase = 'S') AS sAnchor FROM a GROUP BY 1, 2"""))
+def q61(spark, d):
+    a = _selected(spark, d).groupBy("eventId", "stationId", "phase").agg(F.min(F.when(F.col("prob") > 0.5, F.col("t"))).alias("tObs"))
+    a = a.withColumn("used", F.col("tObs").isNotNull()).withColumn("tPred", F.col("eventId") * 3600 + 30.0)
+    return rounded(reports.amplitude_windows(a), "tP", "tS")
+
+
+@query("q62_table_lookup", with_tables(""", tab AS (SELECT i, j, sqrt((i * 2000.0::DOUBLE)**2 + (j * 100.0::DOUBLE)**2) / 5000 AS s FROM range(9) a(i), range(31) b(j)),
+p AS (SELECT stationId, sqrt(e * e + n * n) / 2000 AS x, elevM / 100 AS y FROM stations),
+c AS (SELECT stationId, floor(x)::BIGINT + a AS i, floor(y)::BIGINT + b AS j, (CASE WHEN a = 1 THEN x - floor(x) ELSE 1 - (x - floor(x)) END) * (CASE WHEN b = 1 THEN y - floor(y) ELSE 1 - (y - floor(y)) END) AS w FROM p, (VALUES (0), (1)) v(a), (VALUES (0), (1)) u(b))
+SELECT stationId AS pointId, round(sum(w * s), 6) AS seconds FROM c LEFT JOIN tab USING (i, j) WHERE w > 0 GROUP BY 1 HAVING count(*) = count(s)"""))
+def q62(spark, d):
+    i, j = F.pmod("id", F.lit(9)), F.floor(F.col("id") / 9)
+    tab = spark.range(279).select(i.alias("ir"), j.alias("iz"), (F.sqrt(F.pow(i * 2000.0, 2) + F.pow(j * 100.0, 2)) / 5000).alias("seconds"))
+    p = A.stations(spark, d).select(F.col("stationId").alias("pointId"), F.sqrt(F.col("e") * F.col("e") + F.col("n") * F.col("n")).alias("r"), F.col("elevM").alias("z"))
+    return rounded(location.lookup(p, tab, 0.0, 2000.0, 0.0, 100.0), "seconds")
+
+
+@query("q63_covered_seconds", with_tables(f" SELECT stationId, channel, round(sum(greatest(0, least(stop, {T0 + 864000}) - greatest(start, {T0 + 86400}))), 3) AS covered FROM segments GROUP BY 1, 2"))
+def q63(spark, d):
+    return rounded(intervals.covered_seconds(A.segments(spark, d), ["stationId", "channel"], T0 + 86400, T0 + 864000), "covered", places=3)
+
+
+@query("q64_interval_intersection", with_tables(""", u AS (SELECT channel, stationId, start, stop, max(stop) OVER (PARTITION BY channel, stationId ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM segments WHERE channel IN ('click', 'view')),
+v AS (SELECT *, sum(CASE WHEN p IS NULL OR start > p THEN 1 ELSE 0 END) OVER (PARTITION BY channel, stationId ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS k FROM u),
+m AS (SELECT channel, stationId, min(start) AS start, max(stop) AS stop FROM v GROUP BY channel, stationId, k)
+SELECT a.stationId, round(greatest(a.start, b.start), 6) AS start, round(least(a.stop, b.stop), 6) AS stop FROM m a JOIN m b ON a.stationId = b.stationId AND a.channel = 'click' AND b.channel = 'view' AND greatest(a.start, b.start) < least(a.stop, b.stop)"""))
+def q64(spark, d):
+    s = A.segments(spark, d)
+    return rounded(intervals.intersect(s.where("channel = 'click'").drop("channel"), s.where("channel = 'view'").drop("channel"), ["stationId"]), "start", "stop")
+
+
+@query("q65_data_edges", with_tables(f" SELECT stationId, count(*) AS edges, round(min(edge), 6) AS first, round(max(edge), 6) AS last FROM (SELECT DISTINCT stationId, edge FROM (SELECT stationId, start AS edge FROM segments UNION ALL SELECT stationId, stop FROM segments) WHERE edge NOT IN ({T0}, {T1})) GROUP BY 1"))
+def q65(spark, d):
+    e = intervals.data_edges(A.segments(spark, d), ["stationId"], T0, T1)
+    return rounded(e.groupBy("stationId").agg(F.count(F.lit(1)).alias("edges"), F.min("edge").alias("first"), F.max("edge").alias("last")), "first", "last")
+
+
+@query("q66_user_sort", with_tables(" SELECT eventId, row_number() OVER (ORDER BY hErrM DESC NULLS LAST, t, eventId) AS place FROM located"))
+def q66(spark, d):
+    return ranked(A.located(spark, d), *tiers.user_order("hErrM", True), name="place").select("eventId", "place")
+
+
+@query("q67_stations_by_picks", with_tables(f", c AS (SELECT s.stationId, count(p.id) AS n FROM stations s LEFT JOIN picks p ON p.stationId = s.stationId AND p.phase = 'P' AND p.t >= {T0 + 86400} AND p.t < {T0 + 864000} GROUP BY 1) SELECT stationId, n, row_number() OVER (ORDER BY n DESC, stationId) AS place FROM c"))
+def q67(spark, d):
+    p = A.picks(spark, d).where((F.col("phase") == "P") & (F.col("t") >= T0 + 86400) & (F.col("t") < T0 + 864000)).groupBy("stationId").agg(F.count(F.lit(1)).alias("c"))
+    n = A.stations(spark, d).select("stationId").join(p, "stationId", "left").select("stationId", F.coalesce("c", F.lit(0)).alias("n"))
+    return ranked(n, F.desc("n"), "stationId", name="place")
+
+
+SWEEP_SQL = SELECTED + """, st AS (SELECT eventId, count(*) AS np, count(DISTINCT stationId) AS ns, count(*) FILTER (phase = 'S') AS s FROM sel GROUP BY 1),
+grid AS (SELECT a AS minStations, b AS nSPicks FROM (VALUES (4), (5), (6), (8)) x(a), (VALUES (0), (1), (2)) y(b)), swept AS (SELECT minStations, nSPicks, count(eventId) AS candidates FROM grid LEFT JOIN st ON ns >= minStations AND s >= nSPicks GROUP BY 1, 2)"""
+
+
+def _sweep(spark, d):
+    counts = picks.pick_counts(_selected(spark, d)).join(_selected(spark, d).where("phase = 'S'").groupBy("eventId").agg(F.count(F.lit(1)).alias("s")), "eventId", "left")
+    grid = spark.createDataFrame([(a, b) for a in (4, 5, 6, 8) for b in (0, 1, 2)], "minStations int, nSPicks int")
+    hit = counts.join(F.broadcast(grid), (F.col("nStations") >= F.col("minStations")) & (F.coalesce("s", F.lit(0)) >= F.col("nSPicks")))  # twelve points
+    return grid.join(hit.groupBy("minStations", "nSPicks").agg(F.count(F.lit(1)).alias("c")), ["minStations", "nSPicks"], "left").select("minStations", "nSPicks", F.coalesce("c", F.lit(0)).alias("candidates"))
+
+
+@query("q68_association_sweep", with_tables(SWEEP_SQL + " SELECT minStations, nSPicks, candidates FROM swept"))
+def q68(spark, d):
+    return _sweep(spark, d)
+
+
+@query("q69_best_grid_point", with_tables(SWEEP_SQL + " SELECT minStations, nSPicks, candidates FROM swept ORDER BY candidates DESC, minStations, nSPicks LIMIT 1"))
+def q69(spark, d):
+    return _sweep(spark, d).orderBy(F.desc("candidates"), "minStations", "nSPicks").limit(1)
+
+
+@query("q70_held_out_terms", with_tables(""", f AS (SELECT stationId, phase, eventId, value - 50 AS r, (eventId % 4) AS fold FROM picks), h AS (SELECT g.range AS fold, f.stationId, f.phase, f.eventId, f.r FROM f JOIN range(4) g ON g.range <> f.fold)
+SELECT fold, stationId, phase, round(median(r), 6) AS raw, count(DISTINCT eventId) AS nEvents, CASE WHEN count(DISTINCT eventId) < 10 THEN 0 ELSE round(greatest(-10, least(10, median(r))), 6) END AS term FROM h GROUP BY 1, 2, 3"""))
+def q70(spark, d):
+    p = A.picks(spark, d).select("stationId", "phase", "eventId", (F.col("value") - 50).alias("r"), F.pmod("eventId", F.lit(4)).alias("fold"))
+    return rounded(iterative.held_out_terms(p, 4, 10.0, 10), "raw", "term")
+
+
+@query("q71_recency", with_tables(f" SELECT eventId, round(CASE WHEN t > {T0 + 864000} THEN 0 ELSE greatest(0, 1 - ({T0 + 864000} - t) / 172800) END, 6) AS glow FROM located"))
+def q71(spark, d):
+    return A.located(spark, d).select("eventId", F.round(reports.recency(F.col("t"), F.lit(T0 + 864000), 172800.0), 6).alias("glow"))
+
+
+@query("q72_row_positions", with_tables(f" SELECT floor((t - {T0}) / 1800)::BIGINT AS row, count(*) AS n, round(min((t - {T0}) - floor((t - {T0}) / 1800) * 1800), 4) AS first FROM picks GROUP BY 1"))
+def q72(spark, d):
+    into = F.col("t") - T0
+    return A.picks(spark, d).groupBy(F.floor(into / 1800).alias("row")).agg(F.count(F.lit(1)).alias("n"), F.round(F.min(into - F.floor(into / 1800) * 1800), 4).alias("first"))
+
+
+@query("q73_largest_known", with_tables(f" SELECT catalogId, round(mag, 6) AS mag FROM catalog WHERE t >= {T0} AND t < {T1} AND mag IS NOT NULL AND e BETWEEN -9000 AND 9000 ORDER BY catalog.mag DESC, t, catalogId LIMIT 10"))
+def q73(spark, d):
+    c = A.catalog(spark, d).where((F.col("t") >= T0) & (F.col("t") < T1) & F.col("mag").isNotNull() & F.col("e").between(-9000, 9000))
+    return rounded(c.orderBy(F.desc("mag"), "t", "catalogId").limit(10).select("catalogId", "mag"), "mag")
+
+
+@query("q74_integrity_checks", with_tables(TIERED + """ SELECT 'duplicateEvents' AS check, count(*) - count(DISTINCT eventId) AS violations FROM tiered UNION ALL SELECT 'unknownStations', count(*) FROM picks WHERE stationId NOT IN (SELECT id FROM stations)
+UNION ALL SELECT 'unusedStations', count(*) FROM picks WHERE stationId NOT IN (SELECT id FROM stations WHERE usedInRun) UNION ALL SELECT 'reasonsOfA', count(*) FROM tiered WHERE tier = 'A' AND fa <> '' UNION ALL SELECT 'badProbability', count(*) FROM picks WHERE prob NOT BETWEEN 0 AND 1"""))
+def q74(spark, d):
+    t, p, s = _tiered(spark, d), A.picks(spark, d), A.stations(spark, d)
+    return reports.violations({
+        "duplicateEvents": reports.duplicates(t, "eventId"), "unknownStations": reports.foreign(p, "stationId", s, "id"), "unusedStations": reports.foreign(p, "stationId", s.where("usedInRun"), "id"),
+        "reasonsOfA": t.where((F.col("tier") == "A") & (F.size("tierReasons") > 0)), "badProbability": p.where(~F.col("prob").between(0, 1)),
+    })
+
+
+@query("q75_null_summary", with_tables(""", s AS (SELECT i, floor((t + ((i * 7919 + p.stationId * 104729 + 5) % 60001) / 1000.0::DOUBLE - 30) / 3600)::BIGINT AS eventId, stationId FROM picks p, range(5) r(i)),
+e AS (SELECT i, eventId FROM s GROUP BY 1, 2 HAVING count(*) >= 10), c AS (SELECT i, count(*) AS n FROM e GROUP BY 1) SELECT count(*) AS shuffles, round(avg(n), 6) AS meanEvents, round(stddev_samp(n), 6) AS stdEvents FROM c"""))
+def q75(spark, d):
+    from seismark.plans.event_queries import q42
+
+    c = q42(spark, d).groupBy("shuffle").agg(F.count(F.lit(1)).alias("n"))
+    return rounded(c.agg(F.count(F.lit(1)).alias("shuffles"), F.avg("n").alias("meanEvents"), F.stddev_samp("n").alias("stdEvents")), "meanEvents", "stdEvents")
+
+
+@query("q76_chance_expectation", with_tables(f" SELECT (SELECT count(*) FROM located) AS located, count(*) AS public, round((SELECT count(*) FROM located) * 2 * 2.0::DOUBLE / {T1 - T0}, 9) AS perEvent, round(count(*) * (SELECT count(*) FROM located) * 2 * 2.0::DOUBLE / {T1 - T0}, 6) AS total FROM catalog"))
+def q76(spark, d):
+    n = A.located(spark, d).agg(F.count(F.lit(1)).alias("located")).join(A.catalog(spark, d).agg(F.count(F.lit(1)).alias("public")))  # one row each
+    per = F.col("located") * 2 * 2.0 / (T1 - T0)
+    return n.select("located", "public", F.round(per, 9).alias("perEvent"), F.round(F.col("public") * per, 6).alias("total"))
+
+
+@query("q77_window_usability", with_tables(GAPS + """, g2 AS (SELECT stationId, count(DISTINCT channel) AS holed, max(gapEnd - gapStart) AS worst FROM gaps GROUP BY 1), c AS (SELECT stationId, count(DISTINCT channel) AS components FROM segments GROUP BY 1)
+SELECT c.stationId, concat_ws('; ', CASE WHEN components < 5 THEN 'components' END, CASE WHEN coalesce(worst, 0) > 1296000 THEN 'gap' END) AS reasons, components >= 5 AND coalesce(worst, 0) <= 1296000 AS usable FROM c LEFT JOIN g2 USING (stationId)"""))
+def q77(spark, d):
+    worst = _gaps(spark, d).groupBy("stationId").agg(F.max(F.col("gapEnd") - F.col("gapStart")).alias("worst"))
+    c = A.segments(spark, d).groupBy("stationId").agg(F.countDistinct("channel").alias("components")).join(worst, "stationId", "left")
+    bad = F.concat_ws("; ", F.when(F.col("components") < 5, "components"), F.when(F.coalesce("worst", F.lit(0.0)) > 1296000, "gap"))
+    return c.select("stationId", bad.alias("reasons"), (bad == "").alias("usable"))
+
+
+@query("q78_scene_points", with_tables(" SELECT stationId, round(e / 1000, 6) AS x, round(elevM / 1000 * 2, 6) AS y, round(-n / 1000, 6) AS z FROM stations"))
+def q78(spark, d):
+    return A.stations(spark, d).select("stationId", geometry.scene(F.col("e"), F.col("n"), F.col("elevM"), 2.0).alias("s")).select("stationId", F.round("s.x", 6).alias("x"), F.round("s.y", 6).alias("y"), F.round("s.z", 6).alias("z"))
+
+
+@query("q79_display_rows", with_tables(TIERED + " SELECT eventId, strftime(to_timestamp(floor(t)) AT TIME ZONE 'UTC', '%H:%M:%S') AS clock, tier, nStations::BIGINT AS nStations, catalogId IS NOT NULL AS inCatalog FROM tiered"))
+def q79(spark, d):
+    return _tiered(spark, d).select("eventId", reports.clock(F.col("t")).alias("clock"), "tier", F.col("nStations").cast("long").alias("nStations"), F.col("catalogId").isNotNull().alias("inCatalog"))
+
+
+@query("q80_csv_lines", """SELECT concat_ws(',', c_custkey::VARCHAR, CASE WHEN c_name LIKE '%,%' OR c_name LIKE '%"%' THEN '"' || replace(c_name, '"', '""') || '"' ELSE coalesce(c_name, '') END, coalesce(c_mktsegment, '')) AS line FROM customer""")
+def q80(spark, d):
+    from seismark.functions.tables import table
+
+    return reports.csv_lines(table(spark, d, "customer"), ["c_custkey", "c_name", "c_mktsegment"])
+
+
+@query("q81_column_envelope", with_tables(", x AS (SELECT segmentId, unnest(samples) AS v, generate_subscripts(samples, 1) - 1 AS i, len(samples) AS n FROM samples) SELECT segmentId, floor(i * 16.0 / n)::BIGINT AS column, round(min(v), 6) AS low, round(max(v), 6) AS high FROM x GROUP BY 1, 2"))
+def q81(spark, d):
+    return rounded(signal.column_envelope(A.samples(spark, d), 1.0, 16), "low", "high")
+
+
+@query("q82_triggers", with_tables(""", x AS (SELECT segmentId, unnest(samples) AS v, generate_subscripts(samples, 1) - 1 AS i FROM samples), y AS (SELECT *, CASE WHEN v > 0.15 THEN 1 WHEN v < -0.05 THEN 0 END AS m FROM x),
+s AS (SELECT *, coalesce(last_value(m IGNORE NULLS) OVER (PARTITION BY segmentId ORDER BY i ROWS UNBOUNDED PRECEDING), 0) AS st FROM y), c AS (SELECT *, lag(st, 1, 0) OVER (PARTITION BY segmentId ORDER BY i) AS p FROM s)
+SELECT segmentId, count(*) FILTER (st = 1 AND p = 0) AS onsets, sum(st)::BIGINT AS live FROM c GROUP BY 1"""))
+def q82(spark, d):
+    t = signal.triggers(A.samples(spark, d), 0.15, -0.05, "samples")
+    n = t.groupBy("segmentId").agg(F.count(F.lit(1)).alias("onsets"), F.sum(F.col("end") - F.col("begin")).cast("long").alias("live"))
+    return A.samples(spark, d).select("segmentId").join(n, "segmentId", "left").select("segmentId", F.coalesce("onsets", F.lit(0)).alias("onsets"), F.coalesce("live", F.lit(0)).alias("live"))
+
+
+@query("q83_sta_lta")
+def q83(spark, d):
+    cf = signal.characteristic_function(A.samples(spark, d), 4, 16)
+    return signal.triggers(cf, 2.0, 1.0)
+
+
+@query("q84_prepared_segments")
+def q84(spark, d):
+    return rounded(signal.array_stats(signal.prepared(A.samples(spark, d), 64.0, 4.0, 16.0)), "peak", "gain", "mean", places=5)
+
+
+@query("q85_median_polish")
+def q85(spark, d):
+    a = _arrivals(spark, d).select("eventId", "stationId", "phase", (F.col("t") - F.hypot("e", "n") / SPEED).alias("d"), "w")
+    return rounded(iterative.median_polish(a, rounds=2, cap=600.0, least=5), "term")
+
+
+@query("q86_merge_duplicates")
+def q86(spark, d):
+    s = _selected(spark, d).withColumn("k", F.explode(F.array(F.lit(0), F.lit(1)))).where("prob > 0.3 OR k = 0")
+    e = F.floor(F.col("t") / 3600) * 2 + F.col("k")
+    rows = s.select(e.alias("eventId"), (F.floor(F.col("t") / 3600) * 3600.0 + F.col("k")).alias("eventT"), F.col("id").alias("pickId"), "stationId", "phase", (F.col("t") - F.floor(F.col("t") / 3600) * 3600 - 1800 + F.col("k")).alias("residual"))
+    return rounded(association.merge_duplicates(picks.dedupe_best(rows.withColumn("prob", F.lit(1.0)).withColumn("t", F.abs("residual")).withColumn("id", F.col("pickId")), "eventId", "stationId", "phase").select(*rows.columns), 600.0, 0.5), "eventT", "residual")
+
+
+@query("q87_calibration")
+def q87(spark, d):
+    """Robust fit of magnitudes to amplitudes and distances, with each station's term."""
+    line, terms = stats.fit_calibration(A.observations(spark, d), rounds=5)
+    rows = [("b", None, round(line["b"], 4)), ("c", None, round(line["c"], 4))] + [("term", s, round(t, 4)) for s, t in sorted(terms.items())]
+    return spark.createDataFrame(rows, "kind string, stationId long, value double")
+
+
+@query("q88_grid_point_cascade", with_tables(PAIRS + """, c AS (SELECT catalogId, count(eventId) AS n, min(cost) AS best FROM catalog LEFT JOIN pairs USING (catalogId) GROUP BY 1)
+SELECT CASE WHEN n = 0 THEN 'noCandidate' WHEN best > 1 THEN 'costly' WHEN n > 1 THEN 'contested' ELSE 'unexplained' END AS reason, count(*) AS n FROM c GROUP BY 1"""))
+def q88(spark, d):
+    c = A.catalog(spark, d).select("catalogId").join(_pairs(spark, d), "catalogId", "left").groupBy("catalogId").agg(F.count("eventId").alias("n"), F.min("cost").alias("best"))
+    why = reports.miss_reason({"noCandidate": F.col("n") == 0, "costly": F.col("best") > 1, "contested": F.col("n") > 1})
+    return c.groupBy(why.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("q89_split_missing", with_tables(GAPS + """, f AS (SELECT stationId, min(start) AS a, max(stop) AS b FROM segments WHERE channel = 'click' GROUP BY 1), m AS (SELECT stationId, gapStart AS s, gapEnd AS e FROM gaps WHERE channel = 'view')
+SELECT 'gap' AS kind, stationId, round(greatest(s, a), 6) AS start, round(least(e, b), 6) AS stop FROM m JOIN f USING (stationId) WHERE least(e, b) - greatest(s, a) > 1
+UNION ALL SELECT 'unfetched', stationId, round(s, 6), round(least(e, coalesce(a, e)), 6) FROM m LEFT JOIN f USING (stationId) WHERE least(e, coalesce(a, e)) - s > 1
+UNION ALL SELECT 'unfetched', stationId, round(greatest(s, b), 6), round(e, 6) FROM m JOIN f USING (stationId) WHERE e - greatest(s, b) > 1"""))
+def q89(spark, d):
+    missing = _gaps(spark, d).where("channel = 'view'").select("stationId", F.col("gapStart").alias("start"), F.col("gapEnd").alias("stop"))
+    fetched = A.segments(spark, d).where("channel = 'click'").groupBy("stationId").agg(F.min("start").alias("start"), F.max("stop").alias("stop"))
+    return rounded(intervals.split_missing(missing, fetched, ["stationId"], 1.0), "start", "stop")
+
+
+@query("q90_byte_budget", with_tables(", r AS (SELECT p.eventId, p.id, sum(length(p.id) + 10) OVER (PARTITION BY p.eventId ORDER BY p.t, p.id ROWS UNBOUNDED PRECEDING) + 50 AS size FROM picks p) SELECT eventId, count(*) AS kept FROM r WHERE size <= 150 GROUP BY 1"))
+def q90(spark, d):
+    return reports.running_budget(A.picks(spark, d), ["eventId"], F.length("id") + 10, [F.col("t"), F.col("id")], 50, 150).groupBy("eventId").agg(F.count(F.lit(1)).alias("kept"))
+
+
+@query("q91_numbered_events", with_tables(SELECTED + ", e AS (SELECT eventId, min(t) AS t, min(id) AS first FROM sel GROUP BY 1) SELECT eventId, 'ev-' || lpad((row_number() OVER (ORDER BY t, first) - 1)::VARCHAR, 6, '0') AS id FROM e"))
+def q91(spark, d):
+    e = _selected(spark, d).groupBy("eventId").agg(F.min("t").alias("t"), F.min("id").alias("first"))
+    return picks.number_events(e, "ev-", "t", "first").select("eventId", "id")
+
+
+@query("q92_synthetic_recovery")
+def q92(spark, d):
+    """Hypocentres drawn for each located event, seen by the network with noise, and found again."""
+    n = materialised(A.located(spark, d).select("eventId"))
+    key = F.col("eventId")
+    truth = n.select(key, (4000 * (iterative.uniform(1, key) - 0.5)).alias("e"), (4000 * (iterative.uniform(2, key) - 0.5)).alias("n"), (-1500 * iterative.uniform(3, key)).alias("z"))
+    net = F.broadcast(A.stations(spark, d).where("usedInRun AND stationId % 10 = 0").select("stationId", F.col("e").alias("se"), F.col("n").alias("sn"), "elevM"))  # a network's stations
+    r = F.hypot(F.col("e") - F.col("se"), F.col("n") - F.col("sn"))
+    seen = truth.where("eventId % 40 = 0").join(net).select("eventId", "stationId", F.lit("P").alias("phase"), (location.travel_time(LAYERS, "P")(r, "z", "elevM") + 0.02 * iterative.normal(7, F.col("eventId"), F.col("stationId"))).alias("t"), F.lit(0.9).alias("prob"), F.col("se").alias("e"), F.col("sn").alias("n"), "elevM")
+    v = location.Volume((-3000.0, 3000.0), (-3000.0, 3000.0), (-2000.0, 500.0), (1000.0, 250.0, 50.0))
+    return rounded(iterative.recovery(truth, location.locate_events(seen, LAYERS, v)), "medianH", "medianV", "p90V", "depthBias", places=3)
