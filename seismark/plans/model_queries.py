@@ -37,9 +37,9 @@ t0 AS (SELECT eventId, node, min(d) AS t0 FROM rr WHERE 2 * run >= tot GROUP BY
 mis AS (SELECT eventId, node, any_value(t0) AS t0, sum(w * abs(d - t0)) AS misfit FROM dd JOIN t0 USING (eventId, node) GROUP BY 1, 2)"""
 
 
-@query("q50_grid_locate_l1", with_tables(MISFITS + ", r AS (SELECT *, row_number() OVER (PARTITION BY eventId ORDER BY round(misfit, 4), node) AS k FROM mis) SELECT eventId, node, round(t0, 5) AS t0, round(misfit, 3) AS misfit FROM r WHERE k = 1"))
+@query("q50_grid_locate_l1", with_tables(MISFITS + ", r AS (SELECT *, row_number() OVER (PARTITION BY eventId ORDER BY round(misfit, 4), node) AS k FROM mis) SELECT eventId, node, round(t0, 5) AS t0, round(misfit, 6) AS misfit FROM r WHERE k = 1"))
 def q50(spark, d):
-    return rounded(rounded(location.best_node(_misfits(spark, d)), "t0", places=5), "misfit", places=3)
+    return rounded(rounded(location.best_node(_misfits(spark, d)), "t0", places=5), "misfit")
 
 
 @query("q51_pdf_moments", with_tables(MISFITS + """, m AS (SELECT eventId, node, exp(-0.0001 * (misfit - min(misfit) OVER (PARTITION BY eventId))) AS m FROM mis),
