@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from seismark.llm.piece_model import BPE, META, PieceModel, load, pretokens, slices
-from seismark.llm.shared import written
+from seismark.llm.shared import bounded_batches, written
 from seismark.llm.token_counts import frequent
 
 #: Words that the relational lattice encodes, at most, and their longest length in characters.
@@ -147,7 +148,10 @@ class WordFold:
         # Merges compare by place in the order of scores.
         self.rank = np.zeros(len(self.score), np.int64)
         self.rank[np.lexsort((np.arange(len(self.score)), -self.score))] = np.arange(len(self.score))
-        self.known = dict(zip(self.pairs.tolist(), self.made.tolist()))
+
+    @cached_property
+    def known(self) -> dict[int, int]:
+        return dict(zip(self.pairs.tolist(), self.made.tolist()))
 
     def unknown(self, char: str) -> list[int]:
         return [self.model.byte_ids[b] for b in char.encode()] if self.model.byte_ids else [self.model.unk_id]
@@ -158,29 +162,22 @@ class WordFold:
         near[near == len(self.pairs)] = 0
         return np.where((a >= 0) & (b >= 0) & (self.pairs[near] == key), self.made[near], -1)
 
-    def __call__(self, words: list[str]) -> list[list[int]]:
-        """ids of each word; spaces stand for U+2581."""
+    def __call__(self, words: list[str]) -> pa.Array:
+        """The ids of each word; spaces stand for U+2581."""
         words = [w.replace(" ", META) for w in words]
-        out: list[list[int]] = [[]] * len(words)
         if self.model.kind != BPE:
-            return [self.best_cut(w) for w in words]
-        short = [i for i, w in enumerate(words) if len(w) <= self.LONG]
-        for i, w in enumerate(words):
-            if len(w) > self.LONG:
-                out[i] = self.merge_long(w)
-        for start in range(0, len(short), 100_000):
-            part = short[start : start + 100_000]
-            for i, ids in zip(part, self.merge_many([words[i] for i in part])):
-                out[i] = ids
-        return out
-
-    def merge_many(self, words: list[str]) -> list[list[int]]:
+            return pa.array([self.best_cut(w) for w in words], pa.list_(pa.int32()))
         sizes = np.fromiter(map(len, words), np.int64, len(words))
+        short, long = np.flatnonzero(sizes <= self.LONG), np.flatnonzero(sizes > self.LONG)
+        parts = [self.merge_many([words[i] for i in short]), pa.array([self.merge_long(words[i]) for i in long], pa.list_(pa.int32()))]
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate([short, long]))))
+
+    def merge_many(self, words: list[str]) -> pa.ListArray:
         text = "".join(words)
         unknown = {c: -2 - i for i, c in enumerate(sorted(set(text) - self.char.keys()))}
         table = self.char | unknown
         ids = np.fromiter((table[c] for c in text), np.int64, len(text))
-        word = np.repeat(np.arange(len(words)), sizes)
+        word = np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)))
         done_ids, done_word = [], []
         while len(ids):
             made = self._merged(ids[:-1], ids[1:])
@@ -192,25 +189,28 @@ class WordFold:
             done_ids.append(ids[rest]), done_word.append(word[rest])
             if not len(can):
                 break
-            # The best merge of each word, leftmost of equals: the first in a stable sort by word and rank.
-            order = np.lexsort((can, self.rank[made[can]], word[can]))
+            # The best merge of each word, leftmost of equals.
             first = np.ones(len(can), bool)
-            first[1:] = word[can][order][1:] != word[can][order][:-1]
-            at = can[order][first]
+            first[1:] = word[can][1:] != word[can][:-1]
+            at = np.minimum.reduceat(self.rank[made[can]] << 32 | can, np.flatnonzero(first)) & 0xFFFFFFFF
             ids[at] = made[at]
             keep = ~rest
             keep[at + 1] = False
             ids, word = ids[keep], word[keep]
-        ids, word = np.concatenate(done_ids or [ids]), np.concatenate(done_word or [word])
+        ids, word = np.concatenate([*done_ids, ids[:0]]), np.concatenate([*done_word, word[:0]])
         order = np.argsort(word, kind="stable")
-        names = {v: self.unknown(k) for k, v in unknown.items()}
-        out: list[list[int]] = [[] for _ in words]
-        for w, i in zip(word[order].tolist(), ids[order].tolist()):
-            if i >= 0:
-                out[w].append(i)
-            else:
-                out[w].extend(names[i])
-        return out
+        ids, word = ids[order], word[order]
+        if unknown:
+            names = [self.unknown(c) for c in sorted(unknown)]
+            kind = np.where(ids < 0, -2 - ids, -1)
+            sizes = np.where(kind < 0, 1, np.array([*map(len, names), 1])[kind])
+            starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+            ids, word = np.repeat(ids, sizes), np.repeat(word, sizes)
+            for k, name in enumerate(names):
+                for j, i in enumerate(name):
+                    ids[starts[kind == k] + j] = i
+        offsets = np.searchsorted(word, np.arange(len(words) + 1))
+        return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(ids.astype(np.int32)))
 
     def merge_long(self, word: str) -> list[int]:
         """Merges one word with a heap of its candidate merges."""
@@ -264,9 +264,10 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
     whole.  model_path is the same on the driver and on every executor.
     """
     spark = docs.sparkSession
+    bounded_batches(spark)
     model = load(model_path)
     words = frequent(docs.select(F.col(f"`{text_col}`").alias("text")), head).select(F.translate("word", " ", META).alias("word")).where(F.length("word") <= HEAD_CHARS)
-    known = encode_words(written(words.distinct()), model).select(F.translate("word", META, " ").alias("word"), "ids").toArrow()
+    known = encode_words(written(words.distinct()).repartition(max(8, spark.sparkContext.defaultParallelism), "word"), model).select(F.translate("word", META, " ").alias("word"), "ids").toArrow()
     shared = spark.sparkContext.broadcast((known["word"].combine_chunks().cast(pa.string()), known["ids"].combine_chunks()) if known.num_rows else (pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))))
     docs = docs.drop(*[c for c in docs.columns if c.lower() == ids_col.lower()])
     at, schema = docs.columns.index(text_col), f"{ids_col} array<int>"
@@ -275,11 +276,11 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
         fold = WordFold(load(model_path))
         words, ids = (v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for v in shared.value)
         for batch in batches:
-            for first, part in slices(batch.column(at), 8 << 20):
+            for first, part in slices(batch.column(at), 4 << 20):
                 found, bounds = pretokens(part)
                 where = pc.index_in(found.dictionary, value_set=words)
                 new = np.flatnonzero(where.is_null().to_numpy(zero_copy_only=False))
-                own = pa.array(fold(found.dictionary.take(pa.array(new)).to_pylist()), pa.list_(pa.int32()))
+                own = fold(found.dictionary.take(pa.array(new)).to_pylist())
                 where = where.fill_null(0).to_numpy().copy()
                 where[new] = len(words) + np.arange(len(new))
                 lists = pa.concat_arrays([ids.cast(pa.list_(pa.int32())), own])
@@ -307,6 +308,7 @@ def decode(docs: DataFrame, model_path: str, *, ids_col: str = "ids", text_col:
 
     docs = docs.drop(*[c for c in docs.columns if c.lower() == text_col.lower()])
     at = docs.columns.index(ids_col)
+    bounded_batches(docs.sparkSession)
 
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(load(model_path).decoded, pa.binary())
