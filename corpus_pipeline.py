@@ -36,9 +36,8 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the ids of the text, their number, and whether they decode to it."""
-    coded = sentencepiece_lattice.encode(docs.select("doc_id", "text"), model_path())
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "▁", " ")
-    return sentencepiece_lattice.decode(coded, model_path()).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
+    coded = sentencepiece_lattice.encode(docs.select("doc_id", "text"), model_path(), check_col="round_trip")
+    return coded.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
 
 
 STAGES = [

@@ -14,7 +14,7 @@ from seismark.llm.ngram_join import ngram_join
 from seismark.llm.pii_surrogates import with_surrogates
 from seismark.llm.quality_nbsvm import quality_scores
 from seismark.llm.secret_scan import scan
-from seismark.llm.sentencepiece_lattice import decode, encode
+from seismark.llm.sentencepiece_lattice import encode
 from seismark.llm.shared import table
 from seismark.llm.token_counts import token_counts
 from seismark.llm.toxicity import toxicity_scores
@@ -65,9 +65,8 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ids of every text, and whether they decode to it (U+2581 is a space to the model)."""
-    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path())
-    same = F.col("decoded") == F.translate(F.coalesce("text", F.lit("")), "\u2581", " ")
-    return decode(docs, model_path()).select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), same.alias("round_trip"))
+    docs = encode(table(spark, sf_dir, "documents").select("doc_id", "text"), model_path(), check_col="round_trip")
+    return docs.select("doc_id", "ids", F.size("ids").cast("long").alias("n_ids"), "round_trip")
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,9 +256,23 @@ class WordFold:
         return [x for ids in reversed(out) for x in ids]
 
 
-def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids", head: int = HEAD) -> DataFrame:
+def decode_lists(lists: pa.ListArray, pieces: pa.Array) -> pa.Array:
+    """The text of each list of ids; pieces are the model's, as bytes."""
+    parts = pc.take(pieces, lists.flatten().fill_null(1))
+    sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), parts), b"")
+    try:
+        texts = joined.cast(pa.string())
+    except pa.ArrowInvalid:
+        texts = pa.array([t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string())
+    return pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+
+
+def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col: str = "ids", check_col: str | None = None, head: int = HEAD) -> DataFrame:
     """docs with ids_col added (replaced if there): the ids of each whole text, without begin or end tokens.
 
+    With check_col, that column says whether the ids decode to the text (U+2581 is a space to the model).
+
     A null or empty text has no ids.  Repeated rows give repeated results; other columns pass
     unchanged; an empty table gives an empty result.  Texts and words of any length are encoded
     whole.  model_path is the same on the driver and on every executor.
@@ -269,14 +283,16 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
     words = frequent(docs.select(F.col(f"`{text_col}`").alias("text")), head).select(F.translate("word", " ", META).alias("word")).where(F.length("word") <= HEAD_CHARS)
     known = encode_words(written(words.distinct()).repartition(max(8, spark.sparkContext.defaultParallelism), "word"), model).select(F.translate("word", META, " ").alias("word"), "ids").toArrow()
     shared = spark.sparkContext.broadcast((known["word"].combine_chunks().cast(pa.string()), known["ids"].combine_chunks()) if known.num_rows else (pa.array([], pa.string()), pa.array([], pa.list_(pa.int32()))))
-    docs = docs.drop(*[c for c in docs.columns if c.lower() == ids_col.lower()])
-    at, schema = docs.columns.index(text_col), f"{ids_col} array<int>"
+    added = [ids_col, check_col] if check_col else [ids_col]
+    docs = docs.drop(*[c for c in docs.columns if c.lower() in {x.lower() for x in added}])
+    at, schema = docs.columns.index(text_col), f"{ids_col} array<int>" + (f", {check_col} boolean" if check_col else "")
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fold = WordFold(load(model_path))
+        model = load(model_path)
+        fold, pieces = WordFold(model), pa.array(model.decoded, pa.binary())
         words, ids = (v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for v in shared.value)
         for batch in batches:
-            for first, part in slices(batch.column(at), 4 << 20):
+            for first, part in slices(batch.column(at), 2 << 20):
                 found, bounds = pretokens(part)
                 where = pc.index_in(found.dictionary, value_set=words)
                 new = np.flatnonzero(where.is_null().to_numpy(zero_copy_only=False))
@@ -290,7 +306,10 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
                 flat = lists.take(pa.array(at_word)).flatten()
                 column = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), flat)
                 rows = batch.slice(first, len(part))
-                yield pa.RecordBatch.from_arrays([*rows.columns, column], [*batch.schema.names, ids_col])
+                more = [column]
+                if check_col:
+                    more.append(pc.equal(decode_lists(column, pieces), pc.replace_substring(part.fill_null(""), META, " ")))
+                yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*batch.schema.names, *added])
 
     from pyspark.sql.types import StructType
 
@@ -313,15 +332,7 @@ def decode(docs: DataFrame, model_path: str, *, ids_col: str = "ids", text_col:
     def decoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = pa.array(load(model_path).decoded, pa.binary())
         for batch in batches:
-            lists = batch.column(at)
-            parts = pc.take(pieces, lists.flatten().fill_null(1))
-            sizes = pc.list_value_length(lists).fill_null(0).to_numpy()
-            joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), parts), b"")
-            try:
-                texts = joined.cast(pa.string())
-            except pa.ArrowInvalid:
-                texts = pa.array([t.decode("utf-8", "replace") for t in joined.to_pylist()], pa.string())
-            texts = pc.if_else(pc.starts_with(texts, " "), pc.utf8_slice_codeunits(texts, 1), texts)
+            texts = decode_lists(batch.column(at), pieces)
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*batch.schema.names, text_col])
 
     return docs.mapInArrow(decoded, StructType([*docs.schema.fields, *StructType.fromDDL(f"{text_col} string").fields]))
