@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from seismark.llm.shared import bounded_batches, written
+from seismark.llm.shared import bounded_batches, free_name, written
 from seismark.llm.text_arrays import WORD_CHARS, Words, split, window_hashes
 
 #: Windows in one broadcast block: 8 bytes of hash and about 100 bytes of words each.
 BLOCK_WINDOWS = 200_000
 
-_HITS = "id long, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+#: Blocks that one scan of the texts takes at most; a task holds as many in its Python workers.
+BLOCKS_A_SCAN = 4
+_SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
 
 
 def _item_windows(text: str, size: int) -> list[bytes]:
@@ -75,40 +77,85 @@ class Index:
                     yield int(i), k, items
 
 
-def _scan(shared):
+def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    out: list[tuple[int, int]] = []
+    for a, b in sorted(spans):
+        if out and a <= out[-1][1]:
+            out[-1] = (out[-1][0], max(b, out[-1][1]))
+        else:
+            out.append((a, b))
+    return out
+
+
+def _cut(text: bytes, spans: list[tuple[int, int]]) -> str:
+    """text without the words of the spans and what stands between them."""
+    (words,) = split(pa.array([text.decode()]), WORD_CHARS)
+    out, last = [], 0
+    for a, b in spans:
+        out.append(text[last : words.starts[a]])
+        last = int(words.ends[b - 1])
+    return b"".join([*out, text[last:]]).decode()
+
+
+def _scan(shared, at: int, final: str | None):
+    """A pass over batches whose last two columns are the spans and items found so far."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(shared.value) if shared is not None else None
         for batch in batches:
-            ids = batch.column(0)
-            for words in split(batch.column(1), WORD_CHARS):
+            n = batch.num_rows
+            counts = np.zeros(n, np.int64)
+            spans: dict[int, list] = {i: [(s["start"], s["end"]) for s in v] for i, v in enumerate(batch.column(-2).to_pylist()) if v}
+            items: dict[int, set] = {i: set(v) for i, v in enumerate(batch.column(-1).to_pylist()) if v}
+            for words in split(batch.column(at), WORD_CHARS):
                 bounds = words.bounds()
-                spans, items = defaultdict(list), defaultdict(set)
+                counts[words.first : words.first + words.n_texts] = np.diff(bounds)
                 for start, k, names in index.hits(words) if index else ():
                     text = int(words.text[start])
-                    spans[text].append((start - int(bounds[text]), start - int(bounds[text]) + k))
-                    items[text].update(names)
-                n = words.n_texts
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(words.first, n),
-                        pa.array(np.diff(bounds), pa.int64()),
-                        pa.array([[{"start": a, "end": b} for a, b in _merged(spans[t])] if t in spans else [] for t in range(n)], pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))),
-                        pa.array([sorted(items[t]) if t in items else [] for t in range(n)], pa.list_(pa.string())),
-                    ],
-                    ["id", "n_words", "spans", "items"],
-                )
+                    row, place = words.first + text, start - int(bounds[text])
+                    spans.setdefault(row, []).append((place, place + k))
+                    items.setdefault(row, set()).update(names)
+            own, names = batch.columns[:-2], batch.schema.names
+            if final == "documents":
+                keep = np.ones(n, bool)
+                keep[list(spans)] = False
+                yield pa.RecordBatch.from_arrays(own, names[:-2]).filter(pa.array(keep))
+            elif final == "spans":
+                if spans:
+                    texts = own[at].to_pylist()
+                    for row, found in spans.items():
+                        texts[row] = _cut(texts[row].encode(), _merged(found))
+                    own[at] = pa.array(texts, own[at].type)
+                yield pa.RecordBatch.from_arrays(own, names[:-2])
+            else:
+                found = [
+                    pa.array([[{"start": a, "end": b} for a, b in _merged(spans[i])] if i in spans else [] for i in range(n)], pa.list_(_SPAN)),
+                    pa.array([sorted(items[i]) if i in items else [] for i in range(n)], pa.list_(pa.string())),
+                ]
+                if final == "report":
+                    yield pa.RecordBatch.from_arrays([own[0], pa.array(counts), *found], ["id", "n_words", "spans", "items"])
+                else:
+                    yield pa.RecordBatch.from_arrays([*own, *found], names)
 
     return scan
 
 
-def _merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    out: list[tuple[int, int]] = []
-    for a, b in sorted(spans):
-        if out and a <= out[-1][1]:
-            out[-1] = (out[-1][0], max(b, out[-1][1]))
-        else:
-            out.append((a, b))
-    return out
+def _scanned(docs: DataFrame, benchmark: DataFrame, at: int, final: str, schema, *, item_col: str, item_text_col: str, window: int, block_windows: int) -> DataFrame:
+    """docs after all passes; each looks for one block of the benchmark's windows in the texts as they came."""
+    spark = docs.sparkSession
+    bounded_batches(spark)
+    names = free_name(docs, "spans"), free_name(docs, "items")
+    docs = docs.withColumns({names[0]: F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), names[1]: F.expr("cast(array() as array<string>)")})
+    items = benchmark.select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{item_text_col}`")).dropna().toLocalIterator()
+    last, n = None, 0
+    for block in _blocks(((r[0], r[1]) for r in items), window, block_windows):
+        if last is not None:
+            docs = docs.mapInArrow(_scan(last, at, None), docs.schema)
+            n += 1
+            if n % BLOCKS_A_SCAN == 0:
+                docs = written(docs)
+        last = spark.sparkContext.broadcast(block)
+    return docs.mapInArrow(_scan(last, at, final), schema)
 
 
 def contamination(
@@ -129,36 +176,10 @@ def contamination(
     words (or null) is none.  A null or empty text has no words and no hits; items with a null id
     are left out.  Repeated rows give repeated results.  Without benchmark items nothing is hit.
     """
-    spark = docs.sparkSession
-    bounded_batches(spark)
-    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
-    items = benchmark.select(F.col(f"`{item_col}`").cast("string"), F.col(f"`{item_text_col}`")).dropna().toLocalIterator()
-    scans = []
-    for block in _blocks(((r[0], r[1]) for r in items), window, block_windows):
-        scans.append(texts.mapInArrow(_scan(spark.sparkContext.broadcast(block)), _HITS))
-    if len(scans) < 2:
-        return (scans[0] if scans else texts.mapInArrow(_scan(None), _HITS)).withColumnRenamed("id", id_col)
-    every = written(scans[0].withColumn("block", F.lit(0)))
-    more = [every]
-    for i, s in enumerate(scans[1:], 1):
-        more.append(written(s.where(F.size("spans") > 0).withColumn("block", F.lit(i))))
-    hits = more[0]
-    for m in more[1:]:
-        hits = hits.unionByName(m)
-    hits = hits.where(F.size("spans") > 0).groupBy("id").agg(F.array_sort(F.flatten(F.collect_set("spans"))).alias("found"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("names"))
-    # Spans of several blocks may overlap: a span grows the last one that it touches.
-    joined = F.aggregate(
-        "found",
-        F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"),
-        lambda out, s: F.when((F.size(out) > 0) & (F.try_element_at(out, F.lit(-1))["end"] >= s["start"]),
-            F.concat(F.slice(out, F.lit(1), F.size(out) - 1), F.array(F.struct(F.try_element_at(out, F.lit(-1))["start"].alias("start"), F.greatest(F.try_element_at(out, F.lit(-1))["end"], s["end"]).alias("end")))))
-        .otherwise(F.concat(out, F.array(s))),
-    )
-    hits = hits.select("id", joined.alias("spans"), F.col("names").alias("items"))
-    base = every.select("id", "n_words")
-    empty = {"spans": F.expr("cast(array() as array<struct<start:bigint,end:bigint>>)"), "items": F.expr("cast(array() as array<string>)")}
-    out = base.join(hits, "id", "left").select("id", "n_words", *[F.coalesce(c, e).alias(c) for c, e in empty.items()])
-    return out.withColumnRenamed("id", id_col)
+    texts = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    schema = f"id {texts.schema['id'].dataType.simpleString()}, n_words long, spans array<struct<start:long,end:long>>, items array<string>"
+    found = _scanned(texts, benchmark, 1, "report", schema, item_col=item_col, item_text_col=item_text_col, window=window, block_windows=block_windows)
+    return found.withColumnRenamed("id", id_col)
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -170,58 +191,22 @@ def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     )
 
 
-def _cut(text: bytes, spans: list[tuple[int, int]]) -> str:
-    """text without the words of the spans and what stands between them."""
-    (words,) = split(pa.array([text.decode()]), WORD_CHARS)
-    out, last = [], 0
-    for a, b in spans:
-        out.append(text[last : words.starts[a]])
-        last = int(words.ends[b - 1])
-    return b"".join([*out, text[last:]]).decode()
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, *, remove: str = "documents", id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """docs without contaminated documents (remove="documents") or without the words hit (remove="spans").
+def decontaminate(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    *,
+    remove: str = "documents",
+    text_col: str = "text",
+    item_col: str = "item_id",
+    item_text_col: str = "text",
+    window: int = 10,
+    block_windows: int = BLOCK_WINDOWS,
+) -> DataFrame:
+    """docs without contaminated documents (remove="documents") or without the words hit and what stands between them (remove="spans").
 
-    Clean rows, rows with a null id or a null text included, come through unchanged, with the
-    columns of docs.  Ids that stand on several rows go, or are cut, by the text of each row.
+    Clean rows, those with a null id or a null text included, come through unchanged, with the
+    columns of docs; rows are judged by their own text, whatever their ids.
     """
     if remove not in ("documents", "spans"):
         raise ValueError("remove is 'documents' or 'spans'")
-    spark, names = docs.sparkSession, docs.columns
-    bounded_batches(spark)
-    items = benchmark.select(F.col(f"`{options.pop('item_col', 'item_id')}`").cast("string"), F.col(f"`{options.pop('item_text_col', 'text')}`")).dropna().toLocalIterator()
-    at, schema = names.index(text_col), docs.schema
-    window, limit = options.pop("window", 10), options.pop("block_windows", BLOCK_WINDOWS)
-    if options:
-        raise TypeError(f"unknown options {sorted(options)}")
-
-    def cleaned(shared):
-        def clean(batches):
-            index = Index(shared.value)
-            for batch in batches:
-                spans = defaultdict(list)
-                for words in split(batch.column(at), WORD_CHARS):
-                    bounds = words.bounds()
-                    for start, k, _ in index.hits(words):
-                        t = int(words.text[start])
-                        spans[words.first + t].append((start - int(bounds[t]), start - int(bounds[t]) + k))
-                if not spans:
-                    yield batch
-                elif remove == "documents":
-                    keep = np.ones(batch.num_rows, bool)
-                    keep[list(spans)] = False
-                    yield batch.filter(pa.array(keep))
-                else:
-                    texts = batch.column(at).to_pylist()
-                    for t, found in spans.items():
-                        texts[t] = _cut(texts[t].encode(), _merged(found))
-                    columns = batch.columns
-                    columns[at] = pa.array(texts, batch.column(at).type)
-                    yield pa.RecordBatch.from_arrays(columns, schema=batch.schema)
-
-        return clean
-
-    for block in _blocks(((r[0], r[1]) for r in items), window, limit):
-        docs = docs.mapInArrow(cleaned(spark.sparkContext.broadcast(block)), schema)
-    return docs
+    return _scanned(docs, benchmark, docs.columns.index(text_col), remove, docs.schema, item_col=item_col, item_text_col=item_text_col, window=window, block_windows=block_windows)
