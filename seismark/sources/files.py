@@ -68,9 +68,14 @@ def with_elevation(catalog: DataFrame, datums: DataFrame) -> DataFrame:
     return j.withColumn("elevM", known - F.col("depthKm") * 1000).drop("surfaceElevM")
 
 
+def _day(number: Column) -> Column:
+    """yyyyMMdd of a day counted from 1970, whatever the session's zone."""
+    return F.date_format(F.date_from_unix_date(number.cast("int")), "yyyyMMdd")
+
+
 def write_segments(segments: DataFrame, path: str) -> None:
     """Waveform segments by station and UTC day, so that a window reads only its days."""
-    day = F.date_format(F.timestamp_seconds(F.floor("start")), "yyyyMMdd")
+    day = _day(F.floor(F.col("start") / 86400))
     segments.withColumn("day", day).repartition("stationId", "day").write.mode("overwrite").partitionBy("stationId", "day").parquet(path)
 
 
@@ -80,7 +85,7 @@ def read_window(spark: SparkSession, path: str, stations: list[str], t0: float,
     The days follow from the window, so that partitions are pruned; with headers=True samples aren't read.
     A segment lies in the day of its start, and may reach into the next.
     """
-    days = [r[0] for r in spark.range(int(t0 // 86400) - 1, int(t1 // 86400) + 1).select(F.date_format(F.timestamp_seconds(F.col("id") * 86400), "yyyyMMdd")).collect()]
+    days = [r[0] for r in spark.range(int(t0 // 86400) - 1, int(t1 // 86400) + 1).select(_day(F.col("id"))).collect()]
     s = spark.read.option("basePath", path).parquet(path).where(F.col("day").cast("string").isin(days) & F.col("stationId").isin(stations))
     n = F.col("n") if "n" in s.columns else F.size("samples")
     s = s.withColumn("_n", n).where((F.col("start") <= t1) & (F.col("start") + (F.col("_n") - 1) * F.col("delta") >= t0))
