@@ -1,6 +1,7 @@
 import os
 import sys
 
+import pandas as pd
 import pytest
 from pyspark.sql import SparkSession
 
@@ -43,7 +44,7 @@ def canonical(frame):
     names = sorted(frame.columns)
 
     def text(v):
-        if v is None or v != v:
+        if v is None or v is pd.NA or v != v:
             return "null"
         if hasattr(v, "tolist"):
             v = v.tolist()
