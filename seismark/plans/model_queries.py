@@ -45,10 +45,11 @@ def q50(spark, d):
 @query("q51_pdf_moments", with_tables(MISFITS + """, m AS (SELECT eventId, node, exp(-0.0001 * (misfit - min(misfit) OVER (PARTITION BY eventId))) AS m FROM mis),
 s AS (SELECT eventId, sum(m) AS s, sum(m * x) / sum(m) AS x, sum(m * y) / sum(m) AS y, sum(m * z) / sum(m) AS z, sum(m * x * x) / sum(m) AS xx, sum(m * y * y) / sum(m) AS yy, sum(m * z * z) / sum(m) AS zz, sum(m * x * y) / sum(m) AS xy FROM m JOIN nodes USING (node) GROUP BY 1),
 c AS (SELECT *, greatest(xx - x * x, 5000.0 * 5000 / 12) AS vx, greatest(yy - y * y, 5000.0 * 5000 / 12) AS vy, greatest(zz - z * z, 5000.0 * 5000 / 12) AS vz, xy - x * y AS cxy FROM s)
-SELECT eventId, round(x, 2) AS x, round(y, 2) AS y, round(z, 2) AS z, round(sqrt(-2 * ln(1 - 0.9::DOUBLE) * ((vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + cxy * cxy))), 2) AS hErrM, round(sqrt(-2 * ln(1 - 0.9::DOUBLE) * vz), 2) AS vErrM FROM c"""))
+SELECT eventId, round(x, 2) + 0 AS x, round(y, 2) + 0 AS y, round(z, 2) + 0 AS z, round(sqrt(-2 * ln(1 - 0.9::DOUBLE) * ((vx + vy) / 2 + sqrt((vx - vy) * (vx - vy) / 4 + cxy * cxy))), 2) AS hErrM, round(sqrt(-2 * ln(1 - 0.9::DOUBLE) * vz), 2) AS vErrM FROM c"""))
 def q51(spark, d):
     m = location.pdf_moments(_misfits(spark, d), _nodes(spark), 0.0001, 5000.0, 0.9)
-    return rounded(m, "x", "y", "z", "hErrM", "vErrM", places=2)
+    m = rounded(m, "x", "y", "z", "hErrM", "vErrM", places=2)
+    return m.withColumns({c: F.col(c) + F.lit(0.0) for c in "xyz"})  # no negative zero
 
 
 @query("q52_straight_ray", with_tables(""", l AS (SELECT * FROM (VALUES (2000.0::DOUBLE, 1500.0::DOUBLE, 2500.0::DOUBLE), (1500, 800, 3500), (800, -500, 4800), (-500, -1e9, 5800)) v(t, b, v)),
