@@ -105,12 +105,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, features: Features, *, l
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), lists], ["id", "label", "features"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(own, "id").select("id", "label", "text")
-    found = rows.mapInArrow(extract, "id long, label int, features array<int>").toArrow().sort_by("id").combine_chunks()
+    found = rows.mapInArrow(extract, "id long, label int, features array<int>").toArrow()
+    found = found.take(np.argsort(found["id"].to_numpy(), kind="stable")).combine_chunks()
     if not found.num_rows:
         return Sample(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
     lists = found["features"].chunk(0)
     sizes = np.diff(lists.offsets.to_numpy())
-    return Sample(found["id"].to_numpy(), found["label"].to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().to_numpy().astype(np.int64))
+    return Sample(found["id"].to_numpy(), found["label"].to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().to_numpy())
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

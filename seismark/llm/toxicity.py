@@ -1,6 +1,7 @@
 """Toxicity by a counterfactual-regularised classifier.
 
-A logistic model over indicators of words and their beginnings.  Each labelled text that names a
+A logistic model over indicators of words and their beginnings, each scaled by how much the log
+odds of the classes differ with it, so that few labels suffice for rare insults.  Each labelled text that names a
 group is set beside copies of itself in which the term is swapped for another of its kind, and the
 squared change of the score is part of the loss: what tells toxic from not must not be who is named.
 """
@@ -13,7 +14,8 @@ from pyspark.sql import DataFrame
 
 from seismark.llm.linear_text import BUCKETS, LinearScore, Sample, labelled_sample, platt, scored, sigmoid, under, word_features
 
-SAMPLE_ROWS = 12_000
+#: Labelled rows that the fit takes at most, on average: their features are all that the driver gathers.
+SAMPLE_ROWS = 8000
 
 #: Terms for groups of people, by kind; terms of one kind are swapped for each other.
 IDENTITY_TERMS = {
@@ -39,18 +41,21 @@ def counterfactuals(sample: Sample, terms: dict[str, list[str]], *, swaps: int =
     """
     rng = np.random.default_rng(seed)
     pairs, columns, signs, n = [], [], [], 0
-    row = sample.rows()
-    for kind in terms.values():
-        features = _term_features(kind)
+    sets = {k: _term_features(kind) for k, kind in terms.items()}
+    known = np.zeros(BUCKETS, bool)
+    for features in sets.values():
+        known[np.concatenate(features)] = True
+    at = np.flatnonzero(known[sample.columns])
+    named_column, named_row = sample.columns[at], np.searchsorted(sample.offsets, at, "right") - 1
+    for features in sets.values():
         for t, own in enumerate(features):
             word = own[np.isin(own, np.concatenate([f for u, f in enumerate(features) if u != t] or [own[:0]]), invert=True)]
-            if not len(word) or len(kind) < 2:
+            if not len(word) or len(features) < 2:
                 continue
-            hit = np.isin(sample.columns, word)
-            named = np.flatnonzero(np.bincount(row[hit], minlength=len(sample)) == len(word))
+            named = np.flatnonzero(np.bincount(named_row[np.isin(named_column, word)], minlength=len(sample)) == len(word))
             for i in named:
                 have = sample.columns[sample.offsets[i] : sample.offsets[i + 1]]
-                for other in rng.choice([u for u in range(len(kind)) if u != t], min(swaps, len(kind) - 1), replace=False):
+                for other in rng.choice([u for u in range(len(features)) if u != t], min(swaps, len(features) - 1), replace=False):
                     out, into = np.setdiff1d(own, features[other]), np.setdiff1d(features[other], have)
                     pairs += [np.full(len(out) + len(into), n)]
                     columns += [out, into]
@@ -61,7 +66,7 @@ def counterfactuals(sample: Sample, terms: dict[str, list[str]], *, swaps: int =
     return np.concatenate(pairs), np.concatenate(columns), np.concatenate(signs)
 
 
-def fit(sample: Sample, *, terms: dict[str, list[str]] | None = None, weight: float = 5.0, l2: float = 1e-5, steps: int = 150, seed: int = 7) -> LinearScore:
+def fit(sample: Sample, *, terms: dict[str, list[str]] | None = None, weight: float = 5.0, l2: float = 1e-4, steps: int = 150, seed: int = 7) -> LinearScore:
     """P(label = 1).  weight is what the mean squared change of the margin under swaps counts against the mean log loss.
 
     With one class only, or no rows, the model is constant.
@@ -75,27 +80,37 @@ def fit(sample: Sample, *, terms: dict[str, list[str]] | None = None, weight: fl
     learn = sample.take(~unseen)
     pair, column, sign = counterfactuals(learn, IDENTITY_TERMS if terms is None else terms)
     n_pairs = int(pair.max()) + 1 if len(pair) else 0
-    used, at = np.unique(np.concatenate([learn.columns, column]), return_inverse=True)
-    at, swapped = at[: len(learn.columns)], at[len(learn.columns) :]
-    row, labels = learn.rows(), learn.labels
-    scale = 1 / np.sqrt(np.maximum(1, np.diff(learn.offsets)))
+    columns, labels, sizes = learn.columns, learn.labels, np.diff(learn.offsets)
+    scale = 1 / np.sqrt(np.maximum(1, sizes))
+    full = np.flatnonzero(sizes)
+
+    def by_row(values: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(learn))
+        if len(full):
+            out[full] = np.add.reduceat(values, learn.offsets[:-1][full])
+        return out
+
+    def by_column(values: np.ndarray) -> np.ndarray:
+        return np.bincount(columns, weights=np.repeat(values, sizes), minlength=BUCKETS)
+
     # Classes weigh alike.
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
-    w, b = np.zeros(len(used)), 0.0
-    first, second = np.zeros(len(used) + 1), np.zeros(len(used) + 1)
+    up, down = by_column((labels == 1).astype(float)) + 1, by_column((labels == 0).astype(float)) + 1
+    size = np.abs(np.log(up / (labels.sum() + 2)) - np.log(down / ((1 - labels).sum() + 2)))
+    w, b = np.zeros(BUCKETS), 0.0
+    first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
     for t in range(1, steps + 1):
-        margin = np.bincount(row, weights=w[at], minlength=len(learn)) * scale + b
+        margin = by_row((w * size)[columns]) * scale + b
         error = (sigmoid(margin) - labels) * share
-        g = np.bincount(at, weights=(error * scale)[row], minlength=len(used)) + l2 * w
+        g = by_column(error * scale) * size + l2 * w
         if n_pairs:
-            change = np.bincount(pair, weights=w[swapped] * sign, minlength=n_pairs)
-            g += np.bincount(swapped, weights=2 * weight / n_pairs * change[pair] * sign, minlength=len(used))
+            change = np.bincount(pair, weights=(w * size)[column] * sign, minlength=n_pairs)
+            g += np.bincount(column, weights=2 * weight / n_pairs * change[pair] * sign, minlength=BUCKETS) * size
         g = np.append(g, error.sum())
         first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
         step = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
         w, b = w - step[:-1], b - step[-1]
-    weights = np.zeros(BUCKETS)
-    weights[used] = w
+    weights = w * size
     model = LinearScore(weights, float(b))
     check = sample.take(unseen) if unseen.any() else learn
     model.slope, model.intercept = platt(model.of(check), check.labels)
