@@ -37,6 +37,8 @@ HOT_SHINGLES = 1_000_000
 CHUNK = 2_000_000
 #: A shingle in more live rows than this is split into blocks of documents.
 TILE_ROWS = 20_000
+#: Live shingles are broadcast up to so many rows of 12 bytes.
+LIVE_ROWS = 1_000_000
 BANDS, ROWS = 4, 3
 BITMAP_BITS = 512
 
@@ -307,7 +309,7 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     live = written(live.select("token", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks")))
     # The width is a little over 100 / percent, so that rounding puts no two linked sizes more than one band apart.
     band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(100 / percent))).cast("int")
-    rows = sets.select("id", "comp", "n", "bitmap", band.alias("own"), F.posexplode("prefix").alias("pos", "token")).join(small(live), "token")
+    rows = sets.select("id", "comp", "n", "bitmap", band.alias("own"), F.posexplode("prefix").alias("pos", "token")).join(small(live, LIVE_ROWS), "token")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True))))
     rows = rows.select("token", (F.col("own") + F.col("guest").cast("int")).alias("band"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "n", F.col("pos").cast("long").alias("pos"), "comp", "id", "guest", "block", "bitmap")

@@ -292,7 +292,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
         fold, pieces = WordFold(model), pa.array(model.decoded, pa.binary())
         words, ids = (v.chunk(0) if isinstance(v, pa.ChunkedArray) else v for v in shared.value)
         for batch in batches:
-            for first, part in slices(batch.column(at), 2 << 20):
+            for first, part in slices(batch.column(at), 1 << 20):
                 found, bounds = pretokens(part)
                 where = pc.index_in(found.dictionary, value_set=words)
                 new = np.flatnonzero(where.is_null().to_numpy(zero_copy_only=False))
@@ -310,6 +310,7 @@ def encode(docs: DataFrame, model_path: str, *, text_col: str = "text", ids_col:
                 if check_col:
                     more.append(pc.equal(decode_lists(column, pieces), pc.replace_substring(part.fill_null(""), META, " ")))
                 yield pa.RecordBatch.from_arrays([*rows.columns, *more], [*batch.schema.names, *added])
+            pa.default_memory_pool().release_unused()
 
     from pyspark.sql.types import StructType
 
