@@ -31,7 +31,7 @@ def test_surrogates(spark):
     assert m[5] in out[7].text and "10.20.30.40" not in out[7].text
     assert out[6].text.split("@")[1] == out[7].text.split()[0].split("@")[1] and not set(out[6].text.split()) & set(out[7].text.split())
     for r in out.values():
-        assert not re.search(r"Smith|Weber|Петров|bob@|ann@|6789|4539", r.text)
+        assert not re.search(r"John Smith|Mrs Smith|Anna Weber|Müller|Петров|bob@|ann@|6789|4539", r.text)
 
 
 def test_collisions_are_resolved(spark):
