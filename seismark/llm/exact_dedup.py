@@ -83,6 +83,8 @@ def exact_dedup(
     )
     # Without any id in the group, its rows repeat the null id.
     groups = groups.withColumn("same", F.when(F.col("keep_id").isNull(), F.col("nulls")).otherwise(F.col("same"))).drop("nulls")
+    # Few groups meet their rows where those are; with many, the join shuffles both and Spark splits a hot group.
+    groups = small(written(groups))
     keeps = F.col("id").eqNullSafe(F.col("keep_id"))
     order = ["id", "keep_id", "group_size", "kept", "text_sha256"]
     several = keeps & (F.col("same") > 1)
