@@ -144,13 +144,15 @@ def nearest_station(events: DataFrame, stations: DataFrame, k: int = 1) -> DataF
     """The k nearest stations of each event by epicentral distance, ties by id; stations are a network's and so broadcast."""
     s = F.broadcast(stations.select("stationId", F.col("e").alias("se"), F.col("n").alias("sn")))
     dist = F.hypot(F.col("e") - F.col("se"), F.col("n") - F.col("sn"))
-    pairs = events.select("eventId", "e", "n").join(s).select("eventId", "stationId", dist.alias("distM"))
-    # Partial top k: arrays of k nearest, merged.
-    best = pairs.groupBy("eventId").agg(F.min_by(F.struct("distM", "stationId"), F.struct("distM", "stationId")).alias("x")) if k == 1 else None
-    if best is not None:
+    if k == 1:
+        pairs = events.select("eventId", "e", "n").join(s).select("eventId", "stationId", dist.alias("distM"))
+        best = pairs.groupBy("eventId").agg(F.min_by(F.struct("distM", "stationId"), F.struct("distM", "stationId")).alias("x"))
         return best.select("eventId", "x.stationId", "x.distM", F.lit(1).alias("place"))
-    w = Window.partitionBy("eventId").orderBy("distM", "stationId")
-    return pairs.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
+    # The k nearest are cut out beside the event: no pair of an event and a station is shuffled.
+    net = F.broadcast(s.agg(F.array_agg(F.struct("stationId", "se", "sn")).alias("net")))
+    near = F.array_sort(F.transform("net", lambda x: F.struct(F.hypot(F.col("e") - x["se"], F.col("n") - x["sn"]).alias("distM"), x["stationId"].alias("stationId"))))
+    top = events.select("eventId", "e", "n").join(net).select("eventId", F.posexplode(F.slice(near, 1, k)).alias("pos", "x"))
+    return top.select("eventId", "x.stationId", "x.distM", (F.col("pos") + 1).alias("place"))
 
 
 def neighbour_median(terms: DataFrame, stations: DataFrame, k: int, max_dist: float) -> DataFrame:
