@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seismark.functions.tables import materialised
+
 
 def median(c: Column | str) -> Column:
     return F.percentile(c, F.lit(0.5))
@@ -143,31 +145,38 @@ def trimmed_extent(rows: DataFrame, columns: list[str], trim: float, margin: flo
     return rows.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
 
 
-def fit_calibration(obs: DataFrame, ridge: float = 1.0, least: int = 3, rounds: int = 20, scale: float = 0.3) -> tuple[dict[str, float], dict]:
+def calibrated(obs: DataFrame, ridge: float = 1.0, least: int = 3, rounds: int = 500, scale: float = 0.3, tolerance: float = 1e-9) -> tuple[dict[str, float], DataFrame]:
     """mag = logA + b * logR + c + station term by robust (soft L1) least squares with ridge-damped station terms.
 
-    Each round sums the weighted normal equations in Spark, one row for each pair of unknowns that
-    share an observation; the system has one unknown a station and is solved on the driver.
+    Returns b and c, and (stationId, term).  Each round sums the weighted normal equations by station
+    in Spark.  A station's term is in its own equation only, and so is eliminated there; the sums of
+    what remains, a 2 x 2 system, are all that reaches the driver.  Stops when no unknown moves by
+    the tolerance; raises if that takes more rounds.
     """
-    n = obs.groupBy("stationId").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("stationId").toPandas().stationId.tolist()
-    at = {s: i + 2 for i, s in enumerate(sorted(n))}
-    own = F.broadcast(obs.sparkSession.createDataFrame(list(at.items()) or [(None, 0)], ["stationId", "at"]))  # a network's stations
-    rows = obs.join(own, "stationId").select("at", "logR", (F.col("mag") - F.col("logA")).alias("d"))
-    x = np.zeros(len(at) + 2)
+    rows = materialised(obs.select("stationId", "logR", (F.col("mag") - F.col("logA")).alias("d")))
+    terms = rows.groupBy("stationId").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("stationId", F.lit(0.0).alias("term"))
+    terms = materialised(terms)
+    b = c = 0.0
     for _ in range(rounds):
-        term = F.element_at(F.array(*map(F.lit, x.tolist())), F.col("at").cast("int") + 1)
-        r = F.col("d") - (x[0] * F.col("logR") + x[1] + term)
-        w = 1 / F.sqrt(1 + (r / scale) * (r / scale))
-        s = rows.withColumn("w", w).groupBy("at").agg(*[F.sum(e).alias(a) for a, e in {"w": F.col("w"), "r": F.col("w") * F.col("logR"), "rr": F.col("w") * F.col("logR") * F.col("logR"), "d": F.col("w") * F.col("d"), "rd": F.col("w") * F.col("logR") * F.col("d")}.items()]).toPandas()
-        a, y = np.zeros((len(x), len(x))), np.zeros(len(x))
-        a[0, 0], a[0, 1], a[1, 1] = s.rr.sum(), s.r.sum(), s.w.sum()
-        y[0], y[1] = s.rd.sum(), s.d.sum()
-        for t in s.itertuples():
-            a[0, t.at], a[1, t.at], a[t.at, t.at], y[t.at] = t.r, t.w, t.w + ridge, t.d
-        a = np.triu(a) + np.triu(a, 1).T
-        new = np.linalg.lstsq(a, y, rcond=None)[0]
-        if np.abs(new - x).max() < 1e-9:
-            break
-        x = new
-    return {"b": float(x[0]), "c": float(x[1])}, {s: float(x[i]) for s, i in at.items()}
-
+        r = F.col("d") - (b * F.col("logR") + c + F.col("term"))
+        w, x, d = F.col("w"), F.col("logR"), F.col("d")
+        near = rows.join(terms, "stationId").withColumn("w", 1 / F.sqrt(1 + (r / scale) * (r / scale)))
+        s = materialised(near.groupBy("stationId").agg(F.first("term").alias("term"), *[F.sum(e).alias(a) for a, e in {"w": w, "r": w * x, "rr": w * x * x, "d": w * d, "rd": w * x * d}.items()]))
+        own = F.col("w") + ridge
+        left = {"rr": F.col("rr") - F.col("r") * F.col("r") / own, "r": F.col("r") - F.col("r") * F.col("w") / own, "w": F.col("w") - F.col("w") * F.col("w") / own, "rd": F.col("rd") - F.col("r") * F.col("d") / own, "d": F.col("d") - F.col("w") * F.col("d") / own}
+        m = s.agg(*[F.sum(e).alias(a) for a, e in left.items()]).first()
+        if m.w is None:
+            return {"b": 0.0, "c": 0.0}, terms
+        new_b, new_c = map(float, np.linalg.lstsq(np.array([[m.rr, m.r], [m.r, m.w]]), np.array([m.rd, m.d]), rcond=None)[0])
+        new = s.select("stationId", ((F.col("d") - new_b * F.col("r") - new_c * F.col("w")) / own).alias("term"), F.col("term").alias("before"))
+        moved = max(abs(new_b - b), abs(new_c - c), new.agg(F.max(F.abs(F.col("term") - F.col("before"))).alias("x")).first().x)
+        b, c, terms = new_b, new_c, new.select("stationId", "term")
+        if moved < tolerance:
+            return {"b": b, "c": c}, terms
+    raise ArithmeticError(f"the calibration still moves by {moved:.3g} after {rounds} rounds")
+
+
+def fit_calibration(obs: DataFrame, **limits) -> tuple[dict[str, float], dict]:
+    """`calibrated`, with the terms of a network that the driver can hold as a dict."""
+    line, terms = calibrated(obs, **limits)
+    return line, {r.stationId: r.term for r in terms.collect()}

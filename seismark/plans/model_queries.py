@@ -312,9 +312,9 @@ def q86(spark, d):
 @query("q87_calibration")
 def q87(spark, d):
     """Robust fit of magnitudes to amplitudes and distances, with each station's term."""
-    line, terms = stats.fit_calibration(A.observations(spark, d), rounds=5)
-    rows = [("b", None, round(line["b"], 4)), ("c", None, round(line["c"], 4))] + [("term", s, round(t, 4)) for s, t in sorted(terms.items())]
-    return spark.createDataFrame(rows, "kind string, stationId long, value double")
+    line, terms = stats.calibrated(A.observations(spark, d))
+    head = spark.createDataFrame([("b", None, line["b"]), ("c", None, line["c"])], "kind string, stationId long, value double")
+    return rounded(head.unionByName(terms.select(F.lit("term").alias("kind"), "stationId", F.col("term").alias("value"))), "value", places=4)
 
 
 @query("q88_grid_point_cascade", with_tables(PAIRS + """, c AS (SELECT catalogId, count(eventId) AS n, min(cost) AS best FROM catalog LEFT JOIN pairs USING (catalogId) GROUP BY 1)
