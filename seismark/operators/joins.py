@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
 
 import numpy as np
 import pandas as pd
@@ -43,62 +43,186 @@ def lowest_cost(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
-def hungarian(cost: np.ndarray) -> list[tuple[int, int]]:
-    """Minimum-cost complete assignment of the rows of a matrix with at most as many rows as columns."""
-    n, m = cost.shape
-    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
-    for i in range(1, n + 1):
-        match[0], j0 = i, 0
-        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+def sparse_assignment(near: list[list[tuple[int, int]]], n_columns: int, alone: int) -> list[int]:
+    """The column of each row, or -1, in a set of most pairs and then the least total cost.
+
+    near lists (column, cost >= 0) of each row; `alone`, what a row without a column costs, exceeds
+    what all pairs together cost.  Rows enter one by one: each takes the cheapest way, over columns
+    that others give up for their next ones, to a free column or to a row that stays alone.
+    """
+    u, v = [0] * len(near), [0] * n_columns
+    owner, column = [-1] * n_columns, [-1] * len(near)
+    for s in range(len(near)):
+        reach: dict[int, int] = {}
+        come: dict[int, int] = {}
+        heap: list[tuple[int, int]] = []
+        closed: list[tuple[int, int]] = []
+        row, base, least, last = s, 0, None, s
         while True:
-            used[j0] = True
-            i0 = match[j0]
-            reduced = cost[i0 - 1] - u[i0] - v[1:]
-            better = ~used[1:] & (reduced < least[1:])
-            least[1:][better], way[1:][better] = reduced[better], j0
-            free = np.where(used[1:], np.inf, least[1:])
-            j1 = int(np.argmin(free)) + 1
-            step = free[j1 - 1]
-            u[match[used]] += step
-            v[used] -= step
-            least[~used] -= step
-            j0 = j1
-            if match[j0] == 0:
+            start = base - u[row]
+            for j, c in near[row]:
+                d = start + c - v[j]
+                if j not in reach or d < reach[j]:
+                    reach[j], come[j] = d, row
+                    heapq.heappush(heap, (d, j))
+            if least is None or start + alone < least:
+                least, last = start + alone, row
+            while heap and heap[0][0] > reach[heap[0][1]]:
+                heapq.heappop(heap)
+            if not heap or heap[0][0] >= least:
+                end, j = least, column[last]  # `last` stays alone and gives its column up
+                column[last] = -1
+                break
+            base, j = heapq.heappop(heap)
+            if owner[j] < 0:
+                end = base
                 break
-        while j0:
-            match[j0], j0 = match[way[j0]], way[j0]
-    return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
+            closed.append((base, j))
+            reach[j] = base - 1  # closed: no later way is shorter
+            row = owner[j]
+        u[s] += end
+        for d, k in closed:
+            v[k] -= end - d
+            u[owner[k]] += end - d
+        while j >= 0:
+            row = come[j]
+            owner[j], column[row], j = row, j, column[row]
+    return column
+
+
+#: Pairs of connected components that one task solves at most; larger components are auctioned in blocks.
+LOCAL_PAIRS = 250_000
+#: Pairs of a block of the auction, on average.
+BLOCK_PAIRS = 50_000
+_PAIRS = "catalogId long, eventId long, dtS double, distM double, cost double"
 
 
 def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
-    """Most pairs first, then the least total cost."""
+    """Most pairs first, then the least total cost; costs to 9 places."""
     pairs = pairs.sort_values(["catalogId", "eventId"])
-    rows, cols = sorted(pairs.catalogId.unique()), sorted(pairs.eventId.unique())
-    at_row, at_col = {x: i for i, x in enumerate(rows)}, {x: i for i, x in enumerate(cols)}
-    big = float(pairs.cost.max() + 1) * (min(len(rows), len(cols)) + 1)
-    cost = np.full((len(rows), len(cols)), big)
-    cost[pairs.catalogId.map(at_row), pairs.eventId.map(at_col)] = pairs.cost
-    found = hungarian(cost) if len(rows) <= len(cols) else [(i, j) for j, i in hungarian(cost.T)]
-    chosen = {(rows[i], cols[j]) for i, j in found if cost[i, j] < big}
-    return pairs[[k in chosen for k in zip(pairs.catalogId, pairs.eventId)]]
+    row, _ = pd.factorize(pairs.catalogId)
+    column, names = pd.factorize(pairs.eventId)
+    cost = np.rint(pairs.cost.to_numpy() * 1e9).astype(np.int64)
+    near: list[list[tuple[int, int]]] = [[] for _ in range(row.max() + 1)]
+    for i, j, c in zip(row.tolist(), column.tolist(), cost.tolist()):
+        near[i].append((j, c))
+    alone = (int(cost.max()) + 1) * (min(len(near), len(names)) + 1)
+    return pairs[np.array(sparse_assignment(near, len(names), alone))[row] == column]
+
+
+def _bids(step: int):
+    """An auction among the people of one block, until each of them holds something at the prices known here."""
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        offers: dict[int, list[tuple[int, int]]] = {}
+        price: dict[int, int] = {}
+        holder: dict[int, int] = {}
+        for x, y, cost, p, own in zip(rows.x.tolist(), rows.y.tolist(), rows.c.tolist(), rows.price.tolist(), rows.own.tolist()):
+            offers.setdefault(x, []).append((y, cost))
+            price[y] = p
+            if own:
+                holder[y] = x
+        held, changed = set(holder.values()), set()
+        waiting = [x for x in sorted(offers) if x not in held]
+        while waiting:
+            x = waiting.pop()
+            best = second = None
+            for y, cost in offers[x]:
+                value = -cost - price[y]
+                if best is None or value > best[0]:
+                    best, second = (value, y), best
+                elif second is None or value > second[0]:
+                    second = (value, y)
+            y = best[1]
+            price[y] += best[0] - (second[0] if second else best[0]) + step
+            changed.add(y)
+            if y in holder and holder[y] in offers:
+                waiting.append(holder[y])
+            holder[y] = x
+        return pd.DataFrame([(y, price[y], holder[y]) for y in sorted(changed)], columns=["y", "price", "x"])
+
+    return run
+
+
+def auction(pairs: DataFrame, block_pairs: int = BLOCK_PAIRS, scale: float = 1e6) -> DataFrame:
+    """(catalogId, eventId) of one of the best one-to-one sets, by auctions in blocks of time; for components of any size.
+
+    Every event of both sides is a person and a thing; a pair links the one's person with the other's
+    thing both ways, and staying alone is taking one's own.  All persons then hold a thing, and a
+    fall of the bids' step by a factor of 8 a phase keeps bidding short.  In a round, each block bids
+    for itself until its own persons hold something, at prices that may be too low by now; of several
+    blocks that raised a price the highest stays, and whoever lost bids again in the next round, in
+    blocks cut half-way between.  Prices only rise, so that whoever still holds a thing is content
+    within the last step, and with integer costs times the number of persons a step of 1 makes the
+    result optimal.
+
+    pairs has catalogId, eventId, dtS, cost and place, the public event's time: blocks are quantiles
+    of it.  Costs are rounded to 1 / scale, or coarser beyond some 100,000 events.
+    """
+    pairs = materialised(pairs.select("catalogId", "eventId", "dtS", "cost", "place"))
+    n, left, right, most = pairs.agg(F.count(F.lit(1)), F.countDistinct("catalogId"), F.countDistinct("eventId"), F.max("cost")).first()
+    if not n:
+        return pairs.select("catalogId", "eventId")
+    people = left + right + 1
+    scale = min(scale, 2.0**58 / (people * people * (most + 1)))
+    alone = (min(left, right) + 1) * (int(most * scale) + 2) * people
+    k = 2 * -(-n // block_pairs)
+    cuts = pairs.approxQuantile("place", [i / k for i in range(1, k)], 0.1 / k) if k > 2 else []
+    block = lambda t, own: F.size(F.filter(F.array(*map(F.lit, own)), lambda c: c <= t)) if own else F.lit(0)
+    a, b, c = F.col("catalogId") * 2, F.col("eventId") * 2 + 1, F.rint(F.col("cost") * scale).cast("long") * people
+    homes = lambda t: [block(t, cuts[1::2]).alias("even"), block(t, cuts[::2]).alias("odd")]
+    two = F.array(F.struct(*homes(F.col("place")), a.alias("x"), b.alias("y"), c.alias("c")), F.struct(*homes(F.col("place") + F.col("dtS")), b.alias("x"), a.alias("y"), c.alias("c")))
+    edges = materialised(pairs.select(F.inline(two)))
+    # Rounding may put an event's own time on both sides of a cut: the lower block takes all its pairs.
+    home = materialised(edges.groupBy("x").agg(F.min("even").alias("even"), F.min("odd").alias("odd")))
+    edges = edges.select("x", "y", "c").unionByName(home.select("x", F.col("x").alias("y"), F.lit(alone).cast("long").alias("c"))).join(home, "x")
+    edges = materialised(edges)
+    state = materialised(home.select(F.col("x").alias("y"), F.lit(0).cast("long").alias("price"), F.lit(None).cast("long").alias("holder")))
+    step, turn = alone // 4, 0
+    while True:
+        step = max(1, step // 8)
+        state = state.withColumn("holder", F.lit(None).cast("long"))
+        while True:
+            turn += 1
+            layout = ("even", "odd")[turn % 2]
+            free = materialised(home.join(state.select(F.col("holder").alias("x")), "x", "left_anti").select(layout).distinct())
+            if free.isEmpty():
+                break
+            rows = edges.join(free, layout, "left_semi").join(state, "y").select(layout, "x", "y", "c", "price", F.coalesce(F.col("holder") == F.col("x"), F.lit(False)).alias("own"))
+            made = rows.groupBy(layout).applyInPandas(_bids(step), "y long, price long, x long").groupBy("y").agg(F.max(F.struct("price", "x")).alias("bid"))
+            state = materialised(state.join(made, "y", "left").select("y", F.coalesce("bid.price", "price").alias("price"), F.coalesce("bid.x", "holder").alias("holder")))
+        if step == 1:
+            break
+    won = state.where("y % 2 = 1 AND holder % 2 = 0")
+    return won.select(F.expr("holder DIV 2").alias("catalogId"), F.expr("y DIV 2").alias("eventId"))
 
 
-def assign_one_to_one(pairs: DataFrame) -> DataFrame:
+def assign_one_to_one(pairs: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataFrame:
     """Of all one-to-one sets of admissible pairs, one with the most pairs and then the least total cost.
 
-    Pairs that share no event with each other are independent: each connected part of the pairs is
-    solved by itself.  pairs has catalogId, eventId (integers), dtS, distM, cost.
+    Connected parts of the pairs share no event and are independent: those of at most local_pairs
+    pairs are solved by shortest ways over their lists of neighbours, as many in a task as that bound
+    holds; larger ones by `auction`.  pairs has catalogId, eventId (integers from 0), dtS, distM,
+    cost (0 or more), and maybe place, the public event's time, which cuts large parts into blocks.
     """
-    pairs = materialised(pairs.select("catalogId", "eventId", "dtS", "distM", "cost"))
-    links = pairs.select((F.col("catalogId") * 2).alias("a"), (F.col("eventId") * 2 + 1).alias("b"))
-    part = components(links)
-    named = pairs.withColumn("node", F.col("catalogId") * 2).join(part.withColumnRenamed("id", "node"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    return named.groupBy("component").applyInPandas(lambda k, df: _assign(df)[["catalogId", "eventId", "dtS", "distM", "cost"]], "catalogId long, eventId long, dtS double, distM double, cost double")
+    place = F.col("place").cast("double") if "place" in pairs.columns else F.col("catalogId").cast("double")
+    pairs = materialised(pairs.select("catalogId", "eventId", "dtS", "distM", "cost", place.alias("place")))
+    part = components(pairs.select((F.col("catalogId") * 2).alias("a"), (F.col("eventId") * 2 + 1).alias("b")))
+    named = materialised(pairs.withColumn("id", F.col("catalogId") * 2).join(part, "id").drop("id"))
+    large = materialised(named.groupBy("component").count().where(F.col("count") > local_pairs).select("component"))
+    tasks = max(pairs.sparkSession.sparkContext.defaultParallelism, -(-2 * named.count() // max(1, local_pairs)))
+    rest = named.join(large, "component", "left_anti").withColumn("task", F.pmod(F.xxhash64("component"), F.lit(tasks)))
+    out = rest.groupBy("task").applyInPandas(lambda k, df: _assign(df)[["catalogId", "eventId", "dtS", "distM", "cost"]], _PAIRS)
+    if large.isEmpty():
+        return out
+    won = auction(named.join(large, "component", "left_semi"))
+    return out.unionByName(named.drop("component", "place").join(won, ["catalogId", "eventId"]))
 
 
 def match_catalog(located: DataFrame, public: DataFrame, max_dt: float, max_dist: float) -> DataFrame:
     """One row for each public event: its match, or why it has none and the cheapest candidate."""
-    pairs = materialised(with_cost(pair_offsets(located, public, max_dt, max_dist), max_dt, max_dist))
+    pairs = with_cost(pair_offsets(located, public, max_dt, max_dist), max_dt, max_dist)
+    pairs = materialised(pairs.join(public.select("catalogId", F.col("t").alias("place")), "catalogId"))
     won = assign_one_to_one(pairs).select("catalogId", "eventId", "dtS", "distM")
     best = lowest_cost(pairs).select("catalogId", F.col("eventId").alias("bestId"))
     out = public.select("catalogId").join(won, "catalogId", "left").join(best, "catalogId", "left")
