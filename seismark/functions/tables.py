@@ -31,6 +31,15 @@ def materialised(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: A side is broadcast only when it has at most this many rows of a few columns.
+BROADCAST_ROWS = 250_000
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if a count finds at most that many rows; beyond that the same join shuffles."""
+    return F.broadcast(df) if df.limit((BROADCAST_ROWS if rows is None else rows) + 1).count() <= (BROADCAST_ROWS if rows is None else rows) else df
+
+
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """df with its place in a total order, from 1, without bringing all rows to one task.
 

@@ -1,104 +1,141 @@
-"""Association of picks to events: votes on a grid of origins, duplicates merged, shared picks resolved."""
+"""Association of picks to events: votes on a grid of origins, duplicates merged, shared picks resolved; in joins and aggregates only."""
 
 from __future__ import annotations
 
-import pandas as pd
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from seismark.functions.graphs import components
-from seismark.functions.tables import materialised
-from seismark.operators.picks import resolve_shared
+from seismark.functions.tables import materialised, small
+from seismark.operators.picks import failed_minimum, pick_counts, resolve_shared
 
 
 def votes(picks: DataFrame, times: DataFrame, width: float, least_stations: int) -> DataFrame:
     """(node, slot, t, stations, nPicks): origin-time slots at grid nodes that enough stations agree on.
 
-    times has node, stationId, phase, seconds: a bounded grid times a network, broadcast.  Each pick
-    votes for the slot of its back-projected origin and the next, so that a true origin is never cut.
+    times has node, stationId, phase, seconds: a bounded grid times a network.  Each pick votes for
+    the slot of its back-projected origin and the next, so that a true origin is never cut.
     """
-    t0 = picks.select("id", "stationId", "phase", "t", "prob").join(F.broadcast(times), ["stationId", "phase"]).withColumn("t0", F.col("t") - F.col("seconds"))
+    t0 = picks.select("id", "stationId", "phase", "t").join(small(times), ["stationId", "phase"]).withColumn("t0", F.col("t") - F.col("seconds"))
     slot = t0.withColumn("slot", F.explode(F.array(F.floor(F.col("t0") / width), F.floor(F.col("t0") / width) + 1)))
-    return slot.groupBy("node", "slot").agg(F.count_distinct("stationId").alias("stations"), F.count(F.lit(1)).alias("nPicks"), F.avg("t0").alias("t")).where(F.col("stations") >= least_stations)
+    by_station = slot.groupBy("node", "slot", "stationId").agg(F.count(F.lit(1)).alias("n"), F.sum("t0").alias("sum"))
+    return by_station.groupBy("node", "slot").agg(F.count(F.lit(1)).alias("stations"), F.sum("n").alias("nPicks"), (F.sum("sum") / F.sum("n")).alias("t")).where(F.col("stations") >= least_stations)
 
 
-def peaks(found: DataFrame, apart: float) -> DataFrame:
-    """Slots with the most stations, then picks, then the lowest slot and node, among all slots of the time window `apart` around."""
-    w = Window.partitionBy(F.floor(F.col("t") / apart)).orderBy(F.desc("stations"), F.desc("nPicks"), "slot", "node")
-    return found.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n").withColumn("eventId", F.xxhash64("node", "slot"))
+def peaks(found: DataFrame, apart: float, width: float) -> DataFrame:
+    """Candidates better than all others whose slots are within `apart` before and after: most stations, then picks, then the lowest slot and node."""
+    key = F.struct((-F.col("stations")).alias("s"), (-F.col("nPicks")).alias("p"), "slot", "node")
+    best = materialised(found.groupBy("slot").agg(F.min(F.struct(key.alias("key"), "t")).alias("x")).select("slot", "x.key", "x.t"))
+    reach = math.ceil(apart / width)
+    seen = best.select("key", F.explode(F.sequence(F.col("slot") - reach, F.col("slot") + reach)).alias("slot")).groupBy("slot").agg(F.min("key").alias("least"))
+    top = best.join(seen, "slot").where(F.col("key") == F.col("least"))
+    return top.select("key.node", "key.slot", "t", (-F.col("key.s")).alias("stations"), (-F.col("key.p")).alias("nPicks"), F.xxhash64("key.node", "key.slot").alias("eventId"))
 
 
 def assigned(events: DataFrame, picks: DataFrame, times: DataFrame, tolerance: float) -> DataFrame:
     """The picks that fit each candidate within the tolerance, one a station and phase (the best fit), with residuals."""
-    e = events.join(F.broadcast(times), "node").select("eventId", F.col("t").alias("eventT"), "stationId", "phase", (F.col("t") + F.col("seconds")).alias("predicted"))
+    e = events.join(small(times), "node").select("eventId", F.col("t").alias("eventT"), "stationId", "phase", (F.col("t") + F.col("seconds")).alias("predicted"))
     e = e.withColumn("_b", F.floor(F.col("predicted") / tolerance))
     p = picks.select("stationId", "phase", F.col("id").alias("pickId"), "t").withColumn("_b", F.explode(F.array(*[F.floor(F.col("t") / tolerance) + k for k in (-1, 0, 1)])))
     hit = e.join(p, ["stationId", "phase", "_b"]).withColumn("residual", F.col("t") - F.col("predicted")).where(F.abs("residual") <= tolerance)
-    w = Window.partitionBy("eventId", "stationId", "phase").orderBy(F.abs("residual"), "pickId")
-    return hit.withColumn("_n", F.row_number().over(w)).where("_n = 1").select("eventId", "eventT", "pickId", "stationId", "phase", "residual")
-
-
-def _merge(p: pd.DataFrame, within: float, share: float) -> pd.DataFrame:
-    """Better events absorb later-ranked ones near in time that share enough picks; pairwise, never through a third."""
-    sets = p.groupby("eventId").pickId.agg(set)
-    order = p.groupby("eventId").agg(t=("eventT", "first"), n=("pickId", "size")).reset_index().sort_values(["n", "t", "eventId"], ascending=[False, True, True])
-    free, parts = list(order.itertuples(index=False)), []
-    while free:
-        lead, rest = free[0], []
-        family = [lead.eventId]
-        for other in free[1:]:
-            common = len(sets[lead.eventId] & sets[other.eventId])
-            near = abs(other.t - lead.t) <= within and common > 0 and common >= share * min(lead.n, other.n)
-            (family if near else rest).append(other.eventId if near else other)
-        rows = pd.concat([p[p.eventId == x].sort_values("pickId") for x in family]).drop_duplicates("pickId").drop_duplicates(["stationId", "phase"])
-        parts.append(rows.assign(eventId=lead.eventId, eventT=lead.t))
-        free = rest
-    return pd.concat(parts)
-
-
-def _resolve(p: pd.DataFrame, minimums: dict[str, int]) -> pd.DataFrame:
-    """Shared picks go to their owners; of events that then miss a minimum only the last-ranked is dropped, until none is."""
-    while True:
-        size = p.groupby("eventId").pickId.transform("size")
-        own = p.assign(a=p.residual.abs(), s=-size).sort_values(["pickId", "a", "s", "eventT", "eventId"]).drop_duplicates("pickId")
-        by = own.groupby("eventId")
-        counts = pd.DataFrame({"nPicks": by.size(), "nStations": by.stationId.nunique(), "nP": by.phase.agg(lambda x: (x == "P").sum()), "nS": by.phase.agg(lambda x: (x == "S").sum()), "t": by.eventT.first()}).reindex(p.eventId.unique()).fillna({c: 0 for c in ("nPicks", "nStations", "nP", "nS")})
-        bad = counts[(counts[list(minimums)] < pd.Series(minimums)).any(axis=1)].reset_index(names="eventId")
-        if bad.empty:
-            return own[p.columns]
-        last = bad.sort_values(["nPicks", "t", "eventId"], ascending=[True, False, False]).eventId.iloc[0]
-        p = p[p.eventId != last]
-        if p.empty:
-            return p
+    best = hit.groupBy("eventId", "eventT", "stationId", "phase").agg(F.min(F.struct(F.abs("residual").alias("a"), "pickId", "residual")).alias("x"))
+    return best.select("eventId", "eventT", "x.pickId", "stationId", "phase", "x.residual")
 
 
-_ROWS = "eventId long, eventT double, pickId string, stationId long, phase string, residual double"
+_ROWS = ["eventId", "eventT", "pickId", "stationId", "phase", "residual"]
 
 
-def by_shared_picks(rows: DataFrame) -> DataFrame:
-    """rows with `component`: events that share picks, directly or through others."""
-    rows = materialised(rows)
-    first = Window.partitionBy("pickId")
-    links = rows.withColumn("other", F.min("eventId").over(first)).where("other <> eventId").select("eventId", "other").distinct()
-    part = components(links).withColumnRenamed("id", "eventId")
-    return rows.join(part, "eventId", "left").withColumn("component", F.coalesce("component", "eventId"))
+def leads(pairs: DataFrame) -> DataFrame:
+    """(eventId, lead) of the events that another absorbs.
 
-
-def merge_duplicates(rows: DataFrame, within: float, share: float) -> DataFrame:
-    """Events that share picks are merged inside their component; others can't be."""
-    return by_shared_picks(rows).groupBy("component").applyInPandas(lambda k, p: _merge(p.drop(columns="component"), within, share)[["eventId", "eventT", "pickId", "stationId", "phase", "residual"]], _ROWS)
+    pairs (a table) has first, key and second: `first`, ranked before by key, takes `second` unless itself is
+    taken.  A round decides every event whose best neighbour that isn't taken is decided; so each
+    joins the best-ranked lead, as if events had gone one by one in the order of their ranks.
+    """
+    taken = pairs.sparkSession.createDataFrame([], "eventId long, lead long")
+    done = materialised(pairs.select(F.col("first").alias("eventId")).distinct().join(pairs.select(F.col("second").alias("eventId")), "eventId", "left_anti"))
+    while True:
+        out = taken.select(F.col("eventId").alias("first"))
+        know = done.select(F.col("eventId").alias("first"), F.lit(True).alias("sure"))
+        open_ = pairs.join(done.unionByName(taken.select("eventId")).withColumnRenamed("eventId", "second"), "second", "left_anti")
+        best = open_.join(out, "first", "left_anti").join(know, "first", "left").groupBy("second").agg(F.min(F.struct("key", "first", "sure")).alias("x"))
+        state = open_.select("second").distinct().join(best, "second", "left").select(F.col("second").alias("eventId"), F.col("x.first").alias("lead"), F.col("x.sure").alias("sure"))
+        state = materialised(state)
+        if state.isEmpty():
+            return taken
+        taken = materialised(taken.unionByName(state.where("sure").select("eventId", "lead")))
+        done = materialised(done.unionByName(state.where("lead IS NULL").select("eventId")))
 
 
-def resolve_with_minimums(rows: DataFrame, minimums: dict[str, int]) -> DataFrame:
-    """resolve_shared to a fixpoint under the minimums, component by component."""
-    return by_shared_picks(rows).groupBy("component").applyInPandas(lambda k, p: _resolve(p.drop(columns="component"), minimums)[["eventId", "eventT", "pickId", "stationId", "phase", "residual"]], _ROWS)
+def merge_duplicates(rows: DataFrame, within: float, share: float) -> DataFrame:
+    """Better events absorb later-ranked ones near in time that share enough picks; pairwise, never through a third.
 
+    Rank: more picks, the earlier origin, the smaller id.  Of the picks of a merged event one stays a
+    station and phase: the better event's, then the smaller id's.
+    """
+    rows = materialised(rows.select(*_ROWS))
+    size = materialised(rows.groupBy("eventId").agg(F.first("eventT").alias("t"), F.count(F.lit(1)).alias("n")))
+    key = F.struct((-F.col("n")).alias("n"), "t", "eventId")
+    bucket = F.floor(F.col("t") / within)
+    held = rows.select("eventId", "pickId").join(size, "eventId").select("pickId", "eventId", "t", "n", key.alias("key"))
+    a = held.select("pickId", F.col("eventId").alias("first"), F.col("t").alias("ta"), "key", bucket.alias("_b"))
+    b = held.select("pickId", F.col("eventId").alias("second"), F.col("t").alias("tb"), "n", F.col("key").alias("other"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    common = a.join(b, ["pickId", "_b"]).where((F.col("key") < F.col("other")) & (F.abs(F.col("ta") - F.col("tb")) <= within)).groupBy("first", "second", "key", "n").agg(F.count(F.lit(1)).alias("common"))
+    pairs = materialised(common.where(F.col("common") >= share * F.col("n")).select("first", "key", "second"))
+    if pairs.isEmpty():
+        return rows
+    owner = leads(pairs)
+    named = rows.join(owner, "eventId", "left").join(size.select("eventId", key.alias("rank")), "eventId").withColumn("own", F.coalesce("lead", "eventId"))
+    kept = named.groupBy("own", "stationId", "phase").agg(F.min(F.struct("rank", "pickId", "residual")).alias("x"))
+    return kept.join(size.select(F.col("eventId").alias("own"), F.col("t").alias("eventT")), "own").select(F.col("own").alias("eventId"), "eventT", "x.pickId", "stationId", "phase", "x.residual")
 
-def associate(picks: DataFrame, times: DataFrame, *, width: float, apart: float, tolerance: float, minimums: dict[str, int], within: float, share: float) -> DataFrame:
-    """Picks of the events found, with residuals."""
-    events = materialised(peaks(votes(picks, times, width, minimums["nStations"]), apart))
-    rows = assigned(events, picks, times, tolerance)
-    return resolve_with_minimums(merge_duplicates(rows, within, share), minimums)
 
+def resolve_with_minimums(rows: DataFrame, minimums: dict[str, int]) -> DataFrame:
+    """Shared picks go to their owners; events that then miss a minimum are dropped, worst first, and give their picks back.
 
-__all__ = ["assigned", "associate", "by_shared_picks", "merge_duplicates", "peaks", "resolve_shared", "resolve_with_minimums", "votes"]
+    Events that miss a minimum with all their picks go first.  Then the worst failing event goes:
+    the one with the fewest picks held (not owned), the latest, the largest id.  A drop only gives
+    picks to events that share some, and so a round drops every failing event that is worse than all
+    failing ones that it shares picks with; the rest is as if they had gone one by one.
+    """
+    rows = materialised(rows.select(*_ROWS))
+    good = pick_counts(rows).where(failed_minimum(minimums).isNull()).select("eventId")
+    held = materialised(rows.join(good, "eventId", "left_semi"))
+    if held.groupBy("pickId").count().where("count > 1").isEmpty():
+        return held
+    rank = held.groupBy("eventId").agg(F.struct(F.count(F.lit(1)).alias("n"), (-F.first("eventT")).alias("t"), (-F.col("eventId")).alias("id")).alias("rank"))
+    rank = materialised(rank)
+    while True:
+        own = materialised(resolve_shared(held))
+        counts = held.select("eventId").distinct().join(pick_counts(own), "eventId", "left").fillna(0)
+        failing = materialised(counts.where(failed_minimum(minimums).isNotNull()).select("eventId").join(rank, "eventId"))
+        if failing.isEmpty():
+            return own.select(*_ROWS)
+        touched = held.select("eventId", "pickId").join(failing, "eventId")
+        worst = touched.groupBy("pickId").agg(F.min("rank").alias("worst"))
+        spared = touched.join(worst, "pickId").where(F.col("rank") != F.col("worst")).select("eventId").distinct()
+        gone = failing.join(spared, "eventId", "left_anti").select("eventId")
+        held = materialised(held.join(gone, "eventId", "left_anti"))
+
+
+def associate(picks: DataFrame, times: DataFrame, *, width: float, apart: float, tolerance: float, minimums: dict[str, int], within: float, share: float, rounds: int | None = None) -> DataFrame:
+    """Picks of the events found, with residuals.
+
+    In each round the best candidates of their times take their picks; the next round votes with the
+    picks that no event holds, so that an event beside a better one is found then.  Ends when a
+    round's candidates all miss a minimum, or after `rounds`.
+    """
+    times, left, out = materialised(times), picks, None
+    while rounds is None or rounds > 0:
+        events = materialised(peaks(votes(left, times, width, minimums["nStations"]), apart, width))
+        rows = materialised(resolve_with_minimums(merge_duplicates(assigned(events, left, times, tolerance), within, share), minimums))
+        if rows.isEmpty():
+            break
+        out = rows if out is None else out.unionByName(rows)
+        left = materialised(left.join(rows.select(F.col("pickId").alias("id")), "id", "left_anti"))
+        rounds = None if rounds is None else rounds - 1
+    return rows if out is None else out
+
+
+__all__ = ["assigned", "associate", "leads", "merge_duplicates", "peaks", "resolve_shared", "resolve_with_minimums", "votes"]

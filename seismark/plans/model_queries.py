@@ -79,7 +79,7 @@ def _times(spark, d):
 @query("q54_associate")
 def q54(spark, d):
     p = _selected(spark, d).drop("eventId")
-    rows = association.associate(p, _times(spark, d), width=300.0, apart=3600.0, tolerance=300.0, minimums={"nPicks": 4, "nStations": 3}, within=600.0, share=0.5)
+    rows = association.associate(p, _times(spark, d), width=300.0, apart=900.0, tolerance=300.0, minimums={"nPicks": 4, "nStations": 3}, within=600.0, share=0.5)
     return rounded(rows, "eventT", "residual")
 
 

@@ -1,5 +1,6 @@
 """Operators against brute force, closed forms and planted truth."""
 
+import heapq
 import itertools
 import math
 import os
@@ -21,27 +22,67 @@ ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
 LAYERS = location.Layers((2000.0, 1500.0, 800.0, -500.0), (2500.0, 3500.0, 4800.0, 5800.0), (1400.0, 2000.0, 2800.0, 3350.0))
 
 
-def best_assignment(pairs):
-    """Most pairs, then least cost, by trying every subset."""
-    best = (0, 0.0)
-    for k in range(len(pairs), 0, -1):
-        for subset in itertools.combinations(pairs, k):
-            if len({p[0] for p in subset}) == k == len({p[1] for p in subset}):
-                best = min(best, (-k, sum(p[2] for p in subset)))
-        if best[0]:
-            return best
-    return best
+def hungarian(cost):
+    """Least complete assignment of a dense matrix with at most as many rows as columns, to test the sparse one."""
+    n, m = cost.shape
+    u, v, match = np.zeros(n + 1), np.zeros(m + 1), np.zeros(m + 1, int)
+    for i in range(1, n + 1):
+        match[0], j0 = i, 0
+        least, way, used = np.full(m + 1, np.inf), np.zeros(m + 1, int), np.zeros(m + 1, bool)
+        while True:
+            used[j0] = True
+            reduced = cost[match[j0] - 1] - u[match[j0]] - v[1:]
+            better = ~used[1:] & (reduced < least[1:])
+            least[1:][better], way[1:][better] = reduced[better], j0
+            free = np.where(used[1:], np.inf, least[1:])
+            j1 = int(np.argmin(free)) + 1
+            step = free[j1 - 1]
+            u[match[used]] += step
+            v[used] -= step
+            least[~used] -= step
+            j0 = j1
+            if match[j0] == 0:
+                break
+        while j0:
+            match[j0], j0 = match[way[j0]], way[j0]
+    return [(match[j] - 1, j - 1) for j in range(1, m + 1) if match[j]]
+
+
+def best_assignment(frame):
+    """(pairs, cost) of the best one-to-one set, by the dense method."""
+    n, m = int(frame.catalogId.max()) + 1, int(frame.eventId.max()) + 1
+    cost = np.full((n, m), 1e4)
+    cost[frame.catalogId, frame.eventId] = frame.cost
+    chosen = [cost[i, j] for i, j in hungarian(cost if n <= m else cost.T) for i, j in [(i, j) if n <= m else (j, i)]]
+    return sum(c < 1e4 for c in chosen), sum(c for c in chosen if c < 1e4)
+
+
+@pytest.mark.parametrize("density", [0.05, 0.1, 0.3])
+def test_assignment_is_optimal(density):
+    rng = np.random.default_rng(int(density * 100))
+    for _ in range(20):
+        n, m = rng.integers(3, 40, 2)
+        at = np.argwhere(rng.random((n, m)) < density)
+        if not len(at):
+            continue
+        pairs = pd.DataFrame({"catalogId": at[:, 0], "eventId": at[:, 1], "dtS": 0.0, "distM": 0.0, "cost": np.round(rng.random(len(at)), 3)})
+        out = joins._assign(pairs)
+        assert out.catalogId.is_unique and out.eventId.is_unique
+        assert (len(out), out.cost.sum()) == pytest.approx(best_assignment(pairs))
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_assignment_is_optimal(spark, seed):
-    rng = np.random.default_rng(seed)
-    pairs = [(int(a), int(b), float(round(rng.random(), 3))) for a in range(5) for b in range(4) if rng.random() < 0.4]
-    rows = [(a, b, 0.0, 0.0, c) for a, b, c in pairs]
-    out = joins.assign_one_to_one(spark.createDataFrame(rows, "catalogId long, eventId long, dtS double, distM double, cost double")).collect()
-    assert len({r.catalogId for r in out}) == len(out) == len({r.eventId for r in out})
-    want = best_assignment(pairs)
-    assert -len(out) == want[0] and abs(sum(r.cost for r in out) - want[1]) < 1e-9
+def test_assignment_by_auction(spark):
+    """One long component in several blocks, and small ones beside it: as good as the dense method."""
+    rng = np.random.default_rng(2)
+    a, b = np.sort(rng.uniform(0, 60, 30)), np.sort(rng.uniform(0, 60, 26))
+    rows = [(i, j, float(b[j] - a[i]), 0.0, float(round(abs(b[j] - a[i]) / 5 + rng.random(), 2)), float(a[i])) for i in range(30) for j in range(26) if abs(b[j] - a[i]) < 5]
+    rows += [(100, 200, 0.0, 0.0, 1.0, 5.0), (101, 200, 0.0, 0.0, 0.5, 5.0), (101, 201, 0.0, 0.0, 0.7, 5.0)]
+    df = spark.createDataFrame(rows, "catalogId long, eventId long, dtS double, distM double, cost double, place double")
+    want = best_assignment(pd.DataFrame(rows, columns=df.columns))
+    assert (lambda out: (len(out), out.cost.sum()))(joins.assign_one_to_one(df).toPandas()) == pytest.approx(want)
+    won = joins.auction(df, block_pairs=60, scale=100.0).toPandas().merge(pd.DataFrame(rows, columns=df.columns))
+    assert won.catalogId.is_unique and won.eventId.is_unique and (len(won), won.cost.sum()) == pytest.approx(want)
+    assert joins.auction(df.limit(0)).count() == 0
 
 
 def test_band_join_is_complete(spark):
@@ -97,6 +138,44 @@ def test_travel_times():
         t(1, 3000, 0, LAYERS)
 
 
+def shortest_way(layers, phase, r, a, b, step=25.0):
+    """First arrival over a net of points along every boundary, by Dijkstra's method."""
+    v, tops = layers.speed(phase), list(layers.top)
+    xs = np.arange(0, r + step / 2, step)
+    points = [(0.0, a), (float(r), b)] + [(float(x), z) for z in tops[1:] for x in xs]
+    inside = lambda p, q: [k for k in range(len(v)) if max(p[1], q[1]) <= tops[k] + 1e-9 and min(p[1], q[1]) >= (tops[k + 1] if k + 1 < len(v) else -1e9) - 1e-9]
+    levels = {}
+    for i, p in enumerate(points):
+        levels.setdefault(p[1], []).append(i)
+    best, done, heap = {0: 0.0}, set(), [(0.0, 0)]
+    while heap:
+        t, i = heapq.heappop(heap)
+        if i == 1:
+            return t
+        if i in done:
+            continue
+        done.add(i)
+        for z, own in levels.items():
+            for k in inside(points[i], (0, z)):
+                for j in own:
+                    if j not in done and (z != points[i][1] or abs(points[i][0] - points[j][0]) <= step or j < 2 or i < 2):
+                        d = t + math.hypot(points[i][0] - points[j][0], points[i][1] - z) / v[k]
+                        if d < best.get(j, math.inf):
+                            best[j] = d
+                            heapq.heappush(heap, (d, j))
+    return math.inf
+
+
+@pytest.mark.parametrize("layers", [LAYERS, location.Layers((0.0, -500.0, -900.0, -2000.0), (3000.0, 2000.0, 4000.0, 3500.0), (1500.0, 1000.0, 2500.0, 2000.0))])
+def test_travel_times_are_the_shortest(layers):
+    """No way over a dense net is faster, and the best one is as fast but for the net's width; faster layers lie above and below."""
+    rng = np.random.default_rng(11)
+    for _ in range(8):
+        r, (a, b) = float(rng.uniform(200, 5000)), layers.top[0] - rng.uniform(0, 3500, 2)
+        t, net = float(location.first_arrival(layers, "P", r, a, b)[0]), shortest_way(layers, "P", r, float(a), float(b))
+        assert t <= net + 1e-9 and net - t < 2e-3
+
+
 def test_locator_finds_planted_events(spark):
     rng = np.random.default_rng(4)
     net = [(i, float(x), float(y), 1600.0) for i, (x, y) in enumerate(rng.uniform(-5000, 5000, (12, 2)))]
@@ -145,9 +224,50 @@ def test_merge_and_resolve(spark):
     assert set(out.eventId) == merged_by_hand(p, 2.0, 0.5) and not out.duplicated(["eventId", "stationId", "phase"]).any()
     least = {"nPicks": 3, "nP": 1}
     solved = association.resolve_with_minimums(df, least).toPandas()
-    whole = association._resolve(p.copy(), least)
-    assert not solved.pickId.duplicated().any() and (solved.groupby("eventId").size() >= 3).all()
-    assert sorted(map(tuple, solved[["eventId", "pickId"]].values)) == sorted(map(tuple, whole[["eventId", "pickId"]].values))
+    assert sorted(map(tuple, solved[["eventId", "pickId"]].values)) == sorted(resolved_by_hand(p, least))
+
+
+def resolved_by_hand(p, least):
+    """One event dropped at a time over all events, by plain loops."""
+    held = {e: list(g.itertuples()) for e, g in p.groupby("eventId")}
+    passes = lambda rows: len(rows) >= least["nPicks"] and len({r.stationId for r in rows if r.phase == "P"}) >= least["nP"]
+    held = {e: rows for e, rows in held.items() if passes(rows)}
+    while True:
+        owner = {}
+        for e, rows in held.items():
+            for r in rows:
+                key = (abs(r.residual), -len(rows), r.eventT, e)
+                owner[r.pickId] = min(owner.get(r.pickId, key), key)
+        own = {e: [r for r in rows if owner[r.pickId][3] == e] for e, rows in held.items()}
+        bad = [(len(held[e]), -held[e][0].eventT, -e) for e in held if not passes(own[e])]
+        if not bad:
+            return [(e, r.pickId) for e, rows in own.items() for r in rows]
+        del held[-min(bad)[2]]
+
+
+def test_resolve_drops_in_order(spark):
+    """Many small crowded worlds in one table, each with its own ids."""
+    rng, rows = np.random.default_rng(13), []
+    for world in range(60):
+        for e in range(int(rng.integers(2, 6))):
+            t = float(rng.integers(5))
+            for k in sorted(rng.choice(8, int(rng.integers(2, 7)), replace=False)):
+                rows.append((world * 10 + e, t, f"p{world}_{k}", world * 10 + int(k), "P" if k % 2 else "S", float(round(rng.normal(), 2))))
+    p = pd.DataFrame(rows, columns=["eventId", "eventT", "pickId", "stationId", "phase", "residual"])
+    least = {"nPicks": 3, "nP": 1}
+    got = association.resolve_with_minimums(spark.createDataFrame(p), least).toPandas()
+    assert sorted(map(tuple, got[["eventId", "pickId"]].values)) == sorted(resolved_by_hand(p, least))
+
+
+def test_two_events_in_one_window(spark):
+    """A lesser event close to a better one is found from the picks that are left."""
+    times = [(0, s, "P", float(s)) for s in range(8)]
+    picks = [(f"a{s}", s, "P", 100.0 + s, 0.9) for s in range(8)] + [(f"b{s}", s, "P", 130.0 + s, 0.9) for s in range(6)] + [(f"c{s}", s, "P", 3000.0 + s, 0.9) for s in range(2)]
+    df = spark.createDataFrame(picks, "id string, stationId long, phase string, t double, prob double")
+    tt = spark.createDataFrame(times, "node long, stationId long, phase string, seconds double")
+    out = association.associate(df, tt, width=2.0, apart=500.0, tolerance=2.0, minimums={"nPicks": 4, "nStations": 4}, within=5.0, share=0.3).toPandas()
+    assert sorted(tuple(sorted(g.pickId)) for _, g in out.groupby("eventId")) == [tuple(f"a{s}" for s in range(8)), tuple(f"b{s}" for s in range(6))]
+    assert association.associate(df.limit(0), tt, width=2.0, apart=500.0, tolerance=2.0, minimums={"nPicks": 4, "nStations": 4}, within=5.0, share=0.3).count() == 0
 
 
 def test_associator_finds_planted_events(spark):
