@@ -21,14 +21,18 @@ from pyspark.sql import functions as F
 from seismark.llm.piece_model import load, pretokens, slices
 from seismark.llm.shared import bounded_batches, written
 
-#: Frequent pre-tokens at most, and their longest length in bytes: the broadcast has 70 MB at most.
+#: Frequent pre-tokens at most, and what they have in bytes together at most, however long they are.
 HEAD = 1 << 20
-HEAD_BYTES = 64
+HEAD_BYTES = 64 << 20
 
 
 def frequent(texts: DataFrame, limit: int = HEAD) -> DataFrame:
     """(word, n) of the pre-tokens that make up 1 / limit of all; texts has one column.
 
+    What is frequent by that share has at most limit times the mean length in bytes; where pre-tokens
+    are so long that this exceeds HEAD_BYTES, the share is raised.  A line of dashes that a third of
+    all texts hold is frequent like any short word, so no pre-token leaves many rows to one task.
+
     A slice of the corpus reports those that are frequent in it by half; which words are called
     frequent decides where they are handled, never the result.
     """
@@ -38,13 +42,20 @@ def frequent(texts: DataFrame, limit: int = HEAD) -> DataFrame:
             for _, part in slices(batch.column(0)):
                 words, _ = pretokens(part)
                 n = np.bincount(words.indices.to_numpy(), minlength=len(words.dictionary))
-                keep = (n > 1) & (n >= len(words) / (2 * limit)) & (pc.binary_length(words.dictionary).to_numpy() <= HEAD_BYTES)
+                size = pc.binary_length(words.dictionary).to_numpy()
+                own = least_share(len(words), int((n * size).sum()), limit)
+                keep = (n > 1) & (n >= own / 2)
                 out = words.dictionary.filter(pa.array(keep))
-                yield pa.RecordBatch.from_arrays([pa.concat_arrays([out, pa.nulls(1, pa.string())]), pa.array(np.concatenate([n[keep], [len(words)]]), pa.int64())], ["word", "n"])
+                yield pa.RecordBatch.from_arrays([pa.concat_arrays([out, pa.nulls(1, pa.string())]), pa.array(np.concatenate([n[keep], [len(words)]]), pa.int64()), pa.array(np.concatenate([n[keep] * 0, [int((n * size).sum())]]), pa.int64())], ["word", "n", "bytes"])
+
+    counted = written(texts.mapInArrow(count, "word string, n long, bytes long").groupBy("word").agg(F.sum("n").alias("n"), F.sum("bytes").alias("bytes")))
+    total = counted.where("word IS NULL").select("n", "bytes").first()
+    return counted.where(F.col("word").isNotNull() & (F.col("n") >= (least_share(*total, limit) if total else 1))).select("word", "n")
+
 
-    counted = written(texts.mapInArrow(count, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
-    total = counted.where("word IS NULL").select("n").first()
-    return counted.where(F.col("word").isNotNull() & (F.col("n") * limit >= (total[0] if total else 1)))
+def least_share(words: int, size: int, limit: int) -> float:
+    """The count that makes a pre-token frequent, of so many with so many bytes."""
+    return max(words / limit, size / HEAD_BYTES)
 
 
 def piece_counter(path: str):
