@@ -12,13 +12,16 @@ rows are sent through the shuffle; results stay the same at every size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from seismark.llm.shared import free_name, small, written
 
 #: bitmap_construct_agg makes bitmaps of 4096 bytes.
 BLOCK_BITS = 32768
+#: A group of more rows than this meets them in several tasks, where groups are too many to broadcast.
+GROUP_ROWS = 1_000_000
+MOST_SALTS = 4096
 
 
 def with_sha256(docs: DataFrame, text_col: str = "text", name: str = "text_sha256") -> DataFrame:
@@ -55,11 +58,11 @@ def exact_dedup(
     repeat an id and a text, one stays.  An empty table gives an empty result.  Other columns of
     docs, whatever their names, are not read.
 
-    Texts are read once: their fingerprints (72 bytes a row) are written to the shared folder, and
+    Texts are read once: their fingerprints (80 bytes a row) are written to the shared folder, and
     both passes read those.
     """
     prints = with_sha256(docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))).select("id", "text_sha256")
-    prints = written(prints)
+    prints = written(prints.withColumn("row", F.monotonically_increasing_id()))
     buckets = max(1, min(max_filter_bytes // (BLOCK_BITS // 8), -(-prints.count() * bits_per_row // BLOCK_BITS)))
     h = F.xxhash64("text_sha256")
     hashed = prints.withColumns({
@@ -75,23 +78,23 @@ def exact_dedup(
     maybe = _bit(F.col("block"), F.col("first")) & _bit(F.col("block"), F.col("second"))
 
     once = tested.where(~maybe).select("id", F.col("id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "text_sha256")
-    shuffled = tested.where(maybe).select("id", "text_sha256")
-    groups = (
-        shuffled.groupBy("text_sha256", "id").agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("text_sha256")
-        .agg(F.min("id").alias("keep_id"), F.sum("n").alias("group_size"), F.min_by("n", "id").alias("same"), F.sum(F.when(F.col("id").isNull(), F.col("n"))).alias("nulls"))
-    )
-    # Without any id in the group, its rows repeat the null id.
-    groups = groups.withColumn("same", F.when(F.col("keep_id").isNull(), F.col("nulls")).otherwise(F.col("same"))).drop("nulls")
-    # Few groups meet their rows where those are; with many, the join shuffles both and Spark splits a hot group.
-    groups = small(written(groups))
-    keeps = F.col("id").eqNullSafe(F.col("keep_id"))
-    order = ["id", "keep_id", "group_size", "kept", "text_sha256"]
-    several = keeps & (F.col("same") > 1)
-    plain = shuffled.join(groups, "text_sha256").where(~several).withColumn("kept", keeps)
-    again = shuffled.join(groups.where("same > 1"), "text_sha256").where(keeps)
-    again = again.withColumn("kept", F.row_number().over(Window.partitionBy("text_sha256").orderBy(F.lit(1))) == 1)
-    return once.unionByName(plain.select(order)).unionByName(again.select(order)).withColumnRenamed("id", id_col)
+    shuffled = tested.where(maybe).select("id", "text_sha256", "row")
+    # The first row of a group by id, nulls last, then by the row's own number: counted before the shuffle, however many rows repeat an id and a text.
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "row")).alias("first")
+    groups = shuffled.groupBy("text_sha256").agg(first, F.count(F.lit(1)).alias("group_size")).select("text_sha256", "group_size", F.col("first.id").alias("keep_id"), F.col("first.row").alias("keep_row"))
+    # Few groups meet their rows where those are; with many, the join deals the rows of a group out to several tasks.
+    groups = written(groups)
+    few = small(groups)
+    if few is groups:
+        salts = F.sequence(F.lit(0), F.least(F.lit(MOST_SALTS - 1), F.floor(F.col("group_size") / GROUP_ROWS)).cast("int"))
+        groups = groups.withColumn("salts", F.size(salts)).withColumn("salt", F.explode(salts))
+        hot = small(written(groups.where("salts > 1").select("text_sha256", "salts").distinct()))  # at most rows / GROUP_ROWS
+        shuffled = shuffled.join(hot, "text_sha256", "left").withColumn("salt", F.pmod(F.xxhash64("row"), F.coalesce("salts", F.lit(1))).cast("int")).drop("salts")
+        joined = shuffled.join(groups.drop("salts"), ["text_sha256", "salt"])
+    else:
+        joined = shuffled.join(few, "text_sha256")
+    several = joined.select("id", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"), "text_sha256")
+    return once.unionByName(several).withColumnRenamed("id", id_col)
 
 
 def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
@@ -100,15 +103,18 @@ def keep_first(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     Rows that go are found by id; whole rows pass without a shuffle while the ids that go are few
     enough to broadcast.  Only ids that stand on several rows are looked up by id and text.
     """
-    digest = written(exact_dedup(docs, id_col=id_col, text_col=text_col, **options).select(F.col(f"`{id_col}`").alias("id"), "kept", "text_sha256"))
-    several = written(digest.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").select("id"))
-    gone = small(written(digest.where("NOT kept").select("id").distinct()))
-    key, sha = F.col(f"`{id_col}`"), free_name(docs, "text_sha256")
+    plain = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text"))
+    digest = written(exact_dedup(plain, id_col="id", text_col="text", **options).select("id", "kept", "text_sha256"))
+    own, sha = free_name(docs, "own_id"), free_name(docs, "own_sha256")
+    several = written(digest.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1 OR id IS NULL").select(F.col("id").alias(own)))
+    gone = small(written(digest.where("NOT kept").select(F.col("id").alias(own)).distinct()))
+    key = F.col(f"`{id_col}`")
     if several.isEmpty():
-        return docs.join(gone, key.eqNullSafe(gone["id"]), "left_anti")
+        return docs.join(gone, key.eqNullSafe(F.col(own)), "left_anti")
     several = small(several)
-    single = docs.join(several, key.eqNullSafe(several["id"]), "left_anti").join(gone, key.eqNullSafe(gone["id"]), "left_anti")
-    many = with_sha256(docs.join(several, key.eqNullSafe(several["id"]), "left_semi"), text_col, sha)
-    kept = digest.where("kept").select(F.col("id").alias("kept_id"), F.col("text_sha256").alias("kept_sha"))
-    many = many.join(kept, key.eqNullSafe(kept["kept_id"]) & (F.col(sha) == kept["kept_sha"]), "left_semi")
+    single = docs.join(several, key.eqNullSafe(F.col(own)), "left_anti").join(gone, key.eqNullSafe(F.col(own)), "left_anti")
+    many = with_sha256(docs.join(several, key.eqNullSafe(F.col(own)), "left_semi"), text_col, sha)
+    kept_id, kept_sha = free_name(docs, "kept_id"), free_name(docs, "kept_sha256")
+    kept = digest.where("kept").select(F.col("id").alias(kept_id), F.col("text_sha256").alias(kept_sha))
+    many = many.join(kept, key.eqNullSafe(F.col(kept_id)) & (F.col(f"`{sha}`") == F.col(kept_sha)), "left_semi")
     return single.unionByName(many.dropDuplicates([id_col, sha]).drop(sha))
