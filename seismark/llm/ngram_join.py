@@ -26,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from seismark.llm import shared
 from seismark.llm.components import components
-from seismark.llm.shared import bounded_batches, small, written
+from seismark.llm.shared import bounded_batches, free_name, small, written
 from seismark.llm.text_arrays import BASE, NOT_SPACE, Words, mix, split, window_hashes
 
 #: A shingle in this share of the documents is put last in the order, at most HOT_SHINGLES of them (8 MB).
@@ -278,10 +279,13 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 
     Repeated rows share their id and so their component; rows that share an id but not a text count
     as one node.  A row with a null id is linked with nothing and has a null component_id.  An empty
-    table gives an empty result.  Shingles are compared by 63-bit hashes.
+    table gives an empty result.  id_col holds integers; other types raise TypeError.  Shingles are
+    compared by 63-bit hashes.
     """
     if not 0 < percent < 100 or words < 1:
         raise ValueError("percent is between 0 and 100, words at least 1")
+    if docs.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} is a column of integers: component_id is the smallest of them")
     spark = docs.sparkSession
     bounded_batches(spark)
     texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"))
@@ -296,20 +300,23 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
     kinds = [F.expr("named_struct('kind', -1, 'k1', set1, 'k2', set2)"), *[F.expr(f"named_struct('kind', {b}, 'k1', key{b}, 'k2', 0L)") for b in range(BANDS)]]
     keys = nodes.select("id", F.explode(F.array(*kinds)).alias("key")).select("id", "key.*")
     groups = keys.groupBy("kind", "k1", "k2").agg(F.min("id").alias("pivot"), F.max("id").alias("last")).where("pivot < last").drop("last")
-    stars = written(keys.join(groups, ["kind", "k1", "k2"]).where("id <> pivot").select("kind", "id", "pivot"))
-    same = written(stars.where("kind = -1").select("id", "pivot").distinct())
-    copies = small(same)
-    near = stars.where("kind >= 0").join(copies, "id", "left_anti").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
-    links = verified(near, texts, words, percent).unionByName(same.select(F.col("id").alias("a"), F.col("pivot").alias("b")))
+    stars = written(keys.join(groups, ["kind", "k1", "k2"]).where("id <> pivot").select("kind", "k1", "k2", "id", "pivot"))
+    same = written(stars.where("kind = -1").select("id", "pivot", F.col("k1").alias("set1"), F.col("k2").alias("set2")).distinct())
+    # An id that stands on several rows is a copy by one of its texts and none by another.
+    copies = small(same.select("id", "set1", "set2"))
+    ids = small(written(same.select("id").distinct()))
+    alone = small(written(nodes.join(ids, "id", "left_semi").select("id", "set1", "set2").distinct().groupBy("id").count().where("count = 1").select("id")))
+    near = stars.where("kind >= 0").join(alone, "id", "left_anti").select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct()
+    links = verified(near, texts, words, percent).unionByName(same.select(F.col("id").alias("a"), F.col("pivot").alias("b")).distinct())
     links = written(links)
     known = small(written(components(links)))
 
-    sets = nodes.join(copies, "id", "left_anti").join(known, "id", "left").withColumn("comp", F.coalesce("component", "id"))
+    sets = nodes.join(copies, ["id", "set1", "set2"], "left_anti").join(known, "id", "left").withColumn("comp", F.coalesce("component", "id"))
     live = sets.select("comp", F.explode("prefix").alias("token")).groupBy("token").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("c")).where("low < high")
     live = written(live.select("token", F.ceil(F.col("c") / TILE_ROWS).cast("int").alias("blocks")))
     # The width is a little over 100 / percent, so that rounding puts no two linked sizes more than one band apart.
     band = F.floor(F.log(F.col("n").cast("double")) / (1.001 * math.log(100 / percent))).cast("int")
-    rows = sets.select("id", "comp", "n", "bitmap", band.alias("own"), F.posexplode("prefix").alias("pos", "token")).join(small(live, LIVE_ROWS), "token")
+    rows = sets.select("id", "comp", "n", "bitmap", band.alias("own"), F.posexplode("prefix").alias("pos", "token")).join(small(live, min(LIVE_ROWS, 4 * shared.BROADCAST_ROWS)), "token")
     rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("guest", F.explode(F.array(F.lit(False), F.lit(True))))
     rows = rows.select("token", (F.col("own") + F.col("guest").cast("int")).alias("band"), F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "n", F.col("pos").cast("long").alias("pos"), "comp", "id", "guest", "block", "bitmap")
@@ -325,5 +332,6 @@ def ngram_join(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text
 def one_of_each(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of docs without those that have a smaller id in their component; rows with a null id stay."""
     joined = ngram_join(docs, id_col=id_col, **options)
-    gone = written(joined.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias("gone")).distinct())
-    return docs.join(small(gone), F.col(f"`{id_col}`") == F.col("gone"), "left_anti")
+    own = free_name(docs, "gone")
+    gone = written(joined.where(F.col(id_col) != F.col("component_id")).select(F.col(id_col).alias(own)).distinct())
+    return docs.join(small(gone), F.col(f"`{id_col}`") == F.col(own), "left_anti")
