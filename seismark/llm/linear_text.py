@@ -91,7 +91,7 @@ def held_out(doc_id, folds: int = 4, fold: int = 2):
 def labelled_sample(docs: DataFrame, labels: DataFrame, features: Features, *, label_col: str, limit: int, id_col: str = "doc_id", text_col: str = "text") -> Sample:
     """Features of about `limit` labelled rows that aren't held out, chosen by a hash of the id; all of them if there are fewer.
 
-    Rows without an id or a label are left out.  Of labels that repeat an id, the largest counts.
+    Ids may be of any type that both tables share.  Rows without an id or a label are left out.  Of labels that repeat an id, the largest counts.
     """
     own = labels.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{label_col}`").cast("int").alias("label")).dropna().where(~held_out(F.col("id")))
     own = written(own.groupBy("id").agg(F.max("label").alias("label")))
@@ -105,13 +105,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, features: Features, *, l
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(first, n), batch.column(1).slice(first, n), lists], ["id", "label", "features"])
 
     rows = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").alias("text")).join(own, "id").select("id", "label", "text")
-    found = rows.mapInArrow(extract, "id long, label int, features array<int>").toArrow()
-    found = found.take(np.argsort(found["id"].to_numpy(), kind="stable")).combine_chunks()
+    found = rows.mapInArrow(extract, f"id {rows.schema['id'].dataType.simpleString()}, label int, features array<int>").toArrow()
+    found = found.sort_by("id").combine_chunks()
     if not found.num_rows:
         return Sample(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64))
     lists = found["features"].chunk(0)
     sizes = np.diff(lists.offsets.to_numpy())
-    return Sample(found["id"].to_numpy(), found["label"].to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().to_numpy())
+    return Sample(np.array(found["id"].to_pylist()), found["label"].to_numpy().astype(np.int64), np.concatenate([[0], np.cumsum(sizes)]), lists.flatten().to_numpy())
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:

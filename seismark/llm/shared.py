@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -27,17 +29,48 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder
 
 
+_open_scopes: list[list[str]] = []
+
+
 def written(df: DataFrame) -> DataFrame:
-    """df, written once to the shared folder and read back: its lineage ends there, and a lost executor loses none of it."""
+    """df, written once to the shared folder and read back: its lineage ends there, and a lost executor loses none of it.
+
+    The table stays until the folder is cleared, or the `scratch` that it was written in ends.
+    """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/tables/{uuid.uuid4().hex}"
+    if _open_scopes:
+        _open_scopes[-1].append(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """df with a broadcast hint if it has at most that many rows (it should be a written table: it is counted)."""
-    return F.broadcast(df) if df.count() <= rows else df
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Removes the tables that `written` makes inside it at its end: results must have been written elsewhere by then."""
+    _open_scopes.append([])
+    try:
+        yield
+    finally:
+        hadoop = spark._jvm.org.apache.hadoop.fs
+        for path in _open_scopes.pop():
+            at = hadoop.Path(path)
+            at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def outside() -> Iterator[None]:
+    """What `written` makes inside it belongs to no `scratch`."""
+    scopes, _open_scopes[:] = list(_open_scopes), []
+    try:
+        yield
+    finally:
+        _open_scopes[:] = scopes
+
+
+def small(df: DataFrame, rows: int | None = None) -> DataFrame:
+    """df with a broadcast hint if it has at most that many rows, or BROADCAST_ROWS (it should be a written table: it is counted)."""
+    return F.broadcast(df) if df.count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
 def bounded_batches(spark: SparkSession, size: str = "4m") -> None:

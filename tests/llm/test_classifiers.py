@@ -1,3 +1,5 @@
+import math
+import re
 import zlib
 
 import numpy as np
@@ -107,3 +109,69 @@ def test_platt():
     y = (rng.random(4000) < linear_text.sigmoid(2 * x - 1)).astype(int)
     a, b = linear_text.platt(x, y)
     assert abs(a - 2) < 0.25 and abs(b + 1) < 0.2
+
+
+def slow_words(text):
+    """Words, and the beginnings of words, as a set of (kind, bytes)."""
+    words = [w.encode() for w in re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+|[A-Za-z]+", re.sub("[A-Z]", lambda m: m.group().lower(), text))]
+    return {(0, w) for w in words} | {(k, w[:k]) for w in words for k in (4, 5, 6) if len(w) >= k}
+
+
+def test_word_features_by_loops():
+    """The indicators of each text are those of its words: as many as there are distinct ones, the same for equal sets, and shared as words are."""
+    texts = ["One two, ONE three-four!", "three four two one", "", None, "Größe 12345 größe", "x" * 3000, "four"]
+    got = {}
+    for first, n, text, bucket in word_features(pa.array(texts)):
+        for t in range(n):
+            got[first + t] = set(bucket[text == t].tolist())
+    slow = [slow_words(t or "") for t in texts]
+    for i, a in enumerate(slow):
+        assert len(got[i]) == len(a)
+        for j, b in enumerate(slow):
+            assert len(got[i] & got[j]) == len(a & b)
+
+
+def test_style_features_by_loops():
+    """Words, pairs, shapes and repeats of a text, counted by loops."""
+    texts = ["one two one two", "Big RED 12 big", "", "a a b", "one two"]
+    got = {}
+    for first, n, text, bucket in linear_text.style_features(pa.array(texts)):
+        for t in range(n):
+            got[first + t] = set(bucket[text == t].tolist())
+
+    def slow(t):
+        words = re.findall(r"[a-z0-9]+", t.lower())
+        shapes = [(c[0], "".join("a" if x.islower() else "A" if x.isupper() else "0" if x.isdigit() else x for x in c)[-4:]) for c in t.split()]
+        shapes = [("a" if f.islower() else "A" if f.isupper() else "0", s) for f, s in shapes]
+        parts = [(0, w) for w in words] + [(1, p) for p in zip(words, words[1:])] + [(2, s) for s in shapes] + [(3, p) for p in zip(shapes, shapes[1:])] + [(4, p) for p in zip(shapes, shapes[1:], shapes[2:])]
+        return set(parts) | {(5, g) for g in (1, 2) for a, b in zip(words, words[g:]) if a == b}
+
+    for i, a in enumerate(texts):
+        for j, b in enumerate(texts):
+            assert len(got[i] & got[j]) == len(slow(a) & slow(b))
+
+
+@pytest.mark.parametrize(("scores", "features", "module"), [(quality_nbsvm.quality_scores, linear_text.style_features, quality_nbsvm), (toxicity.toxicity_scores, word_features, toxicity)])
+def test_scores_by_loops(spark, scores, features, module):
+    """Every score is the model's sum over the text's features, text by text; the model is fitted on what a plain selection of rows gives."""
+    name = "quality" if module is quality_nbsvm else "toxic"
+    docs, labels = tables(spark)
+    d, rows = docs.toPandas(), labels.toPandas()
+    train = sorted(i for i in rows.doc_id if zlib.crc32(str(i).encode()) % 4 != 2)
+    text, label = dict(zip(d.doc_id, d.text)), dict(zip(rows.doc_id, rows[name]))
+    one = lambda t: np.unique(next(features(pa.array([t])))[3])
+    lists = [one(text[i]) for i in train]
+    model = module.fit(Sample(np.array(train), np.array([label[i] for i in train]), np.concatenate([[0], np.cumsum([len(x) for x in lists])]), np.concatenate(lists)))
+    got = dict(scores(docs, labels).select("doc_id", "score").collect())
+    for i in list(text)[:200]:
+        at = one(text[i]) if text[i] else np.zeros(0, int)
+        margin = sum(model.weights[k] for k in at) / (math.sqrt(max(1, len(at))) if model.scaled else 1) + model.bias
+        assert abs(got[i] - 1 / (1 + math.exp(-max(-40, min(40, model.slope * margin + model.intercept))))) < 1e-9
+
+
+def test_text_ids(spark):
+    """Ids that are text."""
+    docs = spark.createDataFrame([(f"d{i}", "good text here" if i % 2 else "bad bad words") for i in range(80)] + [(None, None)], "doc_id string, text string")
+    labels = spark.createDataFrame([(f"d{i}", i % 2, i % 2) for i in range(80)], "doc_id string, quality int, toxic int")
+    for f in (quality_nbsvm.quality_scores, toxicity.toxicity_scores):
+        assert f(docs, labels).count() == 81
