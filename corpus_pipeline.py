@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from seismark.llm import decontaminate, exact_dedup, ngram_join, sentencepiece_lattice, toxicity
 from seismark.llm.queries import model_path
-from seismark.llm.shared import table, written
+from seismark.llm.shared import outside, scratch, table, written
 
 
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,8 +53,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The last stage's rows; each stage's rows are written as Parquet and read again."""
+    """The last stage's rows; each stage's rows are written as Parquet and read again, and its own tables are removed."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir))
+        with scratch(spark):
+            kept = stage(spark, docs, sf_dir)
+            with outside():
+                docs = written(kept)
     return docs
