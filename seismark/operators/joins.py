@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seismark.functions.graphs import components
-from seismark.functions.tables import materialised
+from seismark.functions.tables import materialised, small
 
 
 def band_join(left: DataFrame, right: DataFrame, left_t: str, right_t: str, width: float, on: list[str] = ()) -> DataFrame:
@@ -265,27 +265,51 @@ def nearest_edge(picks: DataFrame, edges: DataFrame, on: str = "stationId") -> D
 
 
 def nearest_station(events: DataFrame, stations: DataFrame, k: int = 1) -> DataFrame:
-    """The k nearest stations of each event by epicentral distance, ties by id; stations are a network's and so broadcast."""
-    s = F.broadcast(stations.select("stationId", F.col("e").alias("se"), F.col("n").alias("sn")))
-    dist = F.hypot(F.col("e") - F.col("se"), F.col("n") - F.col("sn"))
-    if k == 1:
-        pairs = events.select("eventId", "e", "n").join(s).select("eventId", "stationId", dist.alias("distM"))
-        best = pairs.groupBy("eventId").agg(F.min_by(F.struct("distM", "stationId"), F.struct("distM", "stationId")).alias("x"))
-        return best.select("eventId", "x.stationId", "x.distM", F.lit(1).alias("place"))
-    # The k nearest are cut out beside the event: no pair of an event and a station is shuffled.
-    net = F.broadcast(s.agg(F.array_agg(F.struct("stationId", "se", "sn")).alias("net")))
-    near = F.array_sort(F.transform("net", lambda x: F.struct(F.hypot(F.col("e") - x["se"], F.col("n") - x["sn"]).alias("distM"), x["stationId"].alias("stationId"))))
-    top = events.select("eventId", "e", "n").join(net).select("eventId", F.posexplode(F.slice(near, 1, k)).alias("pos", "x"))
-    return top.select("eventId", "x.stationId", "x.distM", (F.col("pos") + 1).alias("place"))
+    """(eventId, stationId, distM, place): the k nearest stations of each event by epicentral distance, ties by id; all of them if there are fewer.
+
+    An event meets the stations of its cell and the eight around.  It is done when the k-th of them is
+    nearer than a cell is wide, since no other can be; the rest goes on with cells twice as wide.
+    """
+    s = materialised(stations.select("stationId", F.col("e").alias("se"), F.col("n").alias("sn")))
+    left = materialised(events.select("eventId", "e", "n"))
+    box = s.select(F.col("se").alias("x"), F.col("sn").alias("y")).agg(F.count(F.lit(1)).alias("m"), F.min("x").alias("a"), F.max("x").alias("b"), F.min("y").alias("c"), F.max("y").alias("d")).first()
+    far = left.agg(F.min("e").alias("a"), F.max("e").alias("b"), F.min("n").alias("c"), F.max("n").alias("d")).first()
+    out = left.join(s.limit(0), F.lit(False)).select("eventId", "stationId", F.hypot("e", "n").alias("distM"), F.lit(1).alias("place"))
+    if not box.m or far.a is None:
+        return out
+    some = min(k, box.m)
+    span = max(max(box.b, far.b) - min(box.a, far.a), max(box.d, far.d) - min(box.c, far.c), 1.0) * 1.001
+    width, parts = max(max(box.b - box.a, box.d - box.c) * (some / box.m) ** 0.5, span / 2**20), []
+    cell = lambda x, y: [F.floor(F.col(x) / width).alias("_i"), F.floor(F.col(y) / width).alias("_j")]
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])
+    while True:
+        here = s.select("stationId", "se", "sn", F.explode(around).alias("_d"), *cell("se", "sn")).select("stationId", "se", "sn", (F.col("_i") + F.col("_d.i")).alias("_i"), (F.col("_j") + F.col("_d.j")).alias("_j"))
+        near = left.select("eventId", "e", "n", *cell("e", "n")).join(small(here), ["_i", "_j"]).select("eventId", "stationId", F.hypot(F.col("e") - F.col("se"), F.col("n") - F.col("sn")).alias("distM"))
+        if some == 1:
+            top = near.groupBy("eventId").agg(F.min(F.struct("distM", "stationId")).alias("x")).select("eventId", F.array("x").alias("near"))
+        else:
+            w = Window.partitionBy("eventId").orderBy("distM", "stationId")
+            top = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= some).groupBy("eventId").agg(F.array_sort(F.collect_list(F.struct("distM", "stationId"))).alias("near"))
+        last = width >= span
+        ready = F.lit(True) if last else (F.size("near") == some) & (F.element_at("near", -1)["distM"] < width)
+        done = materialised(top.where(ready))
+        parts.append(done)
+        left = materialised(left.join(done.select("eventId"), "eventId", "left_anti"))
+        if last or left.isEmpty():
+            break
+        width *= 2
+    for done in parts:
+        out = out.unionByName(done.select("eventId", F.posexplode("near").alias("_p", "x")).select("eventId", "x.stationId", "x.distM", (F.col("_p") + 1).alias("place")))
+    return out
 
 
 def neighbour_median(terms: DataFrame, stations: DataFrame, k: int, max_dist: float) -> DataFrame:
-    """Median term of the k nearest other stations within max_dist, per station."""
-    a = stations.select("stationId", F.col("e").alias("ae"), F.col("n").alias("an"))
-    b = F.broadcast(stations.join(terms, "stationId").select(F.col("stationId").alias("other"), F.col("e").alias("be"), F.col("n").alias("bn"), "term"))
-    pairs = a.join(b, F.col("stationId") != F.col("other")).withColumn("d", F.hypot(F.col("ae") - F.col("be"), F.col("an") - F.col("bn"))).where(F.col("d") <= max_dist)
-    w = Window.partitionBy("stationId").orderBy("d", "other")
-    return pairs.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).groupBy("stationId").agg(F.count(F.lit(1)).alias("neighbours"), F.expr("percentile(term, 0.5)").alias("medianTerm"))
+    """Median term of the k nearest other stations with a term within max_dist, per station."""
+    known = materialised(stations.join(terms, "stationId").select("stationId", "e", "n", "term"))
+    near = nearest_station(stations.select(F.col("stationId").alias("eventId"), "e", "n"), known, k + 1).where((F.col("eventId") != F.col("stationId")) & (F.col("distM") <= max_dist))
+    w = Window.partitionBy("eventId").orderBy("distM", "stationId")
+    near = near.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).join(small(known.select("stationId", "term")), "stationId")
+    return near.groupBy(F.col("eventId").alias("stationId")).agg(F.count(F.lit(1)).alias("neighbours"), F.expr("percentile(term, 0.5)").alias("medianTerm"))
 
 
 def event_picks(events: DataFrame, picks: DataFrame) -> DataFrame:
@@ -301,5 +325,5 @@ def holders(assigned: DataFrame) -> DataFrame:
 def densified(events: DataFrame, stations: DataFrame, arrivals: DataFrame) -> DataFrame:
     """A row for every event, used station and phase; null observation where there is no pick."""
     phases = F.explode(F.array(F.lit("P"), F.lit("S"))).alias("phase")
-    grid = events.select("eventId").join(F.broadcast(stations.where("usedInRun").select("stationId"))).select("eventId", "stationId", phases)
+    grid = events.select("eventId").join(small(stations.where("usedInRun").select("stationId"))).select("eventId", "stationId", phases)
     return grid.join(arrivals, ["eventId", "stationId", "phase"], "left")

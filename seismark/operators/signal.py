@@ -28,14 +28,24 @@ def column_envelope(segments: DataFrame, rate: float, columns: int) -> DataFrame
     return x.groupBy("segmentId", F.floor(F.col("i") * columns / F.col("n")).alias("column")).agg(F.min("v").alias("low"), F.max("v").alias("high"))
 
 
-def _sta_lta(x: np.ndarray, short: int, long: int) -> np.ndarray:
-    """Recursive averages of squares; the first `long` values are 0."""
+def _sta_lta(rows: list[np.ndarray], short: int, long: int) -> list[np.ndarray]:
+    """Recursive averages of squares of many segments, sample number by sample number; the first `long` values are 0."""
+    sizes = np.array([len(x) for x in rows], np.int64)
+    order = np.argsort(-sizes, kind="stable")
+    power = np.zeros((int(sizes.max(initial=0)), len(rows)))
+    for k, i in enumerate(order):
+        power[: sizes[i], k] = rows[i] ** 2
     a, b = 1 / short, 1 / long
-    sta, lta, out = 0.0, 1e-99, np.zeros(len(x))
-    for i, v in enumerate(x * x):
-        sta, lta = a * v + (1 - a) * sta, b * v + (1 - b) * lta
-        out[i] = sta / lta
-    out[:long] = 0
+    sta, lta, ratio = np.zeros(len(rows)), np.full(len(rows), 1e-99), np.zeros_like(power)
+    live = np.searchsorted(-sizes[order], -np.arange(len(power)), "left")  # segments longer than each sample number come first
+    for i, n in enumerate(live):
+        sta[:n] += a * (power[i, :n] - sta[:n])
+        lta[:n] += b * (power[i, :n] - lta[:n])
+        ratio[i, :n] = sta[:n] / lta[:n]
+    ratio[:long] = 0
+    out = [np.zeros(0)] * len(rows)
+    for k, i in enumerate(order):
+        out[i] = ratio[: sizes[i], k]
     return out
 
 
@@ -44,7 +54,7 @@ def characteristic_function(segments: DataFrame, short: int, long: int) -> DataF
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            yield f.assign(cf=[_sta_lta(np.asarray(s, float), short, long).tolist() for s in f.samples])
+            yield f.assign(cf=[x.tolist() for x in _sta_lta([np.asarray(s, float) for s in f.samples], short, long)])
 
     from pyspark.sql.types import StructType
 
@@ -100,7 +110,8 @@ def prepared(segments: DataFrame, rate: float, low: float, high: float) -> DataF
 def look_ahead_envelope(x: np.ndarray, ahead: int, release: int) -> np.ndarray:
     """Largest magnitude of the next `ahead` samples, released exponentially, averaged over the last `ahead`."""
     a = np.abs(x)
-    top = np.array([a[i : i + ahead + 1].max() for i in range(len(a))]) if len(a) else a
+    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([a, np.zeros(ahead)]), ahead + 1) if len(a) else a[:, None]
+    top = wide.max(axis=1)
     keep, level = np.exp(-1 / max(1, release)), 0.0
     for i, v in enumerate(top):
         level = max(v, level * keep)

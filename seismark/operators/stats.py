@@ -8,15 +8,36 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from seismark.functions.tables import materialised
+from seismark.functions.tables import materialised, ranked, small
 
 
 def median(c: Column | str) -> Column:
     return F.percentile(c, F.lit(0.5))
 
 
-def residual_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """n, median, MAD (unscaled) and rms by key."""
+def quantiles(rows: DataFrame, keys: list[str], value: str, at: list[float]) -> DataFrame:
+    """(*keys, q, value): linear quantiles of groups of any size; nulls are left out, and groups without a value have no row.
+
+    Values get their places by a sort over ranges, and those that a quantile lies between are picked
+    by place: no task holds a group.
+    """
+    r = ranked(rows.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("double").alias("_v")), *keys, "_v", name="_rank")
+    n = r.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_rank").alias("_first"))
+    place = F.col("q") * (F.col("_n") - 1)
+    want = n.withColumn("q", F.explode(F.array(*map(F.lit, at)))).withColumn("_share", place - F.floor(place)).withColumn("_low", F.col("_first") + F.floor(place))
+    ends = F.array(F.struct(F.col("_low").alias("_rank"), (1 - F.col("_share")).alias("_w")), F.struct((F.col("_low") + 1).alias("_rank"), F.col("_share").alias("_w")))
+    want = want.select(*keys, "q", F.explode(ends).alias("x")).select(*keys, "q", "x.*").where("_w > 0")
+    return r.select("_rank", "_v").join(small(materialised(want)), "_rank").groupBy(*keys, "q").agg(F.sum(F.col("_w") * F.col("_v")).alias("value"))
+
+
+def residual_stats(rows: DataFrame, keys: list[str], value: str, few: bool = False) -> DataFrame:
+    """n, median, MAD (unscaled) and rms by key.  few: the keys are few and their groups of any size."""
+    if few:
+        at = lambda df, c, name: quantiles(df, keys, c, [0.5]).select(*keys, F.col("value").alias(name))
+        mid = materialised(at(rows, value, "median"))
+        off = at(rows.join(small(mid), keys).withColumn("_off", F.abs(F.col(value) - F.col("median"))), "_off", "mad")
+        s = rows.groupBy(*keys).agg(F.count(value).alias("n"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
+        return s.join(mid, keys, "left").join(off, keys, "left").select(*keys, "n", "median", "mad", "rms")
     mid = rows.groupBy(*keys).agg(F.count(value).alias("n"), median(value).alias("median"), F.sqrt(F.avg(F.col(value) * F.col(value))).alias("rms"))
     off = rows.join(mid.select(*keys, "median"), keys).groupBy(*keys).agg(median(F.abs(F.col(value) - F.col("median"))).alias("mad"))
     return mid.join(off, keys).select(*keys, "n", "median", "mad", "rms")
@@ -24,7 +45,7 @@ def residual_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def robust_sigma(rows: DataFrame, keys: list[str], value: str, configured: float) -> DataFrame:
     """1.4826 * MAD by key, and its ratio to the configured sigma."""
-    return residual_stats(rows, keys, value).select(*keys, (F.col("mad") * 1.4826).alias("sigma"), (F.col("mad") * 1.4826 / configured).alias("ratio"))
+    return residual_stats(rows, keys, value, few=True).select(*keys, (F.col("mad") * 1.4826).alias("sigma"), (F.col("mad") * 1.4826 / configured).alias("ratio"))
 
 
 def weighted_median(rows: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
@@ -50,7 +71,7 @@ def event_magnitudes(rows: DataFrame, event: str, value: str, least: int) -> Dat
 
 def equal_count_bins(rows: DataFrame, value: str, bins: int) -> DataFrame:
     """rows with `bin` from 1: cut at linear quantiles, right-closed, repeated edges dropped."""
-    edges = rows.agg(F.percentile(value, F.array(*[F.lit(i / bins) for i in range(bins + 1)])).alias("q")).select(F.array_distinct("q").alias("edges"))
+    edges = quantiles(rows, [], value, [i / bins for i in range(bins + 1)]).agg(F.array_distinct(F.array_sort(F.collect_list("value"))).alias("edges"))
     inner = F.slice("edges", F.lit(2), F.greatest(F.size("edges") - 2, F.lit(0)))
     return rows.join(F.broadcast(edges)).withColumn("bin", F.size(F.filter(inner, lambda e: F.col(value) > e)) + 1).drop("edges")  # one row of edges
 
@@ -138,11 +159,11 @@ def leave_one_out_mean(rows: DataFrame, keys: list[str], value: str) -> DataFram
 
 def trimmed_extent(rows: DataFrame, columns: list[str], trim: float, margin: float) -> DataFrame:
     """(axis, low, high): linear quantiles at trim and 1 - trim (none if n < 1 / trim), with a margin."""
-    parts = []
-    for c in columns:
-        q = F.when(F.count(c) < 1 / trim, F.array(F.min(c).cast("double"), F.max(c).cast("double"))).otherwise(F.percentile(c, F.array(F.lit(trim), F.lit(1 - trim))))
-        parts.append(F.struct(F.lit(c).alias("axis"), (F.element_at(q, 1) - margin).alias("low"), (F.element_at(q, 2) + margin).alias("high")))
-    return rows.agg(F.array(*parts).alias("x")).select(F.explode("x").alias("x")).select("x.*")
+    long = rows.select(F.explode(F.array(*[F.struct(F.lit(c).alias("axis"), F.col(c).cast("double").alias("_x")) for c in columns])).alias("x")).select("x.*")
+    ends = long.groupBy("axis").agg(F.count("_x").alias("_n"), F.min("_x").alias("_a"), F.max("_x").alias("_b"))
+    q = quantiles(long, ["axis"], "_x", [trim, 1 - trim]).groupBy("axis").agg(F.min("value").alias("_p"), F.max("value").alias("_q"))
+    few = F.col("_n") < 1 / trim
+    return ends.join(q, "axis", "left").select("axis", (F.when(few, F.col("_a")).otherwise(F.col("_p")) - margin).alias("low"), (F.when(few, F.col("_b")).otherwise(F.col("_q")) + margin).alias("high"))
 
 
 def calibrated(obs: DataFrame, ridge: float = 1.0, least: int = 3, rounds: int = 500, scale: float = 0.3, tolerance: float = 1e-9) -> tuple[dict[str, float], DataFrame]:

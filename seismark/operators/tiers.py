@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seismark.functions.tables import ranked
-from seismark.operators.stats import median
+from seismark.operators.stats import median, quantiles
 
 #: Metric -> whether larger is better.
 METRICS = {"rmsS": False, "gapDeg": False, "nStations": True, "hErrM": False}
@@ -54,10 +54,11 @@ def summary(events: DataFrame, public: DataFrame) -> DataFrame:
     e = events.agg(
         F.count(F.lit(1)).alias("candidates"), F.count_if(F.col("catalogId").isNull()).alias("additional"), F.countDistinct("catalogId").alias("recovered"),
         F.count_if(F.col("tier") == "A").alias("strict"), F.count_if((F.col("tier") == "A") & F.col("catalogId").isNull()).alias("strictUnmatched"),
-        F.coalesce(median("rmsS"), F.lit(0.0)).alias("medianRmsS"), F.coalesce(median("nStations"), F.lit(0.0)).alias("medianStations"),
     )
+    for c, name in (("rmsS", "medianRmsS"), ("nStations", "medianStations")):
+        e = e.join(quantiles(events, [], c, [0.5]).agg(F.coalesce(F.max("value"), F.lit(0.0)).alias(name)))  # one row each
     p = public.agg(F.count(F.lit(1)).alias("public"))
-    return e.join(p).withColumn("recall", F.try_divide(F.col("recovered").cast("double"), F.col("public")))  # one row each
+    return e.join(p).withColumn("recall", F.try_divide(F.col("recovered").cast("double"), F.col("public")))
 
 
 def baseline_rows(events: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from seismark.functions.tables import small
 from seismark.operators import geometry, intervals, joins, picks, stats, tiers
 from seismark.plans import adapters as A
 from seismark.plans.adapters import T0, T1, with_tables
@@ -304,7 +305,7 @@ AZ = ", az AS (SELECT DISTINCT p.eventId, ((degrees(atan2(s.e - c.e, s.n - c.n))
 
 def _azimuths(spark, d):
     s = A.stations(spark, d).select("stationId", geometry.azimuth(F.col("e"), F.col("n")).alias("az"))
-    return _selected(spark, d).join(F.broadcast(s), "stationId")  # a network's stations
+    return _selected(spark, d).join(small(s), "stationId")
 
 
 @query("q35_azimuthal_gap", with_tables(SELECTED + AZ + """, g AS (SELECT eventId, coalesce(lead(az) OVER (PARTITION BY eventId ORDER BY az), min(az) OVER (PARTITION BY eventId) + 360) - az AS g FROM az) SELECT eventId, round(max(g), 6) AS gapDeg, count(*) AS azimuths FROM g GROUP BY 1"""))

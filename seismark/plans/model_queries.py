@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from seismark.functions.tables import materialised, ranked
+from seismark.functions.tables import materialised, ranked, small
 from seismark.operators import association, geometry, intervals, iterative, joins, location, picks, reports, signal, stats, tiers
 from seismark.plans import adapters as A
 from seismark.plans.adapters import T0, T1, with_tables
@@ -21,7 +21,7 @@ def _nodes(spark):
 
 
 def _arrivals(spark, d):
-    s = F.broadcast(A.stations(spark, d).select("stationId", "e", "n", "elevM"))  # a network's stations
+    s = small(A.stations(spark, d).select("stationId", "e", "n", "elevM"))
     return _selected(spark, d).join(s, "stationId").select("eventId", "stationId", "phase", "id", "prob", (F.col("t") - F.col("eventId") * 3600).alias("t"), "w", "e", "n", "elevM")
 
 

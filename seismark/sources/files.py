@@ -60,6 +60,71 @@ def read_quakeml(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+_CHANNEL = (
+    "_code string, _locationCode string, _startDate string, _endDate string, Latitude double, Longitude double, Elevation double, Depth double, SampleRate double, "
+    "Response struct<InstrumentSensitivity:struct<Value:double,Frequency:double,InputUnits:struct<Name:string>>,Stage:array<struct<_number:int,StageGain:struct<Value:double>>>>"
+)
+_NETWORK = f"_code string, Station array<struct<_code:string,Latitude:double,Longitude:double,Elevation:double,Channel:array<struct<{', '.join(f'{n}:{t}' for n, t in (c.split(' ', 1) for c in _CHANNEL.split(', ')))}>>>>"
+
+
+def read_stations(spark: SparkSession, path: str) -> DataFrame:
+    """One row for each channel epoch of a station file: codes, place, depth, rate, its days, and its response's sensitivity, unit and stages."""
+    n = spark.read.format("xml").option("rowTag", "Network").schema(_NETWORK).load(path)
+    s = n.select(F.col("_code").alias("network"), F.explode("Station").alias("s"))
+    c = s.select("network", F.col("s._code").alias("station"), F.explode("s.Channel").alias("c"))
+    day = lambda x: F.unix_micros(F.to_timestamp(F.concat(F.regexp_replace(x, "Z$", ""), F.lit("Z")))) / F.lit(1e6)
+    sensitivity = F.col("c.Response.InstrumentSensitivity")
+    return c.select(
+        "network", "station", F.coalesce("c._locationCode", F.lit("")).alias("location"), F.col("c._code").alias("channel"), F.substring("c._code", 1, 2).alias("code"), F.substring("c._code", 3, 1).alias("component"),
+        F.col("c.Latitude").alias("latitude"), F.col("c.Longitude").alias("longitude"), F.col("c.Elevation").alias("elevM"), F.col("c.Depth").alias("depthM"), F.col("c.SampleRate").alias("rateHz"),
+        day(F.col("c._startDate")).alias("start"), day(F.col("c._endDate")).alias("stop"),
+        sensitivity["Value"].alias("sensitivity"), F.upper(sensitivity["InputUnits"]["Name"]).alias("unit"), F.transform("c.Response.Stage", lambda x: x["StageGain"]["Value"]).alias("gains"),
+    )
+
+
+def active_at(channels: DataFrame, t0: float, t1: float) -> DataFrame:
+    """Channel epochs that cover all of [t0, t1); an open end covers everything after its start."""
+    return channels.where((F.col("start") <= t0) & (F.col("stop").isNull() | (F.col("stop") >= t1)))
+
+
+def commit_tables(tables: dict[str, DataFrame], folder: str) -> None:
+    """Several tables, all or none: each is written beside its place, and they move there only when all are written.
+
+    They move in the order given, so a table that depends on others comes last; what was there
+    before is moved aside first, and back if a move fails.
+    """
+    spark = next(iter(tables.values())).sparkSession
+    hadoop, conf = spark._jvm.org.apache.hadoop.fs, spark._jsc.hadoopConfiguration()
+    at = lambda name: hadoop.Path(f"{folder.rstrip('/')}/{name}")
+    fs = at("x").getFileSystem(conf)
+    try:
+        for name, df in tables.items():
+            df.write.mode("overwrite").parquet(f"{folder.rstrip('/')}/.part-{name}")
+    except Exception:
+        for name in tables:
+            fs.delete(at(f".part-{name}"), True)
+        raise
+    done: list[str] = []
+    try:
+        for name in tables:
+            fs.delete(at(f".old-{name}"), True)
+            if fs.exists(at(name)) and not fs.rename(at(name), at(f".old-{name}")):
+                raise OSError(f"{name} can't be moved aside")
+            done.append(name)
+            if not fs.rename(at(f".part-{name}"), at(name)):
+                raise OSError(f"{name} can't be put into place")
+    except Exception:
+        for name in reversed(done):
+            fs.delete(at(name), True)
+            if fs.exists(at(f".old-{name}")):
+                fs.rename(at(f".old-{name}"), at(name))
+        for name in tables:
+            fs.delete(at(f".part-{name}"), True)
+        raise
+    for name in tables:
+        fs.delete(at(f".old-{name}"), True)
+
+
 def with_elevation(catalog: DataFrame, datums: DataFrame) -> DataFrame:
     """catalog with elevM = the contributor's surface minus depth; a contributor without a datum is an error where it is met."""
     d = F.broadcast(datums.select("source", "surfaceElevM"))  # one row a contributor

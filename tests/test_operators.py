@@ -392,3 +392,73 @@ def test_without_the_corpus_subpackage(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert len(q) > 80 and not any(n.startswith('op') for n in q); assert e.oracle_sql().keys() <= q.keys()"
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "r", capture_output=True, text=True, env={k: v for k, v in os.environ.items() if k != "PYTHONPATH"})
     assert done.returncode == 0, done.stderr
+
+
+def test_nearest_stations_by_loops(spark):
+    """Clusters, ties, equal places and far events; k beyond the network."""
+    rng = np.random.default_rng(21)
+    net = [(i, *map(float, rng.normal(0, 50, 2).round())) for i in range(40)] + [(40 + i, *map(float, rng.uniform(-9000, 9000, 2))) for i in range(20)] + [(60, 5.0, 5.0), (61, 5.0, 5.0)]
+    events = [(i, *map(float, rng.uniform(-9000, 9000, 2))) for i in range(60)] + [(60, 5.0, 5.0), (61, 90_000.0, -3.0)]
+    s, e = spark.createDataFrame(net, "stationId long, e double, n double"), spark.createDataFrame(events, "eventId long, e double, n double")
+    for k in (1, 5, 100):
+        got = {}
+        for r in joins.nearest_station(e, s, k).collect():
+            got.setdefault(r.eventId, []).append((r.place, r.stationId))
+        for i, x, y in events:
+            want = [j for _, j in sorted((math.hypot(x - a, y - b), j) for j, a, b in net)][:k]
+            assert [j for _, j in sorted(got[i])] == want
+    assert joins.nearest_station(e, s.limit(0), 2).count() == 0 == joins.nearest_station(e.limit(0), s, 2).count()
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(22)
+    rows = [(int(k), float(v)) for k, v in zip(rng.integers(0, 3, 400), rng.normal(size=400).round(1))] + [(1, None), (9, None), (8, 4.0)]
+    got = {(r.k, r.q): r.value for r in stats.quantiles(spark.createDataFrame(rows, "k long, v double"), ["k"], "v", [0.0, 0.1, 0.5, 1.0]).collect()}
+    for k in (0, 1, 2, 8):
+        for q in (0.0, 0.1, 0.5, 1.0):
+            assert got[k, q] == pytest.approx(np.quantile([v for i, v in rows if i == k and v is not None], q))
+    assert not [1 for k, _ in got if k == 9]
+
+
+def test_sta_lta_by_loops():
+    rng = np.random.default_rng(23)
+    rows = [rng.normal(size=n) for n in (50, 0, 7, 50, 120)]
+    for x, got in zip(rows, signal._sta_lta(rows, 4, 16)):
+        sta, lta, want = 0.0, 1e-99, []
+        for i, v in enumerate(x):
+            sta, lta = v * v / 4 + 0.75 * sta, v * v / 16 + 15 / 16 * lta
+            want.append(sta / lta if i >= 16 else 0.0)
+        assert np.allclose(got, want)
+
+
+def test_intervals_across_days(spark, monkeypatch):
+    """The same pieces however short the stretches are that running values are carried over."""
+    rng = np.random.default_rng(24)
+    a = [(int(rng.integers(2)), float(s), float(s + rng.choice([0, 1, 5, 40]))) for s in rng.integers(-30, 90, 60)]
+    df = spark.createDataFrame(a, "k long, start double, stop double")
+    every = lambda: [sorted(map(tuple, x.collect())) for x in (intervals.merged(df, ["k"]), intervals.gaps(df, ["k"], -40.0, 140.0), intervals.levels(df, ["k"]))]
+    whole = every()
+    monkeypatch.setattr(intervals, "STRETCH", 7.0)
+    assert every() == whole and whole[0]
+
+
+def test_statics_are_found(spark):
+    """Terms planted at two stations come back, and events move to where they were."""
+    rng = np.random.default_rng(25)
+    net = [(i, float(x), float(y), 1600.0) for i, (x, y) in enumerate(rng.uniform(-5000, 5000, (12, 2)))]
+    late, rows, truth = {3: 0.15, 7: -0.1}, [], {}
+    for e in range(12):
+        x, y, z = *rng.uniform(-2000, 2000, 2), rng.uniform(-1500, 0)
+        truth[e] = (x, y)
+        for s, sx, sy, elev in net:
+            tt = float(location.first_arrival(LAYERS, "P", math.hypot(x - sx, y - sy), z, elev)[0])
+            rows.append((e, s, "P", 100.0 * e + tt + late.get(s, 0.0), 0.9, sx, sy, elev))
+    arrivals = spark.createDataFrame(rows, "eventId long, stationId long, phase string, t double, prob double, e double, n double, elevM double")
+    v = location.Volume((-4000.0, 4000.0), (-4000.0, 4000.0), (-2500.0, 500.0), (1000.0, 250.0, 50.0), outlier_floor=1.0)
+    terms, found = iterative.self_consistent_statics(arrivals, LAYERS, v, rounds=4, tolerance=0.02)
+    got = {r.stationId: r.term for r in terms.collect()}
+    assert all(abs(got[s] - late.get(s, 0.0)) < 0.05 for s in got)
+    assert np.median([math.hypot(r.e - truth[r.eventId][0], r.n - truth[r.eventId][1]) for r in found.collect()]) < 150
+    public = spark.createDataFrame([(e, 100.0 * e, float(x), float(y)) for e, (x, y) in truth.items() if e < 8], "catalogId long, t double, e double, n double")
+    again, matches, _ = iterative.two_passes(arrivals, public, LAYERS, v, max_dt=1.0, max_dist=1000.0, rounds=1)
+    assert {r.catalogId: r.eventId for r in matches.collect()} == {e: e for e in range(8)} and again.count() == 12

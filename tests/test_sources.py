@@ -80,3 +80,31 @@ def test_bundle(spark, tmp_path):
     with pytest.raises(Exception, match="version"):
         files.read_bundle(spark, str(tmp_path / "b.json"), "2").collect()
     assert files.sorted_json(spark.createDataFrame([(2, None)], "b int, a int")).first().json == '{"a":null,"b":2}'
+
+
+STATIONS = """<FDSNStationXML xmlns="x"><Network code="FO"><Station code="A1"><Latitude>38.5</Latitude><Longitude>-112.9</Longitude><Elevation>1700</Elevation>
+<Channel code="HHZ" locationCode="01" startDate="2024-01-01T00:00:00" endDate="2024-06-01T00:00:00"><Latitude>38.5</Latitude><Longitude>-112.9</Longitude><Elevation>1700</Elevation><Depth>2</Depth><SampleRate>100</SampleRate>
+<Response><InstrumentSensitivity><Value>5E8</Value><Frequency>1</Frequency><InputUnits><Name>m/s</Name></InputUnits></InstrumentSensitivity><Stage number="1"><StageGain><Value>1200</Value></StageGain></Stage><Stage number="2"><StageGain><Value>4e5</Value></StageGain></Stage></Response></Channel>
+<Channel code="HHE" startDate="2024-01-01T00:00:00"><Depth>2</Depth><SampleRate>100</SampleRate></Channel></Station></Network></FDSNStationXML>"""
+
+
+def test_stations(spark, tmp_path):
+    (tmp_path / "s.xml").write_text(STATIONS)
+    c = files.read_stations(spark, str(tmp_path / "s.xml"))
+    z, e = sorted(c.collect(), key=lambda r: r.channel, reverse=True)
+    assert (z.network, z.station, z.location, z.channel, z.code, z.component, z.depthM, z.rateHz, z.sensitivity, z.unit, z.gains) == ("FO", "A1", "01", "HHZ", "HH", "Z", 2.0, 100.0, 5e8, "M/S", [1200.0, 4e5])
+    assert e.location == "" and e.stop is None and e.unit is None and z.start == 1704067200.0
+    assert [r.channel for r in files.active_at(c, z.start, z.stop + 1).collect()] == ["HHE"]
+
+
+def test_commit_of_several_tables(spark, tmp_path):
+    one, two = spark.range(3), spark.range(5)
+    files.commit_tables({"a": one, "b": two}, str(tmp_path))
+    read = lambda n: spark.read.parquet(str(tmp_path / n)).count()
+    assert (read("a"), read("b")) == (3, 5)
+    bad = two.select(F.raise_error(F.lit("stop")).alias("id"))
+    with pytest.raises(Exception, match="stop"):
+        files.commit_tables({"a": two, "b": bad}, str(tmp_path))
+    assert (read("a"), read("b")) == (3, 5) and sorted(p.name for p in tmp_path.iterdir() if p.name[0] == ".") == []
+    files.commit_tables({"a": two}, str(tmp_path))
+    assert (read("a"), read("b")) == (5, 5)
