@@ -265,10 +265,10 @@ def q123(spark, d):
     return rounded(checks.latest_stages(led), "totalS", places=4)
 
 
-@query("q124_time_map", with_tables(f" SELECT id, round({T0} + (t - {T0}) * 2.5, 3) AS modelT, round(t, 3) AS t FROM picks"))
+@query("q124_time_map", with_tables(f" SELECT id, round({T0} + (t - {T0}) * 3.0::DOUBLE, 3) AS modelT, round(t, 3) AS t FROM picks"))
 def q124(spark, d):
-    p = A.picks(spark, d).withColumn("m", checks.stretched(F.col("t"), F.lit(T0), 2.5))
-    return p.select("id", F.round("m", 3).alias("modelT"), F.round(checks.unstretched(F.col("m"), F.lit(T0), 2.5), 3).alias("t"))
+    p = A.picks(spark, d).withColumn("m", checks.stretched(F.col("t"), F.lit(T0), 3.0))
+    return p.select("id", F.round("m", 3).alias("modelT"), F.round(checks.unstretched(F.col("m"), F.lit(T0), 3.0), 3).alias("t"))
 
 
 @query("q125_response_screen", with_tables(", c AS (SELECT stationId, count(DISTINCT channel) AS h, CASE stationId % 4 WHEN 0 THEN 'M' WHEN 1 THEN 'M/S' WHEN 2 THEN 'M/S**2' ELSE 'COUNTS' END AS unit, 50.0 + 50 * (stationId % 3) AS rate FROM segments GROUP BY ALL) SELECT coalesce(CASE WHEN h < 2 THEN 'horizontals' WHEN unit = 'COUNTS' THEN 'unit' WHEN rate <> 100 THEN 'rate' END, 'kept') AS verdict, count(*) AS n FROM c GROUP BY 1"))
