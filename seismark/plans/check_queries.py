@@ -226,10 +226,10 @@ def q118(spark, d):
     return rounded(checks.leave_one_event_out(A.observations(spark, d), "eventId", "logA", "mag"), "predicted", "null", places=5)
 
 
-@query("q119_confidence_auc", with_tables(", s AS (SELECT catalogId IS NOT NULL AS y, 1 / (1 + exp(-(0.5 + 0.2 * nStations - 0.01 * gapDeg - 20 * rmsS))) AS p FROM located), r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS k FROM s), a AS (SELECT sum(k) FILTER (y) AS t, count(*) FILTER (y) AS u, count(*) FILTER (NOT y) AS v FROM r) SELECT u AS positives, v AS negatives, round((t - u * (u + 1) / 2) / (u * v), 6) AS auc FROM a"))
+@query("q119_confidence_auc", with_tables(", s AS (SELECT catalogId IS NOT NULL AS y, round(1 / (1 + exp(-(0.5 + 0.2 * nStations - 0.01 * gapDeg - 20 * rmsS))), 9) AS p FROM located), r AS (SELECT y, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2 AS k FROM s), a AS (SELECT sum(k) FILTER (y) AS t, count(*) FILTER (y) AS u, count(*) FILTER (NOT y) AS v FROM r) SELECT u AS positives, v AS negatives, round((t - u * (u + 1) / 2) / (u * v), 6) AS auc FROM a"))
 def q119(spark, d):
     """How well a logistic score of three qualities ranks matched events before others."""
-    s = A.located(spark, d).select(F.col("catalogId").isNotNull().cast("int").alias("y"), checks.logistic({"nStations": 0.2, "gapDeg": -0.01, "rmsS": -20.0}, 0.5).alias("p"))
+    s = A.located(spark, d).select(F.col("catalogId").isNotNull().cast("int").alias("y"), F.round(checks.logistic({"nStations": 0.2, "gapDeg": -0.01, "rmsS": -20.0}, 0.5), 9).alias("p"))
     return rounded(checks.auc(s, "p", "y"), "auc")
 
 
