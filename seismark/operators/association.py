@@ -33,12 +33,18 @@ def peaks(found: DataFrame, apart: float, width: float) -> DataFrame:
     return top.select("key.node", "key.slot", "t", (-F.col("key.s")).alias("stations"), (-F.col("key.p")).alias("nPicks"), F.xxhash64("key.node", "key.slot").alias("eventId"))
 
 
-def assigned(events: DataFrame, picks: DataFrame, times: DataFrame, tolerance: float) -> DataFrame:
-    """The picks that fit each candidate within the tolerance, one a station and phase (the best fit), with residuals."""
-    e = events.join(small(times), "node").select("eventId", F.col("t").alias("eventT"), "stationId", "phase", (F.col("t") + F.col("seconds")).alias("predicted"))
-    e = e.withColumn("_b", F.floor(F.col("predicted") / tolerance))
-    p = picks.select("stationId", "phase", F.col("id").alias("pickId"), "t").withColumn("_b", F.explode(F.array(*[F.floor(F.col("t") / tolerance) + k for k in (-1, 0, 1)])))
-    hit = e.join(p, ["stationId", "phase", "_b"]).withColumn("residual", F.col("t") - F.col("predicted")).where(F.abs("residual") <= tolerance)
+def assigned(events: DataFrame, picks: DataFrame, times: DataFrame, tolerance: float, longest: float) -> DataFrame:
+    """The picks that fit each candidate within the tolerance, one a station and phase (the best fit), with residuals.
+
+    No time exceeds `longest`: picks meet the candidates of their own and the neighbouring buckets of
+    that width, then their node's times.
+    """
+    width = longest + tolerance
+    bucket = F.floor(F.col("t") / width)
+    e = events.select("eventId", "node", F.col("t").alias("eventT"), F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b"))
+    p = picks.select("stationId", "phase", F.col("id").alias("pickId"), "t", bucket.alias("_b"))
+    near = p.join(e, "_b").where(F.col("t").between(F.col("eventT") - tolerance, F.col("eventT") + width))
+    hit = near.join(small(times), ["node", "stationId", "phase"]).withColumn("residual", F.col("t") - (F.col("eventT") + F.col("seconds"))).where(F.abs("residual") <= tolerance)
     best = hit.groupBy("eventId", "eventT", "stationId", "phase").agg(F.min(F.struct(F.abs("residual").alias("a"), "pickId", "residual")).alias("x"))
     return best.select("eventId", "eventT", "x.pickId", "stationId", "phase", "x.residual")
 
@@ -119,23 +125,41 @@ def resolve_with_minimums(rows: DataFrame, minimums: dict[str, int]) -> DataFram
         held = materialised(held.join(gone, "eventId", "left_anti"))
 
 
+def candidates(picks: DataFrame, times: DataFrame, longest: float, *, width: float, tolerance: float, minimums: dict[str, int]) -> DataFrame:
+    """The slots whose fitting picks meet every minimum, as votes with an eventId."""
+    slots = materialised(votes(picks, times, width, minimums["nStations"]).withColumn("eventId", F.xxhash64("node", "slot")))
+    good = pick_counts(assigned(slots, picks, times, tolerance, longest)).where(failed_minimum(minimums).isNull()).select("eventId")
+    return materialised(slots.join(good, "eventId", "left_semi"))
+
+
 def associate(picks: DataFrame, times: DataFrame, *, width: float, apart: float, tolerance: float, minimums: dict[str, int], within: float, share: float, rounds: int | None = None) -> DataFrame:
     """Picks of the events found, with residuals.
 
-    In each round the best candidates of their times take their picks; the next round votes with the
-    picks that no event holds, so that an event beside a better one is found then.  Ends when a
-    round's candidates all miss a minimum, or after `rounds`.
+    In each round the candidates that meet the minimums and are the best of their times take their
+    picks; the next round votes with the picks that no event holds, so that an event beside a better
+    one is found then.  Only picks near a candidate of the last round vote again: elsewhere nothing
+    has changed.  Ends when no candidate meets the minimums, or after `rounds`.
     """
     times, left, out = materialised(times), picks, None
+    longest = max(times.agg(F.max("seconds")).first()[0] or 0.0, 0.0)
+    reach = apart + 2 * (width + tolerance + longest)
     while rounds is None or rounds > 0:
-        events = materialised(peaks(votes(left, times, width, minimums["nStations"]), apart, width))
-        rows = materialised(resolve_with_minimums(merge_duplicates(assigned(events, left, times, tolerance), within, share), minimums))
+        found = candidates(left, times, longest, width=width, tolerance=tolerance, minimums=minimums)
+        if found.isEmpty():
+            break
+        events = materialised(peaks(found, apart, width))
+        rows = materialised(assigned(events, left, times, tolerance, longest))
+        if not rows.groupBy("pickId").count().where("count > 1").isEmpty():  # else there is nothing to merge or to share
+            rows = materialised(resolve_with_minimums(merge_duplicates(rows, within, share), minimums))
         if rows.isEmpty():
             break
         out = rows if out is None else out.unionByName(rows)
+        bucket = F.floor(F.col("t") / reach)
+        open_ = small(materialised(found.select(F.explode(F.array(bucket - 1, bucket, bucket + 1)).alias("_b")).distinct()))
+        left = left.withColumn("_b", bucket).join(open_, "_b", "left_semi").drop("_b")
         left = materialised(left.join(rows.select(F.col("pickId").alias("id")), "id", "left_anti"))
         rounds = None if rounds is None else rounds - 1
-    return rows if out is None else out
+    return left.sparkSession.createDataFrame([], "eventId long, eventT double, pickId string, stationId long, phase string, residual double") if out is None else out
 
 
-__all__ = ["assigned", "associate", "leads", "merge_duplicates", "peaks", "resolve_shared", "resolve_with_minimums", "votes"]
+__all__ = ["assigned", "associate", "candidates", "leads", "merge_duplicates", "peaks", "resolve_shared", "resolve_with_minimums", "votes"]

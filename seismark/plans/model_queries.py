@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seismark.functions.tables import materialised, ranked, small
-from seismark.operators import association, geometry, intervals, iterative, joins, location, picks, reports, signal, stats, tiers
+from seismark.operators import association, geometry, intervals, iterative, joins, location, picks, reports, scenarios, signal, stats, tiers
 from seismark.plans import adapters as A
 from seismark.plans.adapters import T0, T1, with_tables
 from seismark.plans.event_queries import GAPS, PAIRS, SELECTED, TIERED, _gaps, _pairs, _selected, _tiered, rounded
@@ -76,10 +76,13 @@ def _times(spark, d):
     return grid.select("node", "stationId", "phase", (dist / F.when(F.col("phase") == "P", 5000.0).otherwise(2900.0)).alias("seconds"))
 
 
+ASSOCIATION = {"width": 300.0, "apart": 900.0, "tolerance": 300.0, "within": 600.0, "share": 0.5}
+
+
 @query("q54_associate")
 def q54(spark, d):
     p = _selected(spark, d).drop("eventId")
-    rows = association.associate(p, _times(spark, d), width=300.0, apart=900.0, tolerance=300.0, minimums={"nPicks": 4, "nStations": 3}, within=600.0, share=0.5)
+    rows = association.associate(p, _times(spark, d), minimums={"nPicks": 4, "nStations": 3}, **ASSOCIATION)
     return rounded(rows, "eventT", "residual")
 
 
@@ -357,3 +360,17 @@ def q92(spark, d):
     found = location.locate_events(seen.repartition(parts, "eventId"), LAYERS, v)
     both = truth.withColumn("noisy", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("eventId", 2 * F.col("eventId") + F.col("noisy").cast("int"))
     return rounded(iterative.recovery(both, found, ["noisy"]), "medianH", "medianV", "p90V", "depthBias", places=3)
+
+
+@query("q130_null_association")
+def q130(spark, d):
+    """Events that the association finds in three reruns with every station's clock moved by up to an hour."""
+    p = _selected(spark, d).drop("eventId")
+    return scenarios.null_test(p, _times(spark, d), reruns=3, seed=5, most=3600.0, minimums={"nPicks": 4, "nStations": 3}, **ASSOCIATION)
+
+
+@query("q131_associated_sweep")
+def q131(spark, d):
+    """Events found at each point of a grid of least probability, S picks and stations, associated anew."""
+    p = _selected(spark, d).drop("eventId")
+    return scenarios.association_sweep(p, _times(spark, d), probs=[0.1, 0.4], s_picks=[0, 2], stations=[3, 4, 5], minimums={"nPicks": 4, "nStations": 3}, **ASSOCIATION)

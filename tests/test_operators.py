@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seismark.functions.graphs import components
 from seismark.functions.tables import ranked
-from seismark.operators import association, geometry, intervals, iterative, joins, location, signal, stats
+from seismark.operators import association, geometry, intervals, iterative, joins, location, scenarios, signal, stats
 from seismark.streaming.windows import LastGood, stream_counts
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -270,6 +270,41 @@ def test_two_events_in_one_window(spark):
     assert association.associate(df.limit(0), tt, width=2.0, apart=500.0, tolerance=2.0, minimums={"nPicks": 4, "nStations": 4}, within=5.0, share=0.3).count() == 0
 
 
+def test_failing_slot_hides_no_event(spark):
+    """Five stations in one slot, none of whose picks fit together, and four in a lesser slot near it that do."""
+    picks = [(f"a{s}", s, "P", 100.0 + 4 * s, 0.9) for s in range(5)] + [(f"b{s}", s, "P", 130.0 + s / 10, 0.9) for s in range(4)]
+    df = spark.createDataFrame(picks, "id string, stationId long, phase string, t double, prob double")
+    tt = spark.createDataFrame([(0, s, "P", 0.0) for s in range(5)], "node long, stationId long, phase string, seconds double")
+    out = association.associate(df, tt, width=10.0, apart=200.0, tolerance=2.0, minimums={"nPicks": 4, "nStations": 4}, within=5.0, share=0.3).toPandas()
+    assert sorted(out.pickId) == ["b0", "b1", "b2", "b3"]
+
+
+def test_scenarios_run_as_if_alone(spark):
+    """Each scenario of one job against its own association; clocks that don't move change nothing, scrambled ones leave no event."""
+    rng = np.random.default_rng(8)
+    times = [(0, s, ph, s * k) for s in range(6) for ph, k in (("P", 1.0), ("S", 1.7))]
+    picks = [(f"p{e}:{s}{ph}", s, ph, 1000.0 + 300 * e + tt, float(rng.choice([0.2, 0.9]))) for e in range(4) for _, s, ph, tt in times]
+    df = spark.createDataFrame(picks, "id string, stationId long, phase string, t double, prob double")
+    tt = spark.createDataFrame(times, "node long, stationId long, phase string, seconds double")
+    least = {"nPicks": 4, "nStations": 3}
+    options = {"width": 2.0, "apart": 100.0, "tolerance": 2.0, "within": 5.0, "share": 0.3}
+    alone, sizes = {}, {}
+    for k, prob in enumerate((0.0, 0.5)):
+        rows = association.associate(df.where(F.col("prob") >= prob), tt, minimums=least, **options).toPandas()
+        alone[k] = sorted((r.pickId, round(r.eventT, 4), round(r.residual, 4)) for r in rows.itertuples())
+        sizes[k] = list(rows.groupby("eventId").stationId.nunique())
+    both = df.withColumn("scenario", F.lit(0).cast("long")).unionByName(df.where("prob >= 0.5").withColumn("scenario", F.lit(1).cast("long")))
+    rows = scenarios.associate_each(both, tt, minimums=least, **options).toPandas()
+    for k, g in rows.groupby("scenario"):
+        assert sorted((r.pickId, round(r.eventT, 4), round(r.residual, 4)) for r in g.itertuples()) == alone[k]
+    still = scenarios.null_test(df, tt, reruns=2, seed=1, most=0.0, minimums=least, **options).toPandas()
+    assert list(still.sort_values("scenario").picks) == [len(alone[0])] * 2
+    assert scenarios.null_test(df, tt, reruns=2, seed=1, most=90.0, minimums={"nPicks": 8, "nStations": 6}, **options).toPandas().events.sum() == 0
+    swept = {(r.minPickProb, r.minStations): r.candidates for r in scenarios.association_sweep(df, tt, probs=[0.0, 0.5], s_picks=[0], stations=[3, 6], minimums=least, **options).collect()}
+    assert swept == {(prob, m): sum(n >= m for n in sizes[k]) for k, prob in enumerate((0.0, 0.5)) for m in (3, 6)}
+    assert swept[0.0, 6] == 4
+
+
 def test_associator_finds_planted_events(spark):
     rng = np.random.default_rng(6)
     net = [(i, *map(float, rng.uniform(-8000, 8000, 2))) for i in range(12)]
