@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from seismark.functions.graphs import components
 from seismark.functions.tables import ranked
-from seismark.operators import association, geometry, intervals, iterative, joins, location, scenarios, signal, stats
+from seismark.operators import association, diagnostics, geometry, intervals, iterative, joins, location, scenarios, signal, stats
 from seismark.streaming.windows import LastGood, stream_counts
 
 ROOT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -497,3 +497,67 @@ def test_statics_are_found(spark):
     public = spark.createDataFrame([(e, 100.0 * e, float(x), float(y)) for e, (x, y) in truth.items() if e < 8], "catalogId long, t double, e double, n double")
     again, matches, _ = iterative.two_passes(arrivals, public, LAYERS, v, max_dt=1.0, max_dist=1000.0, rounds=1)
     assert {r.catalogId: r.eventId for r in matches.collect()} == {e: e for e in range(8)} and again.count() == 12
+
+
+def test_flood_finds_the_region_around_the_best_node():
+    rng = np.random.default_rng(11)
+    for cutoff in (0.5, 2.0, 6.0):
+        shape = np.array([9, 8, 7])
+        field = sum(rng.uniform(0.2, 1) * np.abs(g - c) for g, c in zip(np.indices(shape), (4, 3, 5))) + rng.uniform(0, 2, shape)
+        start = np.array(np.unravel_index(int(np.argmin(field)), shape))
+        looked = []
+        at, misfit, cut = location.flooded(start, shape, lambda k: looked.append(len(k)) or field[tuple(k.T)], location.Region(cutoff=cutoff))
+        inside = {tuple(k) for k in np.argwhere(field - field.min() <= cutoff)}
+        want, todo = {tuple(start)}, [tuple(start)]
+        while todo:
+            k = todo.pop()
+            for step in np.vstack([np.eye(3, dtype=int), -np.eye(3, dtype=int)]):
+                other = tuple(np.array(k) + step)
+                if other in inside - want:
+                    want.add(other)
+                    todo.append(other)
+        assert {tuple(k) for k in at} == want and not cut and np.allclose(misfit, field[tuple(at.T)])
+        assert sum(looked) <= field.size
+    # A better node that the flood meets lowers the level, and a small budget cuts it short.
+    line = np.array([5.0, 4.0, 3.0, 2.0, 1.0, 0.0]).reshape(6, 1, 1)
+    at, _, cut = location.flooded(np.array([0, 0, 0]), np.array(line.shape), lambda k: line[tuple(k.T)], location.Region(cutoff=1.5))
+    assert {int(k[0]) for k in at} == {4, 5} and not cut
+    assert location.flooded(np.array([0, 0, 0]), np.array(line.shape), lambda k: line[tuple(k.T)], location.Region(budget=3))[2]
+
+
+def planted_arrivals(spark, places):
+    rng = np.random.default_rng(12)
+    net = [(i, float(x), float(y), 1600.0) for i, (x, y) in enumerate(rng.uniform(-5000, 5000, (10, 2)))]
+    rows = []
+    for e, (x, y, z) in enumerate(places):
+        for s, sx, sy, elev in net:
+            for phase in ("P", "S"):
+                tt = location.first_arrival(LAYERS, phase, np.array([math.hypot(x - sx, y - sy)]), np.array([z]), np.array([elev]))[0]
+                rows.append((e, s, phase, float(tt), 0.9, sx, sy, elev))
+    return spark.createDataFrame(rows, "eventId long, stationId long, phase string, t double, prob double, e double, n double, elevM double"), net
+
+
+def test_location_regions(spark):
+    arrivals, _ = planted_arrivals(spark, [(500.0, -500.0, -1000.0), (0.0, 1000.0, -3000.0)])
+    v, g = location.Volume((-3000.0, 3000.0), (-3000.0, 3000.0), (-3000.0, 500.0), (1000.0, 250.0)), location.Region(scale=0.2)
+    got = location.location_regions(arrivals, LAYERS, v, g).toPandas().set_index("eventId")
+    p = arrivals.where("eventId = 0").toPandas().sort_values(["t", "stationId", "phase"])
+    axes = [np.arange(-3000, 3001, 250.0), np.arange(-3000, 3001, 250.0), np.arange(-3000, 501, 250.0)]
+    x, y, z = (a.ravel() for a in np.meshgrid(*axes, indexing="ij"))
+    misfit = location._weighted_misfits(p, LAYERS, v, x, y, z)[0]
+    m = np.exp(-0.2 * (misfit - misfit.min())) * (0.2 * (misfit - misfit.min()) <= 12)
+    m /= m.sum()
+    r = got.loc[0]
+    assert (r.e, r.n, r.z) == (500, -500, -1000) and r.nNodes == (m > 0).sum() and not r.truncated and not r.depthOnEdge
+    assert r.meanZ == pytest.approx((m * z).sum()) and r.vErrM == pytest.approx(math.sqrt(-2 * math.log(0.1) * max((m * (z - (m * z).sum()) ** 2).sum(), 250**2 / 12)))
+    assert got.loc[1].depthOnEdge
+    assert location.location_regions(arrivals, LAYERS, v, location.Region(scale=0.2, budget=10)).where("truncated").count() == 2
+
+
+def test_datum_check(spark):
+    _, net = planted_arrivals(spark, [])
+    stations = spark.createDataFrame(net, "stationId long, e double, n double, elevM double")
+    points = spark.createDataFrame([(7, 250.0, -250.0, -500.0), (8, 0.0, 500.0, -1500.0)], "eventId long, e double, n double, z double")
+    v = location.Volume((-3000.0, 3000.0), (-3000.0, 3000.0), (-3000.0, 500.0), (1000.0, 250.0, 50.0))
+    rows = diagnostics.datum_check(points, stations, LAYERS, v, 8).collect()
+    assert {r.eventId for r in rows} == {7, 8} and all(abs(r.dzM) <= 50 and r.dhM <= 50 for r in rows)
