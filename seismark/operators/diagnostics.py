@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from seismark.functions.tables import small
+from seismark.operators.intervals import merged
 from seismark.operators.iterative import synthetic_arrivals
 from seismark.operators.location import Layers, Volume, locate_events
 from seismark.operators.stats import azimuth_fit, quantiles, residual_stats
@@ -94,11 +95,9 @@ def known_windows(public: DataFrame, segments: DataFrame, stations: DataFrame, *
     overlap, and the best channel counts.
     """
     top = public.where("mag IS NOT NULL").orderBy(F.desc("mag"), "t", "catalogId").limit(n).select("catalogId", (F.col("t") - before).alias("a"), (F.col("t") + after).alias("b"))
-    cells = small(stations.where("usedInRun").select("stationId")).crossJoin(F.broadcast(top))  # n rows
+    cells = stations.where("usedInRun").select("stationId").join(F.broadcast(top.select("catalogId")))  # n rows
     part = segments.join(F.broadcast(top), (F.col("start") < F.col("b")) & (F.col("stop") > F.col("a")))
     part = part.select("catalogId", "stationId", "channel", F.greatest("start", "a").alias("start"), F.least("stop", "b").alias("stop"))
-    from seismark.operators.intervals import merged
-
     seen = merged(part, ["catalogId", "stationId", "channel"]).groupBy("catalogId", "stationId", "channel").agg(F.sum(F.col("stop") - F.col("start")).alias("s")).groupBy("catalogId", "stationId").agg(F.max("s").alias("s"))
     covered = F.coalesce("s", F.lit(0.0)) / (before + after)
     verdict = F.when(F.col("s").isNull(), "none").when(covered >= least, "usable").otherwise("gap")

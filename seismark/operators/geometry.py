@@ -77,3 +77,8 @@ def to_enu(lat: Column, lon: Column, elev: Column, zone: int, origin: tuple[floa
 
 def scene(e: Column, n: Column, u: Column, exaggeration: float) -> Column:
     return F.struct((e / 1000).alias("x"), (u / 1000 * exaggeration).alias("y"), (-n / 1000).alias("z"))
+
+
+def terrain_height(red: Column, green: Column, blue: Column) -> Column:
+    """Metres of a terrain tile's pixel: its bytes count 256, 1 and 1/256 metres from -32768 up."""
+    return red * 256 + green + blue / 256 - 32768

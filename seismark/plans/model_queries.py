@@ -357,7 +357,7 @@ def q92(spark, d):
     truth = materialised(iterative.drawn(n, 1, 2000.0, 0.0, -1500.0).repartition(parts, "eventId"))
     seen = iterative.synthetic_arrivals(truth, A.stations(spark, d).where("usedInRun"), LAYERS, nearest=8, keep_s=0.5, sigma=(0.02, 0.04), seed=7)
     v = location.Volume((-3000.0, 3000.0), (-3000.0, 3000.0), (-2000.0, 500.0), (1000.0, 250.0, 50.0))
-    found = location.locate_events(seen.repartition(parts, "eventId"), LAYERS, v)
+    found = location.locate_events(seen, LAYERS, v)
     both = truth.withColumn("noisy", F.explode(F.array(F.lit(False), F.lit(True)))).withColumn("eventId", 2 * F.col("eventId") + F.col("noisy").cast("int"))
     return rounded(iterative.recovery(both, found, ["noisy"]), "medianH", "medianV", "p90V", "depthBias", places=3)
 
