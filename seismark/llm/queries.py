@@ -16,6 +16,7 @@ from seismark.llm.quality_nbsvm import quality_scores
 from seismark.llm.secret_scan import scan
 from seismark.llm.sentencepiece_lattice import encode
 from seismark.llm.shared import table
+from seismark.llm.source_divergence import source_divergence
 from seismark.llm.token_counts import token_counts
 from seismark.llm.toxicity import toxicity_scores
 
@@ -73,6 +74,10 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
+def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_divergence(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -91,12 +96,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": op8_chat_format,
         "op9_sentencepiece": op9_sentencepiece,
         "op10_decontamination": op10_decontamination,
+        "op11_source_divergence": op11_source_divergence,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": OP5, "op7_exact_dedup": OP7, "op8_chat_format": OP8, "op10_decontamination": OP10}
+    return {"op5_ngram_join": OP5, "op7_exact_dedup": OP7, "op8_chat_format": OP8, "op10_decontamination": OP10, "op11_source_divergence": OP11}
 
 
 OP5 = r"""
@@ -163,3 +169,34 @@ SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
 """
+
+#: 1e9 * (count + 5) needs more than 64 bits only beyond 9e9 occurrences; hugeint all the same.
+OP11 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS id, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+         regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS w
+  FROM documents
+), o AS (SELECT id, lang, source, unnest(w) AS term FROM d), kept AS (
+  SELECT lang, term FROM o GROUP BY ALL HAVING count(DISTINCT id) >= 30
+), n AS (
+  SELECT lang, source, term, count(*)::HUGEINT AS n FROM o JOIN kept USING (lang, term) GROUP BY ALL
+), v AS (SELECT lang, count(*)::HUGEINT AS v FROM kept GROUP BY lang), g AS (
+  SELECT lang, source, coalesce(sum(n.n), 0)::HUGEINT AS total FROM (SELECT DISTINCT lang, source FROM d) LEFT JOIN n USING (lang, source) GROUP BY ALL
+), p AS (
+  SELECT g.lang, g.source, term, coalesce(n.n, 0) AS n, 1 + (1000000000::HUGEINT * (coalesce(n.n, 0) + 5)) // (total + 5 * v) AS p
+  FROM g JOIN kept USING (lang) JOIN v USING (lang) LEFT JOIN n USING (lang, source, term)
+), q AS (
+  SELECT lang, term, 1 + (1000000000::HUGEINT * (sum(n) + 5)) // (any_value(t) + 5 * any_value(v)) AS q
+  FROM p JOIN v USING (lang) JOIN (SELECT lang, sum(total) AS t FROM g GROUP BY lang) USING (lang) GROUP BY ALL
+), pair AS (
+  SELECT a.lang, a.source, 'pair' AS part, b.source AS item, coalesce(f, 0)::BIGINT AS value
+  FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source
+  LEFT JOIN (SELECT x.lang, x.source, y.source AS item, sum(abs(x.p - y.p)) AS f FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) s
+    ON s.lang = a.lang AND s.source = a.source AND s.item = b.source
+), term AS (
+  SELECT lang, source, 'term' AS part, term AS item, (p - q)::BIGINT AS value FROM p JOIN q USING (lang, term) WHERE n > 0 AND p > q
+), r AS (
+  SELECT *, row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item)::INTEGER AS rank FROM (FROM pair UNION ALL FROM term)
+)
+FROM r WHERE part = 'pair' OR rank <= 50
+"""
