@@ -19,6 +19,7 @@ from seismark.llm.shared import table
 from seismark.llm.source_divergence import source_divergence
 from seismark.llm.token_counts import token_counts
 from seismark.llm.toxicity import toxicity_scores
+from seismark.llm.vector_search import top_k
 
 
 def model_path() -> str:
@@ -78,6 +79,10 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -97,12 +102,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_decontamination": op10_decontamination,
         "op11_source_divergence": op11_source_divergence,
+        "op13_exact_top_k": op13_exact_top_k,
         "pipeline": pipeline,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_ngram_join": OP5, "op7_exact_dedup": OP7, "op8_chat_format": OP8, "op10_decontamination": OP10, "op11_source_divergence": OP11}
+    return {"op5_ngram_join": OP5, "op7_exact_dedup": OP7, "op8_chat_format": OP8, "op10_decontamination": OP10, "op11_source_divergence": OP11, "op13_exact_top_k": OP13}
 
 
 OP5 = r"""
@@ -200,3 +206,14 @@ WITH d AS (
 )
 FROM r WHERE part = 'pair' OR rank <= 50
 """
+
+OP13 = r"""
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), s AS (
+  SELECT q.r, q.vec_id AS query_id, c.vec_id, list_sum(list_transform(list_zip(q.v, c.v), lambda z: z[1] * z[2]))::BIGINT AS score
+  FROM v q JOIN v c ON q.r <> c.r AND len(q.v) = len(c.v) WHERE q.vec_id % 100 = 0
+), k AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM k WHERE rank <= 10
+"""
