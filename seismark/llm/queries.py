@@ -11,6 +11,7 @@ from seismark.llm.chat_format import format_conversations, read_back
 from seismark.llm.decontaminate import contamination, report
 from seismark.llm.exact_dedup import exact_dedup
 from seismark.llm.ngram_join import ngram_join
+from seismark.llm.periodic_runs import periodic_runs
 from seismark.llm.pii_surrogates import with_surrogates
 from seismark.llm.quality_nbsvm import quality_scores
 from seismark.llm.secret_scan import scan
@@ -79,6 +80,29 @@ def op11_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return source_divergence(table(spark, sf_dir, "documents"))
 
 
+def with_repeated_tails(docs: DataFrame) -> DataFrame:
+    """doc_id and text; of ids whose crc32 ends in 0, the words from a place on are a few of them over and over."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.when(h % 10 == 0, F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0)))
+    d = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), words.alias("w")).withColumn("n", F.size("w"))
+    d = d.withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
+    d = d.withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    tail = F.expr("transform(sequence(a, n - 1), i -> w[cast(a + (i - a) % p as int)])")
+    new = F.array_join(F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), tail), " ")
+    return d.select("doc_id", F.when(F.col("n") > 0, new).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs(with_repeated_tails(table(spark, sf_dir, "documents")))
+    lines = F.transform("runs", lambda r: F.concat(r["start"].cast("string"), F.lit(","), r["length"].cast("string"), F.lit(","), r["period"].cast("string"), F.lit("\n")))
+    best = F.array_min(F.transform("runs", lambda r: F.struct((-r["length"]).alias("l"), r["start"].alias("start"), r["period"].alias("period"))))
+    d = found.select("doc_id", "runs", "collapsed", best.alias("best")).withColumn("length", -F.col("best.l"))
+    return d.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), "best.start", "length", "best.period", F.expr("1000 * length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 def op13_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 
@@ -102,6 +126,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_sentencepiece": op9_sentencepiece,
         "op10_decontamination": op10_decontamination,
         "op11_source_divergence": op11_source_divergence,
+        "op12_periodic_runs": op12_periodic_runs,
         "op13_exact_top_k": op13_exact_top_k,
         "pipeline": pipeline,
     }
