@@ -25,7 +25,7 @@ def query(name: str, sql: str | None = None):
 
 
 def _load() -> None:
-    from seismark.plans import check_queries, event_queries, model_queries, report_queries  # noqa: F401  they register themselves
+    from seismark.plans import check_queries, event_queries, grid_queries, model_queries, report_queries  # noqa: F401  they register themselves
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
