@@ -50,11 +50,20 @@ _WEG = "straße|strasse|weg|platz|gasse|allee"
 
 _TITLE = "|".join(t for kind in TITLES.values() for t in kind)
 _GIVEN = "|".join([*FIRST_NAMES["male"], *FIRST_NAMES["female"], *CYRILLIC["male"], *CYRILLIC["female"]])
-_WORD = r"\p{Lu}\p{Ll}+(?:-\p{Lu}\p{Ll}+)?(?![\p{L}])"
+#: Capitalised words that stand behind a name without being part of it.
+NOT_NAMES = (
+    "Monday Tuesday Wednesday Thursday Friday Saturday Sunday Montag Dienstag Mittwoch Donnerstag Freitag Samstag Sonntag "
+    "January February March April May June July August September October November December Januar Februar März Mai Juni Juli Oktober Dezember "
+    "The This That He She It They We You I In On At But And Is Was Then There When What Who How Why Yes No Please Thanks Der Die Das Er Sie Es Wir Ihr Und Aber Le La Les Il Elle El Los Las"
+).split()
+#: Names that are everyday words too, or places: behind a title or a given name alone do they tell a person.
+ALSO_WORDS = [*NOT_NAMES, *"Will Can Bill Grant Hope Joy Grace Faith Young Long King Church Day Park Paris London Berlin Madrid".split()]
+_WORD = r"\p{Lu}(?:['’]\p{Lu})?\p{Ll}+(?:\p{Lu}\p{Ll}+)?(?:-\p{Lu}\p{Ll}+)?(?![\p{L}])"
+_NEXT = rf"(?!(?:{'|'.join(NOT_NAMES)})(?![\p{{L}}])){_WORD}"
 _HEX = "[0-9A-Fa-f]{1,4}"
 #: Type -> pattern, each behind neither a letter nor a digit; where several match, the first does.
 PATTERNS = {
-    "email": r"(?<![._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}(?![\p{L}\p{N}])",
+    "email": r"(?<![._%+-])[\p{L}\p{N}][\p{L}\p{N}._%+-]*+@(?:[A-Za-z0-9-]{1,63}\.){1,20}[A-Za-z]{2,63}(?![\p{L}\p{N}])",
     "ip": r"(?<!\d\.)(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?!\.?\d)",
     "ip6": rf"(?<!:)(?:(?:{_HEX}:){{7}}{_HEX}|(?:(?:{_HEX}:){{2,6}}|[fF][eE]80:):(?:{_HEX}(?::{_HEX}){{0,5}})?)(?![\p{{L}}\d:])",
     "account": r"(?:\d{13,19}|\d{4}(?:\x20\d{4}){3}|\d{4}(?:-\d{4}){3}|\d{4}\x20\d{6}\x20\d{5})(?![\p{L}\d])",
@@ -69,7 +78,7 @@ PATTERNS = {
         rf"\d{{1,5}}[A-Za-z]?\x20(?:\p{{Lu}}\p{{Ll}}+\x20){{1,3}}(?:{_STREET})(?![\p{{L}}])|\p{{Lu}}\p{{Ll}}+(?:{_WEG})\x20\d{{1,4}}[a-z]?(?![\p{{L}}\d])"
         r"|\d{1,4},?\x20(?:rue|avenue|boulevard|place)\x20(?:de\x20(?:la\x20)?)?\p{Lu}\p{Ll}+(?![\p{L}])|(?:Calle|Avenida|Plaza)\x20(?:de\x20)?\p{Lu}\p{Ll}+,?\x20\d{1,4}(?![\p{L}\d])"
     ),
-    "person": rf"(?=\p{{Lu}}|г)(?:(?:{_TITLE})\.?\x20{_WORD}(?:\x20{_WORD})?|(?:{_GIVEN})\x20{_WORD})",
+    "person": rf"(?=\p{{Lu}}|г)(?:(?:{_TITLE})\.?\x20{_WORD}(?:\x20{_NEXT})?|(?:{_GIVEN})\x20{_NEXT})",
 }
 _ORDER = list(PATTERNS)
 ENTITY = rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(f'(?:{PATTERNS[t]})' for t in _ORDER)})"
@@ -92,10 +101,15 @@ def kind_of(entity: Column) -> Column:
     return kind
 
 
-def search_pattern(found: Column) -> Column:
-    """ENTITY, and the names of the persons among the entities found: family names, alone or behind a given name found with one."""
+def search_pattern(found: Column, text: Column) -> Column:
+    """ENTITY, and the names of the persons among the entities found: family names, alone or behind a given name found with one.
+
+    A name that is an everyday word, or that the text has in lower case too, isn't looked for on its own.
+    """
     words = F.transform(F.filter(found, lambda e: e.rlike(rf"^(?:{PATTERNS['person']})$")), _spelled)
     last = F.array_distinct(F.transform(words, lambda w: F.element_at(w, -1)))
+    plain = F.array_distinct(F.regexp_extract_all(text, F.concat(F.lit(r"(?<![\p{L}\p{N}])(?:"), F.array_join(F.transform(last, F.lower), "|"), F.lit(r")(?![\p{L}])")), F.lit(0)))
+    last = F.filter(last, lambda w: ~w.isin(ALSO_WORDS) & ~F.array_contains(plain, F.lower(w)))
     first = F.array_distinct(F.transform(F.filter(words, lambda w: F.size(w) > 1), lambda w: w[0]))
     given = F.when(F.size(first) > 0, F.concat(F.lit("(?:(?:"), F.array_join(first, "|"), F.lit(r")\x20)?"))).otherwise("")
     mention = F.concat(F.lit(rf"{ENTITY}|(?<![\p{{L}}\p{{N}}]){{0}}".replace("{0}", "")), given, F.lit("(?:"), F.array_join(last, "|"), F.lit(r")(?![\p{L}])"))
@@ -282,13 +296,14 @@ def with_surrogates(docs: DataFrame, key: str, *, id_col: str = "doc_id", text_c
     replaced; an empty table gives an empty result.
 
     A person is known by a title or by a given name of FIRST_NAMES; from then on the full name and
-    the family name are replaced wherever they stand in that text.
+    the family name are replaced wherever they stand in that text; a family name that is an everyday word (ALSO_WORDS), or that
+    stands in the text in lower case too, only behind a title or a given name.  A domain has at most 20 labels before its last.
     """
     docs = docs.drop(*[c for c in docs.columns if c.lower() in ("n_entities", "entity_kinds")])
     text, ents, row, parts = F.col(f"`{text_col}`"), free_name(docs, "entities"), free_name(docs, "row_key"), free_name(docs, "text_parts")
     found = F.regexp_extract_all(text, F.lit(ENTITY), F.lit(0))
     pattern = free_name(docs, "entity_pattern")
-    marked = docs.withColumn(ents, found).withColumn(pattern, F.when(F.size(ents) > 0, F.coalesce(search_pattern(F.col(ents)), F.lit(ENTITY))))
+    marked = docs.withColumn(ents, found).withColumn(pattern, F.when(F.size(ents) > 0, F.coalesce(search_pattern(F.col(ents), text), F.lit(ENTITY))))
     several = F.when(F.col(pattern) == ENTITY, F.col(ents)).otherwise(F.regexp_extract_all(text, F.col(pattern), F.lit(0)))
     marked = marked.withColumns({row: F.monotonically_increasing_id(), ents: F.when(F.col(pattern).isNotNull(), several), parts: F.when(F.col(pattern).isNotNull(), F.split(text, F.col(pattern), -1))}).drop(pattern)
     marked = written(marked)
