@@ -1,7 +1,6 @@
 import math
 import re
 
-import pytest
 from pyspark.sql import functions as F
 
 from seismark.llm import pii_surrogates as pii
@@ -77,24 +76,24 @@ def test_coreference(spark):
     assert re.fullmatch(r"(?!2001)\w{4}:\w{3}::\w at 00:11:22 with a::b", out[9]) and re.fullmatch(r"call (?!555-7713)\d{3}-\d{4} in 10-2000", out[10])
 
 
-@pytest.mark.parametrize(("text", "gone", "stay"), [
+AROUND = [
     ("I saw Mr Smith Monday. Monday was fine and Smith left.", ["Smith"], ["I saw Mr ", " Monday. Monday was fine and ", " left."]),
     ("Dr Will said so. Will you come?", ["Dr Will"], [" said so. Will you come?"]),
     ("Mr Paris went to Paris.", ["Mr Paris"], [" went to Paris."]),
     ("Mr Baker met a baker. Baker paid.", ["Mr Baker"], [" met a baker. Baker paid."]),
     ("Mr MacDonald and Mrs O'Brien left; MacDonald first.", ["MacDonald", "O'Brien"], [" left; ", " first."]),
     ("Anna Weber May come.", ["Anna", "Weber"], [" May come."]),
-])
-def test_words_around_names(spark, text, gone, stay):
-    out = pii.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first().text
-    assert not any(g in out for g in gone) and all(s in out for s in stay)
+]
+#: The repeating part of each pattern, many thousand times over.
+LONG = ["x@" + "a." * 60_000 + "com", "a-" * 30_000 + "@" + "b" * 30_000 + ".c" * 30_000, "1 " * 30_000 + "DE89 " + "Ab " * 30_000, "fe80:" * 20_000 + "Xweg" * 20_000]
 
 
-@pytest.mark.parametrize("text", ["x@" + "a." * 60_000 + "com", "a-" * 30_000 + "@" + "b" * 30_000 + ".c" * 30_000, "1 " * 30_000 + "DE89 " + "Ab " * 30_000, "fe80:" * 20_000 + "Xweg" * 20_000])
-def test_long_repeating_texts(spark, text):
-    """The repeating part of each pattern, many thousand times over: no match grows with the text."""
-    out = pii.with_surrogates(spark.createDataFrame([(1, text)], "doc_id long, text string"), "k").first()
-    assert len(out.text) >= len(text) // 2
+def test_words_around_names_and_long_texts(spark):
+    texts = [*(t for t, _, _ in AROUND), *LONG]
+    out = dict(pii.with_surrogates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), "k").select("doc_id", "text").collect())
+    for i, (_, gone, stay) in enumerate(AROUND):
+        assert not any(g in out[i] for g in gone) and all(s in out[i] for s in stay)
+    assert len(out) == len(texts) and all(len(out[i + len(AROUND)]) >= len(t) // 2 for i, t in enumerate(LONG))
 
 
 def test_distinct_and_coreferent(spark, monkeypatch):
