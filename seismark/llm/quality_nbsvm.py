@@ -1,7 +1,7 @@
 """Quality by naive Bayes support vectors.
 
 N-gram indicators are scaled by the log ratio of their smoothed counts in both classes, and a
-hinge-loss linear model is fitted on them by dual coordinate descent.  Margins become
+squared-hinge linear model is fitted on them by dual coordinate descent.  Margins become
 probabilities on a part of the sample that the fit hasn't seen.
 """
 
@@ -23,10 +23,11 @@ def log_count_ratios(sample: Sample, alpha: float = 1.0) -> np.ndarray:
     return np.log(up / up.sum()) - np.log(down / down.sum())
 
 
-def dual_coordinate_descent(sample: Sample, values: np.ndarray, *, cost: float = 1.0, passes: int = 12, seed: int = 7) -> np.ndarray:
+def dual_coordinate_descent(sample: Sample, values: np.ndarray, *, cost: float = 1.0, tolerance: float = 1e-3, passes: int = 1000, seed: int = 7) -> np.ndarray:
     """Weights, and at the end the bias, of an L2-regularised squared-hinge machine over rows of values at sample.columns.
 
-    One dual variable is set to its optimum at a time, in a new random order each pass.
+    One dual variable is set to its optimum at a time, in a new random order each pass, until no step of a pass exceeds the
+    tolerance; that takes some tens of passes, and without it after `passes` the fit is an error.
     """
     n, rng = len(sample), np.random.default_rng(seed)
     sign = np.where(sample.labels == 1, 1.0, -1.0)
@@ -48,9 +49,9 @@ def dual_coordinate_descent(sample: Sample, values: np.ndarray, *, cost: float =
                 weights[BUCKETS] += step
                 worst = max(worst, abs(step))
                 alpha[i] = new
-        if worst < 1e-3:
-            break
-    return weights
+        if worst < tolerance:
+            return weights
+    raise ValueError(f"no optimum after {passes} passes")
 
 
 def fit(sample: Sample, *, seed: int = 7) -> LinearScore:

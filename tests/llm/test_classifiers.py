@@ -88,7 +88,7 @@ def test_dual_coordinate_descent():
     """The optimum's gradient is zero: w is the sum of its dual variables' rows, and no step lowers the loss."""
     s = biased(120, 3)
     values = np.ones(len(s.columns)) * 0.3
-    w = quality_nbsvm.dual_coordinate_descent(s, values, passes=400)
+    w = quality_nbsvm.dual_coordinate_descent(s, values)
     sign, row = np.where(s.labels == 1, 1.0, -1.0), s.rows()
     share = np.array([(sign < 0).mean(), (sign > 0).mean()])[(sign > 0).astype(int)]
 
@@ -175,3 +175,13 @@ def test_text_ids(spark):
     labels = spark.createDataFrame([(f"d{i}", i % 2, i % 2) for i in range(80)], "doc_id string, quality int, toxic int")
     for f in (quality_nbsvm.quality_scores, toxicity.toxicity_scores):
         assert f(docs, labels).count() == 81
+
+
+def test_fit_goes_on_to_its_tolerance():
+    """At the query's own settings a tighter tolerance moves no weight by more than a little; too few passes are an error."""
+    s = biased(200, 5)
+    values = np.ones(len(s.columns)) * 0.3
+    loose, tight = (quality_nbsvm.dual_coordinate_descent(s, values, **o) for o in ({}, {"tolerance": 1e-9}))
+    assert np.abs(loose - tight).max() < 1e-2
+    with pytest.raises(ValueError):
+        quality_nbsvm.dual_coordinate_descent(s, values, tolerance=1e-9, passes=1)
