@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from seismark.functions.tables import small
 from seismark.operators.stats import median
 
 
@@ -92,10 +93,13 @@ def explain_terms(terms: DataFrame, stations: DataFrame, *, flag: float, least:
     terms has stationId, phase, term, nEvents; stations stationId, e, n, vpvs (the model's ratio at
     the sensor).  The first of lateral, path, vpvs, timing and far that the evidence fits, else unexplained.
     """
-    s = F.broadcast(stations.select("stationId", "e", "n", "vpvs"))  # a network's stations
+    s = small(stations.select("stationId", "e", "n", "vpvs"))
     t = terms.join(s, "stationId").withColumn("dist", F.hypot("e", "n"))
-    other = F.broadcast(t.where(F.col("nEvents") >= least).select(F.col("stationId").alias("o"), "phase", F.col("term").alias("ot"), F.col("e").alias("oe"), F.col("n").alias("on")))
-    near = t.where(F.abs("term") > flag).join(other, "phase").where("o <> stationId").withColumn("d", F.hypot(F.col("e") - F.col("oe"), F.col("n") - F.col("on"))).where(F.col("d") <= max_dist)
+    # Stations meet those of their own cell of max_dist metres and of the cells around it.
+    cell = lambda c: F.floor(F.col(c) / max_dist)
+    around = lambda c: F.explode(F.array(*[cell(c) + d for d in (-1, 0, 1)]))
+    other = t.where(F.col("nEvents") >= least).select(F.col("stationId").alias("o"), "phase", F.col("term").alias("ot"), F.col("e").alias("oe"), F.col("n").alias("on"), around("e").alias("ce")).select("*", around("on").alias("cn"))
+    near = t.where(F.abs("term") > flag).withColumns({"ce": cell("e"), "cn": cell("n")}).join(other, ["phase", "ce", "cn"]).where("o <> stationId").withColumn("d", F.hypot(F.col("e") - F.col("oe"), F.col("n") - F.col("on"))).where(F.col("d") <= max_dist)
     near = near.withColumn("_n", F.row_number().over(Window.partitionBy("stationId", "phase").orderBy("d", "o"))).where(F.col("_n") <= k).groupBy("stationId", "phase").agg(median("ot").alias("neighbourMedian"))
     both = terms.groupBy("stationId").agg(F.max(F.when(F.col("phase") == "P", F.col("term"))).alias("p"), F.max(F.when(F.col("phase") == "S", F.col("term"))).alias("s"))
     late = t.where((F.col("dist") > far) & (F.col("term") > flag) & (F.col("nEvents") >= least)).groupBy("phase").agg(F.collect_set("stationId").alias("late"))
