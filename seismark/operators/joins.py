@@ -206,7 +206,8 @@ def assign_one_to_one(pairs: DataFrame, local_pairs: int = LOCAL_PAIRS) -> DataF
     cost (0 or more), and maybe place, the public event's time, which cuts large parts into blocks.
     """
     place = F.col("place").cast("double") if "place" in pairs.columns else F.col("catalogId").cast("double")
-    pairs = materialised(pairs.select("catalogId", "eventId", "dtS", "distM", "cost", place.alias("place")))
+    from_0 = [F.when(F.col(c) < 0, F.raise_error(F.lit("ids from 0 are asked for"))).otherwise(F.col(c)).alias(c) for c in ("catalogId", "eventId")]
+    pairs = materialised(pairs.select(*from_0, "dtS", "distM", "cost", place.alias("place")))
     part = components(pairs.select((F.col("catalogId") * 2).alias("a"), (F.col("eventId") * 2 + 1).alias("b")))
     named = materialised(pairs.withColumn("id", F.col("catalogId") * 2).join(part, "id").drop("id"))
     large = materialised(named.groupBy("component").count().where(F.col("count") > local_pairs).select("component"))

@@ -561,3 +561,9 @@ def test_datum_check(spark):
     v = location.Volume((-3000.0, 3000.0), (-3000.0, 3000.0), (-3000.0, 500.0), (1000.0, 250.0, 50.0))
     rows = diagnostics.datum_check(points, stations, LAYERS, v, 8).collect()
     assert {r.eventId for r in rows} == {7, 8} and all(abs(r.dzM) <= 50 and r.dhM <= 50 for r in rows)
+
+
+def test_assignment_asks_for_ids_from_0(spark):
+    pairs = spark.createDataFrame([(-1, 2, 0.1, 10.0, 0.2)], "catalogId long, eventId long, dtS double, distM double, cost double")
+    with pytest.raises(Exception, match="ids from 0"):
+        joins.assign_one_to_one(pairs).collect()
