@@ -113,3 +113,21 @@ def explain_terms(terms: DataFrame, stations: DataFrame, *, flag: float, least:
         .when(F.col("spRatio").between(1 / band, band), "timing").when((F.col("term") < 0) & (F.col("dist") > far) & ~contradicted, "far").otherwise("unexplained")
     )
     return x.select("stationId", "phase", "term", "neighbourMedian", "spRatio", F.col("dist").alias("distanceM"), verdict.alias("verdict"))
+
+
+#: Integrations from what a sensor feels to displacement, by the unit of its response; fixed.
+TO_DISPLACEMENT = {"M": 0, "M/S": 1, "M/S**2": 2}
+
+
+def ground_responses(channels: DataFrame) -> DataFrame:
+    """channels with `gain` (counts per unit of ground motion, the factor of zeros and poles) and `integrations` to displacement.
+
+    channels is as `sources.files.read_stations` gives it.  Without zeros and poles the sensitivity is the
+    whole response; a unit that isn't ground motion gives null integrations.
+    """
+    unit = F.create_map(*[F.lit(x) for pair in TO_DISPLACEMENT.items() for x in pair])
+    none = F.expr("cast(array() as array<double>)")
+    return channels.withColumns({
+        "gain": F.col("sensitivity") * F.coalesce("norm", F.lit(1.0)), "integrations": unit[F.regexp_replace("unit", r"\^", "**")],
+        "zeros": F.coalesce("zeros", none), "poles": F.coalesce("poles", none),
+    })

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -62,23 +63,33 @@ def read_quakeml(spark: SparkSession, path: str) -> DataFrame:
 
 _CHANNEL = (
     "_code string, _locationCode string, _startDate string, _endDate string, Latitude double, Longitude double, Elevation double, Depth double, SampleRate double, "
-    "Response struct<InstrumentSensitivity:struct<Value:double,Frequency:double,InputUnits:struct<Name:string>>,Stage:array<struct<_number:int,StageGain:struct<Value:double>>>>"
+    "Response struct<InstrumentSensitivity:struct<Value:double,Frequency:double,InputUnits:struct<Name:string>>,Stage:array<struct<_number:int,PolesZeros:struct<PzTransferFunctionType:string,NormalizationFactor:double,Zero:array<struct<Real:double,Imaginary:double>>,Pole:array<struct<Real:double,Imaginary:double>>>,StageGain:struct<Value:double>>>>"
 )
 _NETWORK = f"_code string, Station array<struct<_code:string,Latitude:double,Longitude:double,Elevation:double,Channel:array<struct<{', '.join(f'{n}:{t}' for n, t in (c.split(' ', 1) for c in _CHANNEL.split(', ')))}>>>>"
 
 
 def read_stations(spark: SparkSession, path: str) -> DataFrame:
-    """One row for each channel epoch of a station file: codes, place, depth, rate, its days, and its response's sensitivity, unit and stages."""
+    """One row for each channel epoch of a station file: codes, place, depth, rate, its days, and its response: sensitivity, unit, gains of the stages, and zeros and poles of the first stage that has any.
+
+    zeros and poles are flat pairs of real and imaginary parts in radians a second, whatever the file
+    counts in, and norm is the factor that goes with them; all three are null for a channel without them.
+    """
     n = spark.read.format("xml").option("rowTag", "Network").schema(_NETWORK).load(path)
     s = n.select(F.col("_code").alias("network"), F.explode("Station").alias("s"))
     c = s.select("network", F.col("s._code").alias("station"), F.explode("s.Channel").alias("c"))
     day = lambda x: F.unix_micros(F.to_timestamp(F.concat(F.regexp_replace(x, "Z$", ""), F.lit("Z")))) / F.lit(1e6)
     sensitivity = F.col("c.Response.InstrumentSensitivity")
+    pz = F.col("pz")
+    turn = F.when(F.upper(pz["PzTransferFunctionType"]) == "LAPLACE (HERTZ)", 2 * math.pi).otherwise(1.0)
+    flat = lambda x: F.when(pz.isNotNull(), F.coalesce(F.flatten(F.transform(pz[x], lambda r: F.array(r["Real"] * turn, r["Imaginary"] * turn))), F.expr("cast(array() as array<double>)")))
+    more = F.coalesce(F.size(pz["Pole"]), F.lit(0)) - F.coalesce(F.size(pz["Zero"]), F.lit(0))
+    c = c.withColumn("pz", F.expr("get(filter(c.Response.Stage.PolesZeros, x -> x IS NOT NULL), 0)"))
     return c.select(
         "network", "station", F.coalesce("c._locationCode", F.lit("")).alias("location"), F.col("c._code").alias("channel"), F.substring("c._code", 1, 2).alias("code"), F.substring("c._code", 3, 1).alias("component"),
         F.col("c.Latitude").alias("latitude"), F.col("c.Longitude").alias("longitude"), F.col("c.Elevation").alias("elevM"), F.col("c.Depth").alias("depthM"), F.col("c.SampleRate").alias("rateHz"),
         day(F.col("c._startDate")).alias("start"), day(F.col("c._endDate")).alias("stop"),
         sensitivity["Value"].alias("sensitivity"), F.upper(sensitivity["InputUnits"]["Name"]).alias("unit"), F.transform("c.Response.Stage", lambda x: x["StageGain"]["Value"]).alias("gains"),
+        flat("Zero").alias("zeros"), flat("Pole").alias("poles"), (pz["NormalizationFactor"] * F.pow(turn, more)).alias("norm"),
     )
 
 

@@ -1,6 +1,10 @@
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from seismark.operators import inventory
 from seismark.sources import files, schemas
 
 QUAKEML = """<?xml version="1.0"?><q:quakeml xmlns:q="x"><eventParameters>
@@ -95,6 +99,22 @@ def test_stations(spark, tmp_path):
     assert (z.network, z.station, z.location, z.channel, z.code, z.component, z.depthM, z.rateHz, z.sensitivity, z.unit, z.gains) == ("FO", "A1", "01", "HHZ", "HH", "Z", 2.0, 100.0, 5e8, "M/S", [1200.0, 4e5])
     assert e.location == "" and e.stop is None and e.unit is None and z.start == 1704067200.0
     assert [r.channel for r in files.active_at(c, z.start, z.stop + 1).collect()] == ["HHE"]
+    assert z.zeros is None and z.norm is None
+
+
+@pytest.mark.parametrize("kind, turn", [("LAPLACE (RADIANS/SECOND)", 1.0), ("LAPLACE (HERTZ)", 2 * math.pi)])
+def test_zeros_and_poles(spark, tmp_path, kind, turn):
+    """In radians a second whatever the file counts in; with norm and sensitivity, the gain at the normal frequency is the sensitivity."""
+    roots = lambda name, values: "".join(f'<{name} number="{i}"><Real>{x.real / turn!r}</Real><Imaginary>{x.imag / turn!r}</Imaginary></{name}>' for i, x in enumerate(values))
+    zeros, poles, s = [0j, 0j], [-4.4 + 4.5j, -4.4 - 4.5j, -900 + 0j], 2j * math.pi * 5
+    norm = float(1 / abs(np.prod([(s - z) / turn for z in zeros]) / np.prod([(s - p) / turn for p in poles])))
+    stage = f'<Stage number="1"><PolesZeros><PzTransferFunctionType>{kind}</PzTransferFunctionType><NormalizationFactor>{norm!r}</NormalizationFactor>{roots("Zero", zeros)}{roots("Pole", poles)}</PolesZeros><StageGain><Value>1200</Value></StageGain></Stage>'
+    (tmp_path / "s.xml").write_text(STATIONS.replace('<Stage number="1"><StageGain><Value>1200</Value></StageGain></Stage>', stage))
+    z, e = sorted(inventory.ground_responses(files.read_stations(spark, str(tmp_path / "s.xml"))).collect(), key=lambda r: r.channel, reverse=True)
+    pairs = lambda v: [complex(*v[i : i + 2]) for i in range(0, len(v), 2)]
+    assert pairs(z.zeros) == pytest.approx(zeros) and pairs(z.poles) == pytest.approx(poles) and z.integrations == 1 and z.gains == [1200.0, 4e5]
+    assert abs(z.gain * np.prod([s - x for x in pairs(z.zeros)]) / np.prod([s - x for x in pairs(z.poles)])) == pytest.approx(5e8)
+    assert e.zeros == e.poles == [] and e.gain is None and e.integrations is None
 
 
 def test_commit_of_several_tables(spark, tmp_path):
