@@ -66,10 +66,39 @@ def counterfactuals(sample: Sample, terms: dict[str, list[str]], *, swaps: int =
     return np.concatenate(pairs), np.concatenate(columns), np.concatenate(signs)
 
 
-def fit(sample: Sample, *, terms: dict[str, list[str]] | None = None, weight: float = 5.0, l2: float = 1e-4, steps: int = 150, seed: int = 7) -> LinearScore:
+def least(loss, slope, curve, n: int, tolerance: float) -> np.ndarray:
+    """Where a convex loss is least: Newton's steps from 0, each solved by conjugate gradients, until the gradient is tolerance times as long as at first.
+
+    slope(z) is the gradient at z, and curve(z) gives the second derivatives' product with any vector.
+    """
+    z, value = np.zeros(n), loss(np.zeros(n))
+    g = slope(z)
+    first = size = np.linalg.norm(g)
+    while size > tolerance * first:
+        times, step, rest = curve(z), np.zeros(n), -g
+        way, left = rest, rest @ rest
+        goal = min(0.25, np.sqrt(size / first)) * size
+        while np.sqrt(left) > goal:
+            bent = times(way)
+            far = left / (way @ bent)
+            step, rest = step + far * way, rest - far * bent
+            left, before = rest @ rest, left
+            way = rest + left / before * way
+        share, gain = 1.0, g @ step
+        while (now := loss(z + share * step)) > value + 1e-4 * share * gain and share > 1e-8:
+            share /= 2
+        if now >= value:  # no step is seen to lower the loss: what is left is rounding
+            break
+        z, value = z + share * step, now
+        g = slope(z)
+        size = np.linalg.norm(g)
+    return z
+
+
+def fit(sample: Sample, *, terms: dict[str, list[str]] | None = None, weight: float = 5.0, l2: float = 1e-4, tolerance: float = 1e-4, seed: int = 7) -> LinearScore:
     """P(label = 1).  weight is what the mean squared change of the margin under swaps counts against the mean log loss.
 
-    With one class only, or no rows, the model is constant.
+    Newton's steps go on until the loss's gradient is tolerance times as long as at the start.  With one class only, or no rows, the model is constant.
     """
     if len(set(sample.labels.tolist())) < 2:
         share = (sample.labels.sum() + 1) / (len(sample) + 2)
@@ -97,19 +126,35 @@ def fit(sample: Sample, *, terms: dict[str, list[str]] | None = None, weight: fl
     share = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
     up, down = by_column((labels == 1).astype(float)) + 1, by_column((labels == 0).astype(float)) + 1
     size = np.abs(np.log(up / (labels.sum() + 2)) - np.log(down / ((1 - labels).sum() + 2)))
-    w, b = np.zeros(BUCKETS), 0.0
-    first, second = np.zeros(BUCKETS + 1), np.zeros(BUCKETS + 1)
-    for t in range(1, steps + 1):
-        margin = by_row((w * size)[columns]) * scale + b
-        error = (sigmoid(margin) - labels) * share
-        g = by_column(error * scale) * size + l2 * w
+    swapped = size[column] * sign
+
+    def margins(z: np.ndarray) -> np.ndarray:
+        return by_row((z[:-1] * size)[columns]) * scale + z[-1]
+
+    def changes(z: np.ndarray) -> np.ndarray:
+        return np.bincount(pair, weights=z[column] * swapped, minlength=n_pairs)
+
+    def back(of_rows: np.ndarray, of_pairs: np.ndarray, z: np.ndarray) -> np.ndarray:
+        """Derivatives by z, from those by each row's margin and each swap's change."""
+        g = by_column(of_rows * scale) * size + l2 * z[:-1]
         if n_pairs:
-            change = np.bincount(pair, weights=(w * size)[column] * sign, minlength=n_pairs)
-            g += np.bincount(column, weights=2 * weight / n_pairs * change[pair] * sign, minlength=BUCKETS) * size
-        g = np.append(g, error.sum())
-        first, second = 0.9 * first + 0.1 * g, 0.99 * second + 0.01 * g * g
-        step = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.99**t)) + 1e-9)
-        w, b = w - step[:-1], b - step[-1]
+            g += np.bincount(column, weights=2 * weight / n_pairs * of_pairs[pair] * swapped, minlength=BUCKETS)
+        return np.append(g, of_rows.sum())
+
+    def loss(z: np.ndarray) -> float:
+        m = margins(z)
+        logs = np.logaddexp(0, m) - labels * m
+        return float(share @ logs + l2 / 2 * (z[:-1] @ z[:-1]) + (weight * np.mean(changes(z) ** 2) if n_pairs else 0.0))
+
+    def slope(z: np.ndarray) -> np.ndarray:
+        return back((sigmoid(margins(z)) - labels) * share, changes(z), z)
+
+    def curve(z: np.ndarray):
+        p = sigmoid(margins(z))
+        return lambda v: back(p * (1 - p) * share * margins(v), changes(v), v)
+
+    z = least(loss, slope, curve, BUCKETS + 1, tolerance)
+    w, b = z[:-1], z[-1]
     weights = w * size
     model = LinearScore(weights, float(b))
     check = sample.take(unseen) if unseen.any() else learn

@@ -78,6 +78,42 @@ def test_swaps_lower_the_bias():
     assert gaps[1] < 0.3 * gaps[0] and scores[1] > 0.5
 
 
+def test_toxicity_fit_reaches_the_least_loss():
+    """At the query's own settings: the slope of the loss, written out over dense rows, is gone, and no step from there lowers it."""
+    s = biased(200, 4)
+    unseen = np.random.default_rng(7).random(len(s)) < 0.25
+    learn = s.take(~unseen)
+    pair, column, sign = toxicity.counterfactuals(learn, toxicity.IDENTITY_TERMS)
+    used = np.unique(np.concatenate([learn.columns, column]))
+    at = {c: i for i, c in enumerate(used.tolist())}
+    x, swaps = np.zeros((len(learn), len(used))), np.zeros((pair.max() + 1, len(used)))
+    for i in range(len(learn)):
+        own = learn.columns[learn.offsets[i] : learn.offsets[i + 1]]
+        x[i, [at[c] for c in own.tolist()]] = 1
+    for k, c, v in zip(pair, column.tolist(), sign):
+        swaps[k, at[c]] += v
+    y = learn.labels
+    size = np.abs(np.log((x[y == 1].sum(0) + 1) / (y.sum() + 2)) - np.log((x[y == 0].sum(0) + 1) / ((1 - y).sum() + 2)))
+    x, swaps = x * size / np.sqrt(x.sum(1, keepdims=True)), swaps * size
+    share = np.where(y == 1, 0.5 / y.sum(), 0.5 / (1 - y).sum())
+
+    def loss(w, b):
+        m = x @ w + b
+        return share @ np.log1p(np.exp(np.where(y == 1, -m, m))) + 5e-5 * w @ w + 5 * np.mean((swaps @ w) ** 2)
+
+    def slope(w, b):
+        e = (1 / (1 + np.exp(-(x @ w + b))) - y) * share
+        return np.linalg.norm(np.append(x.T @ e + 1e-4 * w + 10 / len(swaps) * swaps.T @ (swaps @ w), e.sum()))
+
+    m = toxicity.fit(s)
+    live = size > 0
+    w, b = np.where(live, m.weights[used] / np.where(live, size, 1), 0), m.bias
+    assert slope(w, b) <= 1.01e-4 * slope(0 * w, 0.0)
+    rng = np.random.default_rng(0)
+    for _ in range(30):
+        assert loss(w, b) <= loss(w + rng.normal(size=len(w)) * 1e-2, b + rng.normal() * 1e-2)
+
+
 def test_swaps_are_of_one_kind():
     s = sample(["old muslims word", "word"], [1, 0])
     pair, column, sign = toxicity.counterfactuals(s, toxicity.IDENTITY_TERMS)
