@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from decimal import Decimal
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from seismark.functions.graphs import components
-from seismark.functions.tables import materialised, small
+from seismark.functions.tables import materialised, ranked, small
 
 
 def band_join(left: DataFrame, right: DataFrame, left_t: str, right_t: str, width: float, on: list[str] = ()) -> DataFrame:
@@ -94,6 +95,11 @@ def sparse_assignment(near: list[list[tuple[int, int]]], n_columns: int, alone:
 LOCAL_PAIRS = 250_000
 #: Pairs of a block of the auction, on average.
 BLOCK_PAIRS = 50_000
+#: Costs are whole numbers of this part, in a task as in an auction.
+COST_UNITS = 10**9
+#: By how much an auction's step falls from phase to phase.
+FALL = 8
+_PRICE = "decimal(38,0)"
 _PAIRS = "catalogId long, eventId long, dtS double, distM double, cost double"
 
 
@@ -102,7 +108,7 @@ def _assign(pairs: pd.DataFrame) -> pd.DataFrame:
     pairs = pairs.sort_values(["catalogId", "eventId"])
     row, _ = pd.factorize(pairs.catalogId)
     column, names = pd.factorize(pairs.eventId)
-    cost = np.rint(pairs.cost.to_numpy() * 1e9).astype(np.int64)
+    cost = np.rint(pairs.cost.to_numpy() * COST_UNITS).astype(np.int64)
     near: list[list[tuple[int, int]]] = [[] for _ in range(row.max() + 1)]
     for i, j, c in zip(row.tolist(), column.tolist(), cost.tolist()):
         near[i].append((j, c))
@@ -117,7 +123,7 @@ def _bids(step: int):
         offers: dict[int, list[tuple[int, int]]] = {}
         price: dict[int, int] = {}
         holder: dict[int, int] = {}
-        for x, y, cost, p, own in zip(rows.x.tolist(), rows.y.tolist(), rows.c.tolist(), rows.price.tolist(), rows.own.tolist()):
+        for x, y, cost, p, own in zip(rows.x.tolist(), rows.y.tolist(), map(int, rows.c), map(int, rows.price), rows.own.tolist()):
             offers.setdefault(x, []).append((y, cost))
             price[y] = p
             if own:
@@ -139,48 +145,47 @@ def _bids(step: int):
             if y in holder and holder[y] in offers:
                 waiting.append(holder[y])
             holder[y] = x
-        return pd.DataFrame([(y, price[y], holder[y]) for y in sorted(changed)], columns=["y", "price", "x"])
+        return pd.DataFrame([(y, Decimal(price[y]), holder[y]) for y in sorted(changed)], columns=["y", "price", "x"])
 
     return run
 
 
-def auction(pairs: DataFrame, block_pairs: int = BLOCK_PAIRS, scale: float = 1e6) -> DataFrame:
+def auction(pairs: DataFrame, block_pairs: int = BLOCK_PAIRS, scale: float = COST_UNITS, fall: int = FALL) -> DataFrame:
     """(catalogId, eventId) of one of the best one-to-one sets, by auctions in blocks of time; for components of any size.
 
     Every event of both sides is a person and a thing; a pair links the one's person with the other's
     thing both ways, and staying alone is taking one's own.  All persons then hold a thing, and a
-    fall of the bids' step by a factor of 8 a phase keeps bidding short.  In a round, each block bids
+    fall of the bids' step by a factor a phase keeps bidding short.  In a round, each block bids
     for itself until its own persons hold something, at prices that may be too low by now; of several
     blocks that raised a price the highest stays, and whoever lost bids again in the next round, in
     blocks cut half-way between.  Prices only rise, so that whoever still holds a thing is content
     within the last step, and with integer costs times the number of persons a step of 1 makes the
     result optimal.
 
-    pairs has catalogId, eventId, dtS, cost and place, the public event's time: blocks are quantiles
-    of it.  Costs are rounded to 1 / scale, or coarser beyond some 100,000 events.
+    pairs has catalogId, eventId, cost and place, the public event's time: blocks are stretches of
+    block_pairs pairs in the order of it and of the ids.  Costs are rounded to 1 / scale, as in a task, at any
+    size: prices are whole numbers of 38 digits, which some 10^9 events of costs near 1 fill; more are refused.
     """
-    pairs = materialised(pairs.select("catalogId", "eventId", "dtS", "cost", "place"))
+    pairs = materialised(pairs.select("catalogId", "eventId", "cost", "place"))
     n, left, right, most = pairs.agg(F.count(F.lit(1)), F.countDistinct("catalogId"), F.countDistinct("eventId"), F.max("cost")).first()
     if not n:
         return pairs.select("catalogId", "eventId")
     people = left + right + 1
-    scale = min(scale, 2.0**58 / (people * people * (most + 1)))
     alone = (min(left, right) + 1) * (int(most * scale) + 2) * people
-    k = 2 * -(-n // block_pairs)
-    cuts = pairs.approxQuantile("place", [i / k for i in range(1, k)], 0.1 / k) if k > 2 else []
-    block = lambda t, own: F.size(F.filter(F.array(*map(F.lit, own)), lambda c: c <= t)) if own else F.lit(0)
-    a, b, c = F.col("catalogId") * 2, F.col("eventId") * 2 + 1, F.rint(F.col("cost") * scale).cast("long") * people
-    homes = lambda t: [block(t, cuts[1::2]).alias("even"), block(t, cuts[::2]).alias("odd")]
-    two = F.array(F.struct(*homes(F.col("place")), a.alias("x"), b.alias("y"), c.alias("c")), F.struct(*homes(F.col("place") + F.col("dtS")), b.alias("x"), a.alias("y"), c.alias("c")))
-    edges = materialised(pairs.select(F.inline(two)))
-    # Rounding may put an event's own time on both sides of a cut: the lower block takes all its pairs.
-    home = materialised(edges.groupBy("x").agg(F.min("even").alias("even"), F.min("odd").alias("odd")))
-    edges = edges.select("x", "y", "c").unionByName(home.select("x", F.col("x").alias("y"), F.lit(alone).cast("long").alias("c"))).join(home, "x")
-    edges = materialised(edges)
-    state = materialised(home.select(F.col("x").alias("y"), F.lit(0).cast("long").alias("price"), F.lit(None).cast("long").alias("holder")))
+    if alone * people >= 10**38:
+        raise ValueError(f"prices of {people} events and costs of {most} don't fit 38 digits")
+    whole = lambda x: F.lit(Decimal(x)).cast(_PRICE)
+    at = ranked(pairs, "place", "catalogId", "eventId", name="at")
+    a, b, c = F.col("catalogId") * 2, F.col("eventId") * 2 + 1, (F.rint(F.col("cost") * F.lit(float(scale))).cast("decimal(19,0)") * F.lit(Decimal(people))).cast(_PRICE)
+    edges = materialised(at.select(F.inline(F.array(F.struct("at", a.alias("x"), b.alias("y"), c.alias("c")), F.struct("at", b.alias("x"), a.alias("y"), c.alias("c"))))))
+    shift = block_pairs // 2 if n > block_pairs else 0
+    block = lambda more: F.floor((F.min("at") - 1 + more) / block_pairs)
+    home = materialised(edges.groupBy("x").agg(block(0).alias("even"), block(shift).alias("odd")))
+    edges = materialised(edges.select("x", "y", "c").unionByName(home.select("x", F.col("x").alias("y"), whole(alone).alias("c"))).join(home, "x"))
+    state = materialised(home.select(F.col("x").alias("y"), whole(0).alias("price"), F.lit(None).cast("long").alias("holder")))
     step, turn = alone // 4, 0
     while True:
-        step = max(1, step // 8)
+        step = max(1, step // fall)
         state = state.withColumn("holder", F.lit(None).cast("long"))
         while True:
             turn += 1
@@ -189,7 +194,7 @@ def auction(pairs: DataFrame, block_pairs: int = BLOCK_PAIRS, scale: float = 1e6
             if free.isEmpty():
                 break
             rows = edges.join(free, layout, "left_semi").join(state, "y").select(layout, "x", "y", "c", "price", F.coalesce(F.col("holder") == F.col("x"), F.lit(False)).alias("own"))
-            made = rows.groupBy(layout).applyInPandas(_bids(step), "y long, price long, x long").groupBy("y").agg(F.max(F.struct("price", "x")).alias("bid"))
+            made = rows.groupBy(layout).applyInPandas(_bids(step), f"y long, price {_PRICE}, x long").groupBy("y").agg(F.max(F.struct("price", "x")).alias("bid"))
             state = materialised(state.join(made, "y", "left").select("y", F.coalesce("bid.price", "price").alias("price"), F.coalesce("bid.x", "holder").alias("holder")))
         if step == 1:
             break

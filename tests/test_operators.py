@@ -85,6 +85,19 @@ def test_assignment_by_auction(spark):
     assert joins.auction(df.limit(0)).count() == 0
 
 
+def test_auction_counts_every_digit(spark):
+    """Costs that differ in the ninth place decide in blocks as they do in a task, also where all times are one."""
+    rng = np.random.default_rng(5)
+    rows = [(i, j, 0.0, 0.0, 0.5 + float(rng.integers(1, 90)) * 1e-9, 7.0) for i in range(6) for j in range(6) if abs(i - j) < 2]
+    df = spark.createDataFrame(rows, "catalogId long, eventId long, dtS double, distM double, cost double, place double")
+    local = joins.assign_one_to_one(df).toPandas()
+    won = joins.auction(df, block_pairs=10).toPandas().merge(pd.DataFrame(rows, columns=df.columns))
+    units = lambda t: int(np.rint(t.cost * 1e9).sum())
+    assert won.catalogId.is_unique and won.eventId.is_unique and (len(won), units(won)) == (len(local), units(local))
+    with pytest.raises(ValueError):
+        joins.auction(df.withColumn("cost", F.lit(1e28)))
+
+
 def test_band_join_is_complete(spark):
     rng = np.random.default_rng(1)
     a, b = rng.uniform(-50, 50, 80).round(1), rng.uniform(-50, 50, 80).round(1)
