@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import heapq
+import math
 from decimal import Decimal
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -44,6 +46,43 @@ def lowest_cost(pairs: DataFrame) -> DataFrame:
     return pairs.withColumn("_n", F.row_number().over(w)).where("_n = 1").drop("_n")
 
 
+#: Located events of a cell, on average, when cheapest_pairs starts.
+CELL_EVENTS = 1.0
+
+
+def cheapest_pairs(located: DataFrame, public: DataFrame, max_dt: float, max_dist: float) -> DataFrame:
+    """`lowest_cost` of the pairs within both limits, with costs scaled by them, without making all pairs.
+
+    A public event meets the located ones of its cell of time and place and of the cells around.  Whoever
+    is as cheap as a cell is wide, in parts of the limits, can't be beaten from outside; only pairs up to that cost are kept, and the rest
+    goes on with cells twice as wide, at last with the limits themselves.  So dense tables make no more pairs an event than sparse ones.
+    """
+    l = materialised(located.select("eventId", F.col("t").alias("lt"), F.col("e").alias("le"), F.col("n").alias("ln")).dropna())  # noqa: E741
+    left = materialised(public.select("catalogId", F.col("t").alias("pt"), F.col("e").alias("pe"), F.col("n").alias("pn")))
+    box = l.agg(F.count(F.lit(1)).alias("m"), *[(F.max(c) - F.min(c)).alias(c) for c in ("lt", "le", "ln")]).first()
+    cells = math.prod(max(1.0, (x or 0.0) / y) for x, y in ((box.lt, max_dt), (box.le, max_dist), (box.ln, max_dist)))
+    share = min(1.0, (CELL_EVENTS * cells / max(box.m, 1)) ** (1 / 3))
+    around = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j"), F.lit(k).alias("k")) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)])
+    parts = []
+    while True:
+        last = share >= 1
+        cell = lambda t, e, n: [F.floor(F.col(t) / (max_dt * share)).alias("_i"), F.floor(F.col(e) / (max_dist * share)).alias("_j"), F.floor(F.col(n) / (max_dist * share)).alias("_k")]
+        here = left.select("*", *cell("pt", "pe", "pn")).withColumn("_d", F.explode(around)).withColumns({f"_{x}": F.col(f"_{x}") + F.col(f"_d.{x}") for x in "ijk"}).drop("_d")
+        pairs = here.hint("merge").join(small(l.select("*", *cell("lt", "le", "ln"))), ["_i", "_j", "_k"]).where(F.abs(F.col("lt") - F.col("pt")) <= max_dt)
+        pairs = with_cost(pairs.select("catalogId", "eventId", (F.col("lt") - F.col("pt")).alias("dtS"), F.hypot(F.col("le") - F.col("pe"), F.col("ln") - F.col("pn")).alias("distM")).where(F.col("distM") <= max_dist), max_dt, max_dist)
+        if not last:
+            pairs = pairs.where(F.col("cost") <= share * (1 - 1e-9))
+        done = materialised(lowest_cost(pairs))
+        parts.append(done)
+        if last:
+            break
+        left = materialised(left.join(done.select("catalogId"), "catalogId", "left_anti"))
+        if left.isEmpty():
+            break
+        share = min(1.0, share * 2)
+    return reduce(DataFrame.unionByName, parts)
+
+
 def sparse_assignment(near: list[list[tuple[int, int]]], n_columns: int, alone: int) -> list[int]:
     """The column of each row, or -1, in a set of most pairs and then the least total cost.
 

@@ -172,6 +172,10 @@ def _pairs(spark, d):
     return joins.with_cost(joins.pair_offsets(A.located(spark, d), A.catalog(spark, d), 1800.0, 6000.0), 1800.0, 6000.0)
 
 
+def _cheapest(spark, d):
+    return joins.cheapest_pairs(A.located(spark, d), A.catalog(spark, d), 1800.0, 6000.0)
+
+
 @query("q17_catalog_offsets", with_tables(PAIRS + " SELECT catalogId, eventId, round(dtS, 6) AS dtS, round(distM, 3) AS distM FROM pairs"))
 def q17(spark, d):
     return rounded(rounded(_pairs(spark, d).drop("cost"), "dtS"), "distM", places=3)
@@ -179,7 +183,7 @@ def q17(spark, d):
 
 @query("q18_lowest_cost", with_tables(PAIRS + ", r AS (SELECT *, row_number() OVER (PARTITION BY catalogId ORDER BY cost, eventId) AS k FROM pairs) SELECT catalogId, eventId, round(cost, 6) AS cost FROM r WHERE k = 1"))
 def q18(spark, d):
-    return rounded(joins.lowest_cost(_pairs(spark, d)).select("catalogId", "eventId", "cost"), "cost")
+    return rounded(_cheapest(spark, d).select("catalogId", "eventId", "cost"), "cost")
 
 
 @query("q19_sensitivity", with_tables(PAIRS + """ SELECT maxDt, maxDist, count(*) AS admissible, count(DISTINCT catalogId) AS public FROM pairs JOIN (VALUES (600.0::DOUBLE, 3000.0::DOUBLE), (900, 6000), (1800, 2000), (1800, 6000)) v(maxDt, maxDist)
