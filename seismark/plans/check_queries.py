@@ -8,7 +8,7 @@ from seismark.functions.tables import small
 from seismark.operators import checks, intervals, joins, location, reports, stats, tiers
 from seismark.plans import adapters as A
 from seismark.plans.adapters import T0, with_tables
-from seismark.plans.event_queries import BARS, PAIRS, SELECTED, TIERED, _pairs, _selected, _tiered, rounded
+from seismark.plans.event_queries import BARS, PAIRS, SELECTED, TIERED, _cheapest, _selected, _tiered, rounded
 from seismark.plans.model_queries import MISFITS, _arrivals, _misfits, _nodes, _times
 from seismark.plans.registry import query
 
@@ -41,7 +41,7 @@ CHOSEN = PAIRS + ", m AS (SELECT catalogId, arg_min(eventId, (cost, eventId)) AS
 
 
 def _chosen(spark, d):
-    return joins.lowest_cost(_pairs(spark, d))
+    return _cheapest(spark, d)
 
 
 @query("q96_matches_current", with_tables(CHOSEN + """, j AS (SELECT p.dtS, p.distM, l.t - c.t AS dt2, sqrt((l.e - c.e)**2 + (l.n - c.n)**2) + CASE WHEN c.catalogId % 5 = 0 THEN 10 ELSE 0 END AS d2 FROM m JOIN pairs p USING (catalogId, eventId) JOIN located l ON l.eventId = m.eventId JOIN catalog c ON c.catalogId = m.catalogId)
