@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from seismark.functions.tables import small
-from seismark.operators import checks, intervals, joins, location, reports, stats, tiers
+from seismark.operators import checks, intervals, location, reports, stats, tiers
 from seismark.plans import adapters as A
 from seismark.plans.adapters import T0, with_tables
 from seismark.plans.event_queries import BARS, PAIRS, SELECTED, TIERED, _cheapest, _selected, _tiered, rounded
