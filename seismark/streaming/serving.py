@@ -30,6 +30,21 @@ def _ms(t: datetime | None) -> int | None:
     return round(t.timestamp() * 1000)
 
 
+@dataclass
+class _Feed:
+    """A feed's state while its rows are handled; runs are (runId, nEvents, at), timers what was registered before."""
+
+    alive: bool
+    silent_at: int | None
+    stale_at: int | None
+    attempts: int
+    failures: int
+    latest: tuple
+    snapshot: tuple
+    past: list[str]
+    timers: tuple
+
+
 @dataclass
 class Serving(StatefulProcessor):
     """history: newest attempts kept.  stale, silent, slow: seconds.  empty: whether windows without events become snapshots."""
@@ -48,67 +63,79 @@ class Serving(StatefulProcessor):
         self.feed = handle.getValueState("feed", "alive boolean, silentAt long, staleAt long, attempts long, failures long")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        """Rows in order of time; for each the changes that time brought before it, and what is served from then on."""
-        for r in sorted(rows, key=lambda r: (_ms(r.at), r.kind, r.runId or "")):
-            at = _ms(r.at)
-            yield from self._passed(key, at)
-            alive, silent_at, stale_at, attempts, failures = self._feed()
-            latency = slow = None
-            if r.kind == "heartbeat":
-                alive = r.outcome == "ok"
-                silent_at = at + round(self.silent * 1000) + 1 if alive else None
+        """Rows in order of time; for each the changes that time brought before it, and what is served from then on.
+
+        State is read once and written once for all of a key's rows.
+        """
+        f = self._read()
+        short = [(_ms(r.at), r.kind, r.runId or "", r.runId, r.outcome, r.nEvents or 0, self._latency(r) if r.kind != "heartbeat" and r.outcome in GOOD else None) for r in rows]
+        short.sort(key=lambda r: r[:3])
+        for at, kind, _, run_id, outcome, n, latency in short:
+            yield from self._passed(f, key, at)
+            slow = None
+            if kind == "heartbeat":
+                f.alive = outcome == "ok"
+                f.silent_at = at + round(self.silent * 1000) + 1 if f.alive else None
             else:
-                attempts += 1
-                good = r.outcome in GOOD
-                failures += not good
-                before = list(self.past.get()) if self.past.exists() else []
-                self.past.put([(f"{r.runId}:{r.outcome}",), *before][: self.history])
-                if good:
-                    if r.runtimeS is not None and r.startedAt is not None and r.windowEnd is not None:
-                        latency = r.runtimeS + (_ms(r.startedAt) - _ms(r.windowEnd)) / 1000
-                        slow = latency > self.slow
-                    run = (r.runId, r.nEvents or 0, at)
-                    self.latest.update(run)
-                    stale_at = at + round(self.stale * 1000) + 1
-                    if run[1] or self.empty:
-                        self.snapshot.update(run)
-            self._remember(alive, silent_at, stale_at, attempts, failures)
-            yield self._row(key, at, r.kind, latency, slow)
+                f.attempts += 1
+                f.past = [f"{run_id}:{outcome}", *f.past][: self.history]
+                if outcome in GOOD:
+                    slow = latency > self.slow if latency is not None else None
+                    f.latest = (run_id, n, at)
+                    f.stale_at = at + round(self.stale * 1000) + 1
+                    if n or self.empty:
+                        f.snapshot = f.latest
+                else:
+                    f.failures += 1
+            yield self._row(f, key, at, kind, latency, slow)
+        self._write(f)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        yield from self._passed(key, expiredTimerInfo.getExpiryTimeInMs() + 1)
+        f = self._read()
+        yield from self._passed(f, key, expiredTimerInfo.getExpiryTimeInMs() + 1)
+        self._write(f)
 
     def close(self) -> None:
         pass
 
-    def _feed(self) -> tuple:
-        return self.feed.get() if self.feed.exists() else (True, None, None, 0, 0)
+    @staticmethod
+    def _latency(r: Row) -> float | None:
+        if r.runtimeS is None or r.startedAt is None or r.windowEnd is None:
+            return None
+        return r.runtimeS + (_ms(r.startedAt) - _ms(r.windowEnd)) / 1000
 
-    def _remember(self, alive, silent_at, stale_at, attempts, failures) -> None:
-        before = self._feed()
-        self.feed.update((alive, silent_at, stale_at, attempts, failures))
-        for old, new in ((before[1], silent_at), (before[2], stale_at)):
+    def _read(self) -> _Feed:
+        alive, silent_at, stale_at, attempts, failures = self.feed.get() if self.feed.exists() else (True, None, None, 0, 0)
+        run = lambda state: tuple(state.get()) if state.exists() else (None, None, None)
+        past = [x[0] for x in self.past.get()] if self.past.exists() else []
+        return _Feed(alive, silent_at, stale_at, attempts, failures, run(self.latest), run(self.snapshot), past, (silent_at, stale_at))
+
+    def _write(self, f: _Feed) -> None:
+        self.feed.update((f.alive, f.silent_at, f.stale_at, f.attempts, f.failures))
+        for state, run in ((self.latest, f.latest), (self.snapshot, f.snapshot)):
+            if run[2] is not None:
+                state.update(run)
+        if f.past:
+            self.past.put([(line,) for line in f.past])
+        for old, new in zip(f.timers, (f.silent_at, f.stale_at)):
             if new is not None and new != old:
                 self.handle.registerTimer(new)  # one that is no longer due finds nothing to change
 
-    def _passed(self, key, until: int) -> Iterator[Row]:
+    def _passed(self, f: _Feed, key, until: int) -> Iterator[Row]:
         """A silent feed and a stale window before an instant, each once and at its own time."""
-        alive, silent_at, stale_at, attempts, failures = self._feed()
-        for at, why in sorted((t, w) for t, w in ((silent_at, "silent"), (stale_at, "stale")) if t is not None and t < until):
+        if (f.silent_at is None or f.silent_at >= until) and (f.stale_at is None or f.stale_at >= until):
+            return
+        for at, why in sorted((t, w) for t, w in ((f.silent_at, "silent"), (f.stale_at, "stale")) if t is not None and t < until):
             if why == "silent":
-                alive, silent_at = False, None
+                f.alive, f.silent_at = False, None
             else:
-                stale_at = None
-            self.feed.update((alive, silent_at, stale_at, attempts, failures))
-            yield self._row(key, at, why, None, None)
-
-    def _row(self, key, at: int, why: str, latency, slow) -> Row:
-        alive, _, _, attempts, failures = self._feed()
-        state = self.latest if alive else self.snapshot
-        run = state.get() if state.exists() else (None, None, None)
+                f.stale_at = None
+            yield self._row(f, key, at, why, None, None)
+
+    def _row(self, f: _Feed, key, at: int, why: str, latency, slow) -> Row:
+        run = f.latest if f.alive else f.snapshot
         stale = run[2] is None or at - run[2] > self.stale * 1000
-        past = [x[0] for x in self.past.get()] if self.past.exists() else []
-        return Row(feed=key[0], at=datetime.fromtimestamp(at / 1000, timezone.utc), why=why, source="live" if alive else "snapshot", runId=run[0], nEvents=run[1], latencyS=latency, slow=slow, stale=stale, attempts=attempts, failures=failures, history=past)
+        return Row(feed=key[0], at=datetime.fromtimestamp(at / 1000, timezone.utc), why=why, source="live" if f.alive else "snapshot", runId=run[0], nEvents=run[1], latencyS=latency, slow=slow, stale=stale, attempts=f.attempts, failures=f.failures, history=list(f.past))
 
 
 def served(attempts: DataFrame, serving: Serving, late: str = "10 seconds") -> DataFrame:
