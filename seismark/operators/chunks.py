@@ -73,10 +73,12 @@ def filtered(x: np.ndarray, first: int, phase: float, rate: float, m: np.ndarray
     table = kernel((taps[None, :] - (rest - np.floor(rest))[:, None]) / rate, p)
     table = table / (rate if p.low else table.sum(axis=1, keepdims=True))  # without a lower edge a constant stays one
     wide = np.concatenate([np.zeros(2 * half + 2), x, np.zeros(2 * half + 2)])
-    start = base - first + 2 * half + 2
+    start = base - first + half + 2
+    within = start.min(initial=0) >= 0 and start.max(initial=0) + 2 * half < len(wide)
+    columns = np.ascontiguousarray(table.T)
     out = np.zeros(len(m))
-    for j, k in enumerate(taps):
-        out += table[row, j] * wide[np.clip(start + k, 0, len(wide) - 1)]
+    for j, column in enumerate(columns):
+        out += column[row] * wide[start + j if within else np.clip(start + j, 0, len(wide) - 1)]
     return out
 
 

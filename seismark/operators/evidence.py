@@ -102,7 +102,9 @@ def snippets(arrivals: DataFrame, pieces: DataFrame, d: Display) -> DataFrame:
     station stands once in arrivals.
     """
     of_pieces = materialised(with_runs(pieces, d.signal.misaligned).withColumn("_piece", F.monotonically_increasing_id()))
-    met = materialised(windows_and_pieces(arrivals, of_pieces, d))
+    # A snippet depends on its station and time alone: arrivals that share both share it, under a number of its own.
+    asked = materialised(arrivals.where("predP IS NOT NULL").select("stationId", "predP").distinct().withColumn("eventId", F.monotonically_increasing_id()))
+    met = materialised(windows_and_pieces(asked, of_pieces, d))
     mine = met.join(chosen_channel(met, d.priority), ["eventId", "stationId", "channel"])
     s = mine.join(of_pieces.select("_piece", "run", "i0", "n", "phase", "rate", "samples"), "_piece")
     edge = lambda t: t * F.col("rate") - F.col("phase") - F.col("i0")
@@ -111,9 +113,14 @@ def snippets(arrivals: DataFrame, pieces: DataFrame, d: Display) -> DataFrame:
     s = s.withColumns({"_low": low, "_high": high}).where("_high > _low")
     part = F.slice("samples", (F.col("_low") + 1).cast("int"), (F.col("_high") - F.col("_low")).cast("int")).cast("array<double>")
     s = s.select("eventId", "stationId", "predP", "channel", "run", "phase", "rate", (F.col("i0") + F.col("_low")).alias("from"), part.alias("part"))
-    kinds = ", ".join(f"{c} {arrivals.schema[c].dataType.simpleString()}" for c in ("eventId", "stationId"))
-    made = s.groupBy("eventId", "stationId").applyInArrow(_snippet(d), f"{kinds}, {SNIPPETS}")
-    return arrivals.join(made, ["eventId", "stationId"], "left").withColumn("status", F.coalesce("status", F.lit("no_data")))
+    station = arrivals.schema["stationId"].dataType.simpleString()
+    # A number of its own keeps few bytes from being put together in one task: the work is in the filter.
+    parts = int(arrivals.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    made = s.repartition(parts, "eventId", "stationId").groupBy("eventId", "stationId").applyInArrow(_snippet(d), f"eventId long, stationId {station}, {SNIPPETS}")
+    made = materialised(asked.join(made.drop("stationId"), "eventId").drop("eventId"))
+    rest = [c for c in arrivals.columns if c not in ("eventId", "stationId")]
+    out = arrivals.join(made, ["stationId", "predP"], "left").withColumn("status", F.coalesce("status", F.lit("no_data")))
+    return out.select("eventId", "stationId", *rest, "status", "channel", "t0", "dt", "samples")
 
 
 def evidence_files(kept: DataFrame, max_traces: int, max_bytes: int, fields: list[str]) -> DataFrame:
