@@ -178,30 +178,40 @@ def short_runs(pieces: DataFrame, p: Preparation) -> DataFrame:
     return r.where(seconds < p.least).select(*CHANNEL, (F.col("run") / F.col("rate")).alias("start"), seconds.alias("seconds"))
 
 
+#: Windows of as many buckets as hold about so many go through Python at once.
+PART_WINDOWS = 100_000
+
+
 def _next_windows(span: float):
-    def of_bucket(key: tuple, rows: pa.Table) -> pa.Table:
-        """For each window of the bucket the first later one, by order of start, that its group can't take in."""
-        r = rows.sort_by([("own", "ascending"), ("start", "ascending"), ("stop", "ascending"), ("id", "ascending")])
-        b = key[1].as_py()
-        own = r["own"].to_numpy()
-        start, stop = r["start"].to_numpy(), r["stop"].to_numpy()
-        mine = int((own == b).sum())
-        pos = np.concatenate([np.arange(mine), np.arange(len(own) - mine)])
-        reach = np.empty(mine, np.int64)
-        j = 0
-        for i in range(mine):  # the first that ends too late only moves on, as starts do
-            j = max(j, i + 1)
-            while stop[i] <= start[i] + span and j < len(own) and stop[j] <= start[i] + span:
-                j += 1
-            reach[i] = j
-        inside = reach < len(own)
-        at = np.minimum(reach, len(own) - 1)
-        beyond = r["beyond"].combine_chunks().fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)[0]
+    def of_buckets(rows: pa.Table) -> pa.Table:
+        """For each window of each bucket the first later one, by order of start, that its group can't take in."""
+        r = rows.sort_by([(c, "ascending") for c in ("key", "b", "own", "start", "stop", "id")]).combine_chunks()
+        name, b, own = r["key"].combine_chunks().dictionary_encode().indices.to_numpy(), r["b"].to_numpy(), r["own"].to_numpy()
+        edges = np.concatenate([[0], np.flatnonzero((np.diff(name) != 0) | (np.diff(b) != 0)) + 1, [len(b)]])
+        first = np.repeat(edges[:-1], np.diff(edges))
+        mine = own == b  # a bucket's own windows come before those of the next
+        count = np.add.reduceat(mine.astype(np.int64), edges[:-1])
+        pos = np.arange(len(b)) - first - np.where(mine, 0, np.repeat(count, np.diff(edges)))
+        start, stop = r["start"].to_numpy().tolist(), r["stop"].to_numpy().tolist()
+        reach = []
+        for low, high, n in zip(edges[:-1].tolist(), edges[1:].tolist(), count.tolist()):
+            j = low
+            for i in range(low, low + n):  # the first that ends too late only moves on, as starts do
+                end = start[i] + span
+                j = max(j, i + 1)
+                if stop[i] <= end:
+                    while j < high and stop[j] <= end:
+                        j += 1
+                reach.append(j)
+        reach, end = np.array(reach, np.int64), np.repeat(edges[1:], np.diff(edges))[mine]
+        inside = reach < end
+        at = np.where(inside, reach, end - 1)
+        beyond = r["beyond"].combine_chunks().fill_null(-(1 << 62)).to_numpy(zero_copy_only=False)[mine]
         to_b, to_p = np.where(inside, own[at], beyond), np.where(inside, pos[at], 0)
         null = to_b == -(1 << 62)
-        return pa.table({"key": pa.array([key[0].as_py()]).take(pa.array(np.zeros(mine, np.int64))), "b": np.full(mine, b), "p": pos[:mine], "toB": pa.array(to_b, mask=null), "toP": pa.array(to_p, mask=null)})
+        return pa.table({"key": r["key"].filter(pa.array(mine)), "b": b[mine], "p": pos[mine], "toB": pa.array(to_b, mask=null), "toP": pa.array(to_p, mask=null)})
 
-    return of_bucket
+    return of_buckets
 
 
 def read_groups(windows: DataFrame, span: float, key: str = "stationId") -> DataFrame:
@@ -218,7 +228,9 @@ def read_groups(windows: DataFrame, span: float, key: str = "stationId") -> Data
     beyond = buckets.withColumn("beyond", far)
     twice = w.select("*", F.explode(F.array(F.col("own"), F.col("own") - 1)).alias("b"))
     near = twice.join(small(beyond), ["key", "b"])
-    jump = materialised(near.groupBy("key", "b").applyInArrow(_next_windows(span), "key string, b long, p long, toB long, toP long"))
+    parts = -(-2 * w.count() // PART_WINDOWS)  # a bucket's windows are few: a call for each would cost more than its work
+    near = near.withColumn("_part", F.pmod(F.xxhash64("key", "b"), F.lit(max(1, parts))))
+    jump = materialised(near.groupBy("_part").applyInArrow(_next_windows(span), "key string, b long, p long, toB long, toP long"))
     first = jump.groupBy("key").agg(F.min(F.struct("b", "p")).alias("x")).select("key", "x.b", "x.p")
     jumps = [jump]
     while not (last := jumps[-1].where("toB IS NOT NULL")).isEmpty():
@@ -229,19 +241,12 @@ def read_groups(windows: DataFrame, span: float, key: str = "stationId") -> Data
         more = step.where("toB IS NOT NULL").join(heads, ["key", "b", "p"]).select("key", F.col("toB").alias("b"), F.col("toP").alias("p"))
         heads = materialised(heads.unionByName(more).distinct())
 
-    def with_heads(k: tuple, own: pa.Table, marks: pa.Table) -> pa.Table:
-        """The bucket's windows in order, each with the start of the last head up to it."""
-        r = own.sort_by([("start", "ascending"), ("stop", "ascending"), ("id", "ascending")])
-        start, out = r["start"].to_numpy(), np.full(own.num_rows, np.nan)
-        at = marks["p"].to_numpy()
-        out[at] = start[at]
-        last_ = np.maximum.accumulate(np.where(np.isnan(out), -1, np.arange(len(out))))
-        out = np.where(last_ >= 0, start[np.maximum(last_, 0)], np.nan)
-        return r.select(["id", "key", "start", "stop"]).append_column("groupStart", pa.array(out, mask=np.isnan(out))).append_column("b", pa.array(np.full(len(out), k[1].as_py())))
-
-    kind = windows.schema["id"].dataType.simpleString()
-    placed = w.withColumnRenamed("own", "b").groupBy("key", "b").cogroup(heads.toDF("k", "hb", "p").groupBy("k", "hb")).applyInArrow(with_heads, f"id {kind}, key string, start double, stop double, groupStart double, b long")
-    placed = materialised(placed)
+    # The bucket's windows in order, each with the start of the last head up to it.
+    order = Window.partitionBy("key", "b").orderBy("start", "stop", "id")
+    numbered = w.withColumnRenamed("own", "b").withColumn("p", F.row_number().over(order).cast("long") - 1)
+    marked = numbered.join(heads.withColumn("_head", F.lit(True)), ["key", "b", "p"], "left")
+    last_head = F.last(F.when(F.col("_head"), F.col("start")), ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = materialised(marked.select("id", "key", "start", "stop", last_head.alias("groupStart"), "b"))
     # A bucket's first windows may belong to the last group of the bucket before it: a group spans no more than one bucket's length.
     carried = placed.groupBy("key", (F.col("b") + 1).alias("b")).agg(F.max("groupStart").alias("carried"))
     return placed.join(small(carried), ["key", "b"], "left").select("id", F.col("key").alias(key), "start", "stop", F.coalesce("groupStart", "carried").alias("groupStart"))
