@@ -40,6 +40,16 @@ def small(df: DataFrame, rows: int | None = None) -> DataFrame:
     return F.broadcast(df) if df.limit((BROADCAST_ROWS if rows is None else rows) + 1).count() <= (BROADCAST_ROWS if rows is None else rows) else df
 
 
+#: Rows that one task of a join or an aggregate over whole tables should have.
+TASK_ROWS = 500_000
+
+
+def tasks_for(df: DataFrame, rows: int | None = None) -> int:
+    """Tasks to deal df out to, so that one's memory doesn't grow with the table: the session's number or more."""
+    usual = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(usual, -(-df.count() // (TASK_ROWS if rows is None else rows)))
+
+
 def ranked(df: DataFrame, *order: Column | str, name: str = "rank") -> DataFrame:
     """df with its place in a total order, from 1, without bringing all rows to one task.
 

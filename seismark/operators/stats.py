@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -151,10 +152,16 @@ def azimuth_fit(rows: DataFrame, keys: list[str], residual: str, azimuth: str) -
 
 
 def leave_one_out_mean(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """rows with the mean of all others of their key; null for a lone row."""
-    w = Window.partitionBy(*keys)
-    n = F.count(value).over(w)
-    return rows.withColumn("others", F.when(n > 1, (F.sum(value).over(w) - F.col(value)) / F.nullif(n - 1, F.lit(0))))
+    """rows with the mean of all others of their key; null for a lone row.
+
+    Sums by key, and not a window, which would sort all rows: no task holds a key's rows.  A null key is a key.
+    """
+    both = rows.groupBy(*keys).agg(F.count(value).alias("_n"), F.sum(value).alias("_sum"))
+    both = small(both.select(*[F.col(k).alias(f"_{k}") for k in keys], "_n", "_sum"), 1_000_000)
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys])
+    n = F.col("_n")
+    out = rows.join(both, same).withColumn("others", F.when(n > 1, (F.col("_sum") - F.col(value)) / F.nullif(n - 1, F.lit(0))))
+    return out.select(*rows.columns, "others")
 
 
 def trimmed_extent(rows: DataFrame, columns: list[str], trim: float, margin: float) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from seismark.functions.tables import table
+from seismark.functions.tables import table, tasks_for
 
 #: 2024-01-01 and 30 days later, in epoch seconds.
 T0, T1 = 1704067200.0, 1706659200.0
@@ -63,7 +63,8 @@ def segments(spark: SparkSession, d: str) -> DataFrame:
 def observations(spark: SparkSession, d: str) -> DataFrame:
     l = table(spark, d, "lineitem").select("l_orderkey", "l_suppkey", "l_extendedprice", "l_quantity")  # noqa: E741
     o = table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_totalprice")
-    return l.join(o, "l_orderkey").select(F.col("l_orderkey").alias("eventId"), F.col("l_suppkey").alias("stationId"), F.log10("l_extendedprice").alias("logA"), F.log10("l_quantity").alias("logR"), F.log10("o_totalprice").alias("mag"))
+    n = tasks_for(l)
+    return l.repartition(n, "l_orderkey").join(o.repartition(n, "l_orderkey"), "l_orderkey").select(F.col("l_orderkey").alias("eventId"), F.col("l_suppkey").alias("stationId"), F.log10("l_extendedprice").alias("logA"), F.log10("l_quantity").alias("logR"), F.log10("o_totalprice").alias("mag"))
 
 
 def surveys(spark: SparkSession, d: str) -> DataFrame:
