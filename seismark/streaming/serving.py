@@ -8,11 +8,17 @@ so how rows fall into batches changes nothing.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import heapq
+import pickle
+import tempfile
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 from datetime import datetime, timezone
+from itertools import islice
 
-from pyspark.sql import DataFrame, Row
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -30,6 +36,54 @@ def _ms(t: datetime | None) -> int | None:
     return round(t.timestamp() * 1000)
 
 
+#: Rows of a feed that are sorted in memory at once; more go to the task's own disk in sorted runs, which are merged.
+HELD = 100_000
+
+
+def _first(row: tuple) -> tuple:
+    return row[:3]
+
+
+def _stored(run: list[tuple], size: int):
+    """A file of the run's rows in lists of `size`."""
+    f = tempfile.TemporaryFile(prefix="feed-")  # in the executor's own folder, gone when it is closed
+    for k in range(0, len(run), size):
+        pickle.dump(run[k : k + size], f, pickle.HIGHEST_PROTOCOL)
+    f.seek(0)
+    return f
+
+
+def _read_back(f) -> Iterator[tuple]:
+    with f:
+        while True:
+            try:
+                part = pickle.load(f)
+            except EOFError:
+                return
+            yield from part
+
+
+def in_order(rows: Iterable[tuple], held: int | None = None) -> Iterator[tuple]:
+    """rows by their first three values, equal ones as they came; about `held` of them in memory, however many there are."""
+    held, rows, runs = HELD if held is None else held, iter(rows), []
+    while part := sorted(islice(rows, held), key=_first):
+        if not runs and len(part) < held:
+            return iter(part)
+        runs.append(_stored(part, max(1, held // 100)))
+        if len(runs) == 100:  # what is read of each run is a hundredth of what may be held
+            runs = [_merged(runs, max(1, held // 100))]
+    return heapq.merge(*map(_read_back, runs), key=_first)
+
+
+def _merged(runs: list, size: int):
+    """Sorted runs as one; the earlier run's rows come first of equal ones."""
+    f, rows = tempfile.TemporaryFile(prefix="feed-"), heapq.merge(*map(_read_back, runs), key=_first)
+    while part := list(islice(rows, size)):
+        pickle.dump(part, f, pickle.HIGHEST_PROTOCOL)
+    f.seek(0)
+    return f
+
+
 @dataclass
 class _Feed:
     """A feed's state while its rows are handled; runs are (runId, nEvents, at), timers what was registered before."""
@@ -65,12 +119,14 @@ class Serving(StatefulProcessor):
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
         """Rows in order of time; for each the changes that time brought before it, and what is served from then on.
 
-        State is read once and written once for all of a key's rows.
+        State is read once and written once for all of a key's rows, of which about HELD are in memory.
         """
+        yield from self.handled(key, ((_ms(r.at), r.kind, r.runId or "", r.runId, r.outcome, r.nEvents or 0, self._latency(r) if r.kind != "heartbeat" and r.outcome in GOOD else None) for r in rows))
+
+    def handled(self, key, short: Iterable[tuple]) -> Iterator[Row]:
+        """What is served after each of (at in ms, kind, runId or '', runId, outcome, nEvents, latency), in any order."""
         f = self._read()
-        short = [(_ms(r.at), r.kind, r.runId or "", r.runId, r.outcome, r.nEvents or 0, self._latency(r) if r.kind != "heartbeat" and r.outcome in GOOD else None) for r in rows]
-        short.sort(key=lambda r: r[:3])
-        for at, kind, _, run_id, outcome, n, latency in short:
+        for at, kind, _, run_id, outcome, n, latency in in_order(short):
             yield from self._passed(f, key, at)
             slow = None
             if kind == "heartbeat":
@@ -138,6 +194,49 @@ class Serving(StatefulProcessor):
         return Row(feed=key[0], at=datetime.fromtimestamp(at / 1000, timezone.utc), why=why, source="live" if f.alive else "snapshot", runId=run[0], nEvents=run[1], latencyS=latency, slow=slow, stale=stale, attempts=f.attempts, failures=f.failures, history=list(f.past))
 
 
+#: Rows that a feed hands on at once.
+HANDED = 5_000
+_TAKEN = ["feed", "at", "kind", "ms", "runId", "outcome", "nEvents", "latency"]
+
+
+@dataclass
+class _InFrames(StatefulProcessor):
+    """A Serving whose rows come and go in frames: of a feed's answers, too, only some are in memory."""
+
+    serving: Serving
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.serving.init(handle)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        yield from self._frames(self.serving.handled(key, (r for frame in rows for r in self._short(frame))))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        yield from self._frames(self.serving.handleExpiredTimer(key, timerValues, expiredTimerInfo))
+
+    def close(self) -> None:
+        pass
+
+    @staticmethod
+    def _short(frame: pd.DataFrame) -> Iterator[tuple]:
+        run_ids, outcomes = (frame[c].astype(object).where(frame[c].notna(), None).tolist() for c in ("runId", "outcome"))
+        latencies = frame["latency"].astype(object).where(frame["latency"].notna(), None).tolist()
+        for at, kind, run_id, outcome, n, latency in zip(frame["ms"].tolist(), frame["kind"].tolist(), run_ids, outcomes, frame["nEvents"].tolist(), latencies):
+            yield at, kind, run_id or "", run_id, outcome, n, latency if kind != "heartbeat" and outcome in GOOD else None
+
+    @staticmethod
+    def _frames(rows: Iterator[Row]) -> Iterator[pd.DataFrame]:
+        names = [c.split()[0] for c in SERVED.split(", ")]
+        while part := list(islice(rows, HANDED)):
+            frame = pd.DataFrame({c: pd.Series(list(v), dtype=object) for c, v in zip(names, zip(*part))})
+            frame["at"] = pd.to_datetime(frame["at"], utc=True)
+            yield frame
+
+
+def _millis(c: str) -> Column:
+    return F.bround(F.unix_micros(c) / 1000.0).cast("long")
+
+
 def served(attempts: DataFrame, serving: Serving, late: str = "10 seconds") -> DataFrame:
     """A stream of ATTEMPTS (kind 'window' or 'heartbeat') as a stream of SERVED, a row for each of them and for each change by time.
 
@@ -147,4 +246,6 @@ def served(attempts: DataFrame, serving: Serving, late: str = "10 seconds") -> D
     The session's state store must be RocksDB's (ROCKSDB).
     """
     rows = attempts.where("at IS NOT NULL AND kind IN ('window', 'heartbeat')").withWatermark("at", late)
-    return rows.groupBy("feed").transformWithState(serving, SERVED, "Append", "EventTime")
+    latency = F.col("runtimeS") + (_millis("startedAt") - _millis("windowEnd")) / 1000.0
+    rows = rows.withColumns({"ms": _millis("at"), "latency": latency, "nEvents": F.coalesce("nEvents", F.lit(0).cast("long"))}).select(*_TAKEN)
+    return rows.groupBy("feed").transformWithStateInPandas(_InFrames(serving), SERVED, "Append", "EventTime")
